@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat_formatting
 from .fingerprints import op7_document_fingerprints
+from .html_text import op10_html_extraction
 from .media import op9_media_columns
 from .secrets import op2_secret_scans
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op7_document_fingerprints, op9_media_columns)}
+    return {f.__name__: f for f in (op2_secret_scans, op6_chat_formatting, op7_document_fingerprints, op9_media_columns, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_formatting": OP6_SQL}
