@@ -126,7 +126,7 @@ def weights_of(counts: dict) -> dict[str, float]:
 
 
 #: For features that no labelled page shows.
-DEFAULTS = {"word:plain": 0.5, "word:p": 1.0, "word:h": 1.0, "word:cell": 0.5, "word:item": 0.2, "word:link": -1.0}
+DEFAULTS = {"word:plain": 0.5, "word:p": 1.0, "word:h": 1.0, "word:cell": 0.5, "word:item": 0.2, "word:link": -0.1}
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
@@ -151,7 +151,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
                 blocks.append([i, i, [(i, text)]])
                 open_block = True
         else:
-            w = weights.get(feature, -0.5) if feature else 0.0
+            w = weights.get(feature, -0.05 if kind == "inline" else -0.2) if feature else 0.0
             if text and open_block:
                 blocks[-1][2].append((i, text))
         total += w
