@@ -126,7 +126,7 @@ def weights_of(counts: dict) -> dict[str, float]:
 
 
 #: For features that no labelled page shows.
-DEFAULTS = {"word:plain": 0.5, "word:p": 1.0, "word:h": 1.0, "word:cell": 0.5, "word:item": 0.2, "word:link": -0.1}
+DEFAULTS = {"word:plain": 0.5, "word:p": 1.0, "word:h": 1.0, "word:cell": 0.5, "word:item": 1.0, "word:link": -0.1}
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:

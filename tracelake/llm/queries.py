@@ -6,11 +6,14 @@ from .chat import OP6_SQL, op6_chat_formatting
 from .fingerprints import op7_document_fingerprints
 from .html_text import op10_html_extraction
 from .media import op9_media_columns
+from .quality import op4_quality_classifier
 from .secrets import op2_secret_scans
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op6_chat_formatting, op7_document_fingerprints, op9_media_columns, op10_html_extraction)}
+    found = (op2_secret_scans, op3_toxicity, op4_quality_classifier, op6_chat_formatting, op7_document_fingerprints, op9_media_columns, op10_html_extraction)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
