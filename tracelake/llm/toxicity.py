@@ -1,7 +1,7 @@
 """Operator 3, toxicity: boosted trees over dense features, with isotonic calibration.
 
 Features of a text: densities of two lexicons (a fixed one, and one learned from
-labelled rows: whole words and beginnings of words that toxic texts alone have), how near a
+labelled rows: whole words and beginnings of words that toxic texts have far oftener), how near a
 second-person word stands to a lexicon word, capitals, punctuation, and
 obfuscation (letters parted by digits or signs, and lexicon words found only
 after undoing that).
@@ -35,6 +35,7 @@ TRAIN_ROWS = 24_000
 #: Word beginnings that the driver weighs, and the most that the learned lexicon holds.
 STEMS, LEXICON = 20_000, 2_000
 PREFIXES = (4, 5, 6, 7)
+LIFT = 9.0  # how much oftener toxic texts must have a stem
 
 # Insults and second-person words.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb dumbass loser losers trash garbage scum scumbag clown pathetic worthless disgusting fool imbecile retard retarded jerk bastard bitch asshole crap shit fuck fucking damn ugly hate kill idiota estúpido imbécil basura asqueroso idioten dumm dummkopf abschaum wertlos widerlich trottel arschloch stupide crétin débile ordure minable dégoûtant".split())
@@ -46,7 +47,8 @@ PUNCTUATION = b"!?*%#&$@|.,;:-\"'"
 UPPER = bytes(range(65, 91))
 ALPHA = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 
-FEATURES = 22
+FEATURES = 24
+FIXED = 1000.0  # what a fixed insult adds to a word's mark
 
 
 def stems(word: str) -> list[str]:
@@ -55,20 +57,20 @@ def stems(word: str) -> list[str]:
 
 
 class Features:
-    """Dense features of a text, given the learned lexicon."""
+    """Dense features of a text, given the learned lexicon (stem -> weight)."""
 
-    def __init__(self, lexicon: frozenset[str]):
+    def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, float] = {}
 
-    def mark(self, word: str) -> int:
-        """0, or 1 for a fixed insult, 2 for a learned stem, 3 for both."""
+    def mark(self, word: str) -> float:
+        """The greatest weight of the word's stems, and FIXED more for a fixed insult; 0 for others."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
             lex = self.lexicon
-            got = (word in INSULTS) + 2 * any(s in lex for s in stems(word))
+            got = FIXED * (word in INSULTS) + max((lex[s] for s in stems(word) if s in lex), default=0.0)
             self.memo[word] = got
         return got
 
@@ -80,14 +82,18 @@ class Features:
         n = len(words) or 1
         memo = self.memo
         marks = [memo[w] if w in memo else self.mark(w) for w in words]
-        fixed = learned = 0
+        fixed = learned = weight = most = 0.0
         hits = []
         if any(marks):
             for i, m in enumerate(marks):
                 if m:
-                    fixed += m & 1
-                    learned += m >> 1
                     hits.append(i)
+                    if m >= FIXED:
+                        fixed += 1
+                        m -= FIXED
+                    learned += m > 0
+                    weight += m
+                    most = max(most, m)
         near = close = 0.0
         you = [i for i, w in enumerate(words) if w in SECOND] if hits else []
         if you:
@@ -105,7 +111,7 @@ class Features:
         counts = [raw.count(PUNCTUATION[i : i + 1]) for i in range(7)]
         signs = size - len(raw.translate(None, PUNCTUATION))
         return [
-            fixed / n, float(fixed), learned / n, float(learned), float(len({words[i] for i in hits})), len(hits) / n, near, close, odd / n, float(hidden), hidden / n,
+            fixed / n, fixed, learned / n, learned, weight, weight / n, most, float(len({words[i] for i in hits})), near, close, odd / n, float(hidden), hidden / n,
             capitals / letters, signs / size, *[c / size for c in counts], np.log1p(n), letters / n,
         ]
 
@@ -113,7 +119,7 @@ class Features:
 class ToxicityModel:
     """Lexicon, trees and calibration; scores are within (0, 1)."""
 
-    def __init__(self, lexicon: frozenset[str], trees: Boosted | None, calibration: Isotonic | None, base: float):
+    def __init__(self, lexicon: dict[str, float], trees: Boosted | None, calibration: Isotonic | None, base: float):
         self.lexicon, self.trees, self.calibration, self.base = lexicon, trees, calibration, base
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -144,8 +150,8 @@ def _stem_counts(df: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return map_slices(df.select("text"), "text", make, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(rows: DataFrame) -> frozenset[str]:
-    """Stems that toxic texts alone have.  rows: text, label.
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Stems that toxic texts have far oftener, with the logarithm of how much.  rows: text, label.
 
     At most ``STEMS`` stems, the most frequent in toxic texts, and for each toxic
     text of the bounded sample those that clean texts hardly have, reach the driver.
@@ -153,10 +159,11 @@ def learn_lexicon(rows: DataFrame) -> frozenset[str]:
     toxic, clean = rows.filter("label = 1"), rows.filter("label = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
-        return frozenset()
+        return {}
     often = {r["stem"]: r["n"] for r in _stem_counts(toxic, None).filter(F.col("n") >= 3).orderBy(F.desc("n"), "stem").limit(STEMS).collect()}
     other = {r["stem"]: r["n"] for r in _stem_counts(clean, frozenset(often)).collect()}
-    pure = frozenset(s for s, n in often.items() if n / n_toxic >= 9 * (other.get(s, 0) + 0.25) / n_clean and n >= 6 * other.get(s, 0))
+    lift = {s: (n / n_toxic) / ((other.get(s, 0) + 0.25) / n_clean) for s, n in often.items()}
+    pure = frozenset(s for s, k in lift.items() if k >= LIFT)
 
     def make():
         def f(x):
@@ -185,10 +192,10 @@ def learn_lexicon(rows: DataFrame) -> frozenset[str]:
             break
         chosen.append(s)
         left -= by_stem[s]
-    return frozenset(chosen)
+    return {s: float(np.log(lift[s])) for s in chosen}
 
 
-def featurize(df: DataFrame, lexicon: frozenset[str], keep: str) -> DataFrame:
+def featurize(df: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
     """keep (one column) and x array<double> of every row's text."""
 
     def make():
@@ -205,8 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     chosen = hash_sampled(labels, "doc_id", sample_share(labels.count(), rows))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen) if rows <= 100_000 else chosen, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(8))).select("text", "label", "part").persist()
     try:
-        lexicon = learn_lexicon(sample.filter("part < 4"))
-        fit = featurize(sample.filter("part >= 4").withColumn("k", F.struct("label", "part")), lexicon, "k").select("k.label", "k.part", "x").collect()
+        lexicon = learn_lexicon(sample.filter("part < 5"))
+        fit = featurize(sample.filter("part >= 5").withColumn("k", F.struct("label", "part")), lexicon, "k").select("k.label", "k.part", "x").collect()
     finally:
         sample.unpersist()
     y, part = np.array([r["label"] for r in fit], float), np.array([r["part"] for r in fit])
