@@ -7,6 +7,8 @@ cuts every batch again by bytes of text before numpy expands it.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,21 +81,22 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; only a session without that setting
+    (a test's) gets one of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
 
-    The folder is ``spark.checkpoint.dir``; only a session without that setting
-    (a test's) gets one of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it again: the lineage is cut, and
+    a lost executor takes nothing of it along."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sample_share(n: int, bound: int) -> int:
