@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.shipping import ship_package
 
-from .common import bounded_batches, map_slices, slices, table, written
+from .common import bounded_batches, fresh, map_slices, slices, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -339,12 +339,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all columns of ``df``: the one whose id and text name the class."""
     out = near_duplicates(df, key, text, threshold)
-    keep = out.filter(F.col("text_id") == F.col("class_id")).groupBy("digest", F.col("class_id").alias("_v")).agg(F.count(F.when(F.col("v") == F.col("class_id"), 1)).alias("_n"))
-    keep = written(keep.withColumnRenamed("digest", "_digest"), "keep")
+    v_, digest_ = fresh(df, "vertex"), fresh(df, "digest")
+    keep = out.filter(F.col("text_id") == F.col("class_id")).groupBy(F.col("class_id").alias(v_), F.col("digest").alias(digest_)).agg(F.count(F.when(F.col("v") == F.col("class_id"), 1)).alias("n"))
+    keep = written(keep, "keep")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumn("_v", _vertex(key, body)).withColumn("_digest", F.unhex(F.md5(body)))
-    once = rows.join(keep.filter("_n = 1"), ["_v", "_digest"], "left_semi")
-    often = rows.join(keep.filter("_n > 1"), ["_v", "_digest"], "left_semi").dropDuplicates(["_v", "_digest"])
+    rows = df.withColumn(v_, _vertex(key, body)).withColumn(digest_, F.unhex(F.md5(body)))
+    once = rows.join(keep.filter("n = 1").drop("n"), [v_, digest_], "left_semi")
+    often = rows.join(keep.filter("n > 1").drop("n"), [v_, digest_], "left_semi").dropDuplicates([v_, digest_])
     return once.unionByName(often).select(*[f"`{c}`" for c in df.columns])
 
 

@@ -4,8 +4,7 @@ Every token (word, or run of signs) falls into one of ``BUCKETS`` hash buckets
 by its lower-case form, with its case and shape beside it.  A bucket has a fixed sparse
 random index vector; its word vector is the sum of the index vectors of its
 neighbours within ``WINDOW`` places over the sample, centred and scaled to
-length one.  A document is the mean and the deviation of its tokens' vectors,
-with the length of the mean (near one where a word repeats on and on) and three
+length one.  A document is the mean of its tokens' vectors, with the length of the mean (near one where a word repeats on and on) and three
 counts.  Two dense layers give a logit, a temperature from held-out rows calibrates it.
 
 Vectors and network are fitted on a bounded, hash-chosen sample of training
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.shipping import ship_package
 
-from .common import bounded_batches, crc_mod, hash_sampled, map_slices, sample_share, slices, table
+from .common import bounded_batches, crc_mod, fresh, hash_sampled, map_slices, sample_share, slices, table
 from .toxicity import train_rows
 
 #: Labelled rows (expected) that vectors and network are fitted on.
@@ -37,7 +36,7 @@ TRAIN_ROWS = 16_000
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 4, 2
 BLOCK = 256  # buckets in one block of partial sums
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-INPUT = 2 * DIM + 4
+INPUT = DIM + 4
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +133,17 @@ class Pool:
             return out
         sizes = np.array([ids[i].size for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        v = self.vectors[np.concatenate([ids[i] for i in full])]
-        mean = np.add.reduceat(v, starts, axis=0) / sizes[:, None]
-        square = np.add.reduceat(v * v, starts, axis=0) / sizes[:, None]
+        flat = np.concatenate([ids[i] for i in full])
+        mean = np.add.reduceat(self.vectors[flat], starts, axis=0) / sizes[:, None]
+        again = np.concatenate([[0], flat[1:] == flat[:-1]])
+        again[starts] = 0
+        ordered = np.sort(flat + np.repeat(np.arange(len(full)), sizes) * BUCKETS)
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         out[full, :DIM] = mean
-        out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean**2, 0))
-        out[full, 2 * DIM] = np.linalg.norm(mean, axis=1)
-        out[full, 2 * DIM + 1] = np.log1p(sizes)
-        out[full, 2 * DIM + 2] = [np.unique(ids[i]).size / ids[i].size for i in full]
-        out[full, 2 * DIM + 3] = [(ids[i][1:] == ids[i][:-1]).mean() if ids[i].size > 1 else 0.0 for i in full]
+        out[full, DIM] = np.linalg.norm(mean, axis=1)
+        out[full, DIM + 1] = np.log1p(sizes)
+        out[full, DIM + 2] = np.add.reduceat(new.astype(float), starts) / sizes
+        out[full, DIM + 3] = np.add.reduceat(again.astype(float), starts) / np.maximum(sizes - 1, 1)
         return out
 
 
@@ -234,20 +235,22 @@ def train(docs: DataFrame, labels: DataFrame, classes: int = 2, rows: int = TRAI
     return PooledModel(vectors, net.calibrate(x[held], y[held]) if held.any() else net, base)
 
 
-def posteriors(df: DataFrame, model: PooledModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, n_tokens long and p array<double> by class."""
+def posteriors(df: DataFrame, model: PooledModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", n_tokens: str = "n_tokens", p: str = "p") -> DataFrame:
+    """The kept columns, n_tokens long and p array<double> by class (under names that the kept columns don't have)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    body = text if text in keep else fresh(df, "body")
 
     def make():
-        pool = Pool(model.vectors)
+        pool = Pool(shared.value.vectors)
 
         def f(x):
-            pooled = pool(x["_text"])
-            return {c: x[c] for c in keep} | {"n": np.rint(np.expm1(pooled[:, 2 * DIM + 1])).astype(np.int64), "p": model.probabilities(pooled).tolist()}
+            pooled = pool(x[body])
+            return {c: x[c] for c in keep} | {n_tokens: np.rint(np.expm1(pooled[:, DIM + 1])).astype(np.int64), p: shared.value.probabilities(pooled).tolist()}
 
         return f
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_slices(df.select(*keep, F.col(text).alias("_text")), "_text", make, f"{kinds}, n_tokens long, p array<double>")
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    return map_slices(df.select(*[f"`{c}`" for c in keep], *([] if body in keep else [F.col(text).alias(body)])), body, make, ", ".join([*kinds, f"`{n_tokens}` long, `{p}` array<double>"]))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic
-from .common import crc_mod, hash_sampled, map_slices, sample_share, table
+from .common import crc_mod, fresh, hash_sampled, map_slices, sample_share, table
 
 #: Labelled rows (expected) that the model is fitted on.
 TRAIN_ROWS = 24_000
@@ -227,20 +227,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     return ToxicityModel(lexicon, trees, Isotonic().fit(trees.raw(x[held]), y[held]), 0.0)
 
 
-def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and each text's score."""
+def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "score") -> DataFrame:
+    """The kept columns and each text's score (under a name that they don't have)."""
+    body = text if text in keep else fresh(df, "body")
 
     def make():
         g = Features(model.lexicon)
 
         def f(x):
-            features = np.array([g(t) for t in x["_text"]], float).reshape(-1, FEATURES)
-            return {c: x[c] for c in keep} | {"score": model.score(features)}
+            features = np.array([g(t) for t in x[body]], float).reshape(-1, FEATURES)
+            return {c: x[c] for c in keep} | {out: model.score(features)}
 
         return f
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_slices(df.select(*keep, F.col(text).alias("_text")), "_text", make, f"{kinds}, score double")
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    return map_slices(df.select(*[f"`{c}`" for c in keep], *([] if body in keep else [F.col(text).alias(body)])), body, make, ", ".join([*kinds, f"`{out}` double"]))
 
 
 def train_rows(labels: DataFrame, label: str, n: int, held: int) -> DataFrame:
