@@ -10,26 +10,28 @@ the sketch's own noise, so what is broadcast never grows.
 
 Steps: equal texts collapse first (by digest).  Each text gets BANDS x ROWS
 consistent weighted samples; texts that agree on a band meet in its bucket.  A
-bucket's pivot is compared with its members (first by the samples, then exactly,
-by weighted Jaccard similarity of at least ``threshold``): rows grow with the members,
-not with their pairs.  Verified links join into components.  Where a bucket
-still holds several components, members of up to four small ones become the next pivots,
-until every bucket is of one component or all its members have been pivots; so
-no pair of a bucket stays untested unless both are in one class already.
+bucket's least text is its pivot and is compared with the other members (first by the
+samples, then exactly, by weighted Jaccard similarity of at least
+``threshold``): rows grow with the members, not with their pairs.  Verified links
+join into components.  A bucket that still holds several components is compared with
+itself: its members are dealt in blocks to tasks that hold two blocks each, test
+pairs of different components (by samples, then exactly; a pair only in the first band
+that it shares) and emit links alone.  So no pair of a bucket stays untested unless both are in one class already.
 
 Defined cases: a null text is an empty one; all empty texts are one class; a
 null id has no place in the order and never names a class that has an id;
 repeated rows share their class; no rows give no rows; extra columns are not
 read.  A pair of similarity s meets with probability 1 - (1 - s^ROWS)^BANDS
-(0.9996 at 0.8).
+(0.9992 at 0.8).
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,42 +40,47 @@ from tracelake.functions.shipping import ship_package
 from .common import bounded_batches, fresh, map_slices, slices, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 18, 5
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
 DAMPING = 0.25
 #: A pair goes on to the exact test if at least so many of its samples agree (0.8 is five deviations off).
 AGREE = 0.6 * BANDS * ROWS
 TABLE = 1 << 12
-#: Pivots of a bucket in one round (after the first), each from another component.
-PIVOTS = 4
+#: Members of a bucket that meet as one block when a bucket is compared with itself.
+BLOCK_MEMBERS = 512
 #: Members that one task compares with one pivot.
 SALT_MEMBERS = 256
 ID_FLOOR = -(1 << 62)
 
 
+class WordTable(dict):
+    """word -> place of its hash in ``hashes``; both start anew when they hold too many words."""
+
+    def __init__(self):
+        self.hashes = array("Q")
+
+    def __missing__(self, w: str) -> int:
+        self[w] = at = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+        return at
+
+
 class Shingles:
     """Hashed word shingles of texts; memory of seen words is bounded."""
 
     def __init__(self, size: int = SHINGLE):
         self.size = size
-        self.memo: dict[str, int] = {}
-
-    def word(self, w: str) -> int:
-        got = self.memo.get(w)
-        if got is None:
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            got = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            self.memo[w] = got
-        return got
+        self.words = WordTable()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes, ascending, and how often each occurs."""
-        memo, word = self.memo, self.word
         words = (text or "").split()
-        h = np.array([memo[w] if w in memo else word(w) for w in words], np.uint64)
-        if not h.size:
-            return h, np.zeros(0, np.int64)
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self.words) > 400_000:
+            self.words = WordTable()
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        h = np.frombuffer(self.words.hashes, np.uint64)[at]
         k = min(self.size, h.size)
         n = h.size - k + 1
         with np.errstate(over="ignore"):
@@ -81,7 +88,9 @@ class Shingles:
             for i in range(k):
                 run = (run ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
                 run ^= run >> np.uint64(32)
-        return np.unique(run, return_counts=True)
+        run.sort()
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        return run[first], np.diff(np.append(first, n))
 
 
 def sketch_bucket(hashes: np.ndarray) -> np.ndarray:
@@ -174,8 +183,10 @@ class Sampler:
             r, beta = self.r[h & mask], self.beta[(h >> np.uint64(12)) & mask]
             t = np.floor(log_w[i : i + step] / r + beta)
             a = self.log_c[(h >> np.uint64(24)) & mask] - r * (t - beta + 1)
-            k = a.argmin(0)
-            low = a[k, at]
+            low = a.min(0)
+            rows, cols = np.nonzero(a == low)
+            k = np.zeros(n, np.int64)
+            k[cols[::-1]] = rows[::-1]  # of equal ones the first
             better = low < best
             best[better], who[better], level[better] = low[better], h[k[better]], t[k[better], at[better]]
         with np.errstate(over="ignore"):
@@ -276,21 +287,101 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return labels
 
 
-def _next_pairs(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """bucket, a (pivot), b: each open bucket's next pivot and the members of other components.
+def _star_pairs(buckets: DataFrame) -> DataFrame:
+    """a (the bucket's least vertex), b: distinct pairs."""
+    pivots = buckets.groupBy("bucket").agg(F.min("v").alias("a"))
+    return buckets.join(pivots, "bucket").filter("v != a").select("a", F.col("v").alias("b")).distinct()
+
+
+def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, v, label, lo, hi, side: members of buckets with several components (without their
+    pivots, which all were compared with), dealt to pairs of blocks."""
+    pivots = buckets.groupBy("bucket").agg(F.min("v").alias("pivot"))
+    rows = buckets.join(pivots, "bucket").filter("v != pivot").select("bucket", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    dealt = rows.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("bucket", "v", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def _block_links(rows: list[dict], of: Shingles, idf: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links between members of different components within one block (all of side 0, or own pair) or across two."""
+    n = len(rows)
+    samples = np.stack([np.frombuffer(r["samples"], "<u4") for r in rows])
+    bands = np.array([r["bands"] for r in rows], np.int64)
+    band = int(np.flatnonzero(bands[0] == rows[0]["bucket"])[0])
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        parent[i] = first.setdefault(r["label"], i)
+    label = np.array([r["label"] for r in rows])
+    side = np.array([r["side"] for r in rows])
+    within = rows[0]["lo"] == rows[0]["hi"]
+    sets: dict[int, tuple] = {}
+
+    def set_of(i: int) -> tuple:
+        if i not in sets:
+            h, c = of(rows[i]["text"])
+            w = weights(h, c, idf)
+            sets[i] = h, w, w.sum()
+        return sets[i]
+
+    out = []
+    for i in range(n):
+        rest = np.arange(i + 1, n) if within else np.flatnonzero(side == 1) if side[i] == 0 else np.zeros(0, int)
+        rest = rest[label[rest] != label[i]]
+        if rest.size:
+            rest = rest[~(bands[rest, :band] == bands[i, :band]).any(1)]
+        if rest.size:
+            rest = rest[(samples[rest] == samples[i]).sum(1) >= AGREE]
+        for j in rest.tolist():
+            a, b = root(i), root(j)
+            if a == b:
+                continue
+            x, y = set_of(i), set_of(j)
+            if min(x[2], y[2]) < threshold * max(x[2], y[2]):
+                continue  # can't be alike
+            s = weighted_jaccard(x[:2], y[:2])
+            if s >= threshold:
+                parent[a] = b
+                out.append((rows[i]["v"], rows[j]["v"], s))
+    return out
+
+
+def block_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b, similarity: links that join components of a bucket.  members: see ``_open_members``;
+    texts: v, bands, samples, text."""
+    spark = members.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = members.join(texts, "v").select("bucket", "lo", "hi", "side", "v", "label", "bands", "samples", "text").repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    ship_package(spark)
+    bounded_batches(spark)
 
-    buckets: bucket, v, done (has been the pivot).  Members that aren't done count.
-    """
-    rows = buckets.filter(~F.col("done"))
-    if labels is None:
-        pivots = rows.groupBy("bucket").agg(F.min("v").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-        return rows.join(pivots, "bucket").filter("v != a").select("bucket", "a", F.col("v").alias("b"))
-    marked = rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    sizes = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-    open_ = sizes.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(PIVOTS)).alias("lot")).agg(F.min(F.struct("n", "label", "v")).alias("p"), F.count("*").alias("parts"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts")).filter("parts > 1").select("bucket")
-    pivots = open_.join(several, "bucket").select("bucket", F.col("p.v").alias("a"), F.col("p.label").alias("own"))
-    return marked.join(pivots, "bucket").filter("label != own").select("bucket", "a", F.col("v").alias("b"))
+    def run(batches):
+        of, table_ = Shingles(), idf.value
+        key, held = None, []
+
+        def links():
+            found = _block_links(held, of, table_, threshold) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = row["bucket"], row["lo"], row["hi"]
+                if now != key:
+                    yield links()
+                    key, held = now, []
+                held.append(row)
+        yield links()
+
+    return dealt.mapInArrow(run, "a long, b long, similarity double")
 
 
 def _vertex(key: str, body):
@@ -308,31 +399,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     seen = written(signatures(rows, idf), "samples")
     order = F.struct((F.col("v") < 0).alias("none"), "v")
     texts = written(seen.groupBy("digest").agg(F.min(order)["v"].alias("text_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "texts")
-    buckets = written(texts.select(F.col("text_id").alias("v"), F.explode("bands").alias("bucket")).join(texts.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi").withColumn("done", F.lit(False)), "buckets")
-    samples = texts.select(F.col("text_id").alias("v"), "samples")
-    bodies = rows.select("v", "digest", "text")
-    links, labels, tested = None, None, None
-    while True:
-        drawn = written(_next_pairs(buckets, labels), "pairs")
-        if drawn.isEmpty():
-            break
-        pairs = drawn.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = written(pairs, "new-pairs")
-        likely = pairs.join(samples.withColumnRenamed("v", "a").withColumnRenamed("samples", "sa"), "a").join(samples.withColumnRenamed("v", "b").withColumnRenamed("samples", "sb"), "b").filter(_agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b")
-        likely = written(likely, "likely")
-        needed = likely.select(F.col("a").alias("v")).union(likely.select("b")).distinct()
-        wanted = bodies.join(needed, "v", "left_semi").dropDuplicates(["v"]).select("v", "text")
-        found = written(verified(likely, wanted, idf, threshold), "verified")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        pivots = drawn.select("bucket", F.col("a").alias("v")).distinct().withColumn("now", F.lit(True))
-        buckets = written(buckets.filter(~F.col("done")).join(pivots, ["bucket", "v"], "left").filter("now is null").drop("now"), "buckets")
+    keyed = texts.select(F.col("text_id").alias("v"), F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    buckets = written(keyed.join(shared, "bucket", "left_semi"), "buckets")
+    met = buckets.select("v").distinct()
+    bodies = written(rows.join(met, "v", "left_semi").select("v", "digest", "text").join(texts.select(F.col("text_id").alias("v"), "digest", "bands", "samples"), ["v", "digest"]).dropDuplicates(["v"]).drop("digest"), "bodies")
+    samples = bodies.select("v", "samples")
+    pairs = _star_pairs(buckets)
+    likely = written(pairs.join(samples.select(F.col("v").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("v").alias("b"), F.col("samples").alias("sb")), "b").filter(_agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b"), "likely")
+    links = written(verified(likely, bodies.select("v", "text"), idf, threshold), "links")
+    labels = components(links)
+    more = written(block_links(_open_members(buckets, labels), bodies, idf, threshold), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     by_text = texts.select("digest", "text_id")
-    by_text = by_text.withColumn("class_id", F.col("text_id")) if labels is None else by_text.join(labels.withColumnRenamed("v", "text_id"), "text_id", "left").select("digest", "text_id", F.coalesce("label", "text_id").alias("class_id"))
+    by_text = by_text.join(labels.withColumnRenamed("v", "text_id"), "text_id", "left").select("digest", "text_id", F.coalesce("label", "text_id").alias("class_id"))
     return seen.select("v", "digest").join(by_text, "digest").select(F.when(F.col("v") > ID_FLOOR + (1 << 40), F.col("v")).alias(key), "v", "digest", "class_id", "text_id")
 
 
