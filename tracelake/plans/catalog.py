@@ -2,10 +2,195 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions.keys import traces
+from tracelake.operators import core, discovery, features, filters, ocel, org, stats
+from tracelake.sources import tables
+
+E, L, I, C, O = tables.click_log, tables.line_log, tables.interval_log, tables.chat_log, tables.order_ocel  # noqa: E741
+
+# The logs in SQL.
+SQL_E = """ev AS (SELECT CAST(user_id AS VARCHAR) AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
+  event_type AS act, ts, epoch_us(ts) / 1000000.0 AS s, value, event_id FROM events)"""
+SQL_L = """ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1 AS idx,
+  l_returnflag || l_linestatus AS act, l_shipdate AS ts, epoch_us(l_shipdate) / 1000000.0 AS s, CAST(l_suppkey AS VARCHAR) AS res, l_quantity AS quantity FROM lineitem)"""
+SQL_I = f"""{SQL_L.replace("ev AS", "l AS", 1)}, ev AS (SELECT l.case_id, idx, act, res, least(ts, o_orderdate) AS start_ts, greatest(ts, o_orderdate) AS ts,
+  epoch_us(least(ts, o_orderdate)) / 1000000.0 AS b, epoch_us(greatest(ts, o_orderdate)) / 1000000.0 AS e FROM l JOIN orders ON l.case_id = CAST(o_orderkey AS VARCHAR))"""
+SQL_C = """ev AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role AS act, turn AS s FROM conversations)"""
+SQL_T = "tr AS (SELECT case_id, list(act ORDER BY idx) AS seq FROM ev GROUP BY case_id)"
+SQL_O = """x AS (SELECT strftime(l_shipdate, '%Y%m%d') || '-' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 7, '0') AS eid,
+  l_returnflag || l_linestatus AS act, epoch_us(l_shipdate) / 1000000.0 AS s, 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS u FROM lineitem),
+ rel AS (SELECT DISTINCT eid, act, s, oid, type FROM (SELECT eid, act, s, o AS oid, 'order' AS type FROM x UNION ALL SELECT eid, act, s, p, 'part' FROM x UNION ALL SELECT eid, act, s, u, 'supplier' FROM x))"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+def digest(log: DataFrame) -> DataFrame:
+    """A filtered log as its events."""
+    return log.select("case_id", "idx", "act")
+
+
+def joined(df: DataFrame, column: str = "seq") -> DataFrame:
+    return df.withColumn(column, F.array_join(column, ">"))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 5) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def keep(name: str, log, sql_log: str, run: Callable[[DataFrame], DataFrame], condition: str, traces_too: bool = False, also: str = "") -> None:
+    """A filter of cases: ``condition`` selects case ids."""
+    ctes = ", ".join(x for x in (sql_log, SQL_T if traces_too else "", also) if x)
+    add(name, lambda s, d: digest(run(log(s, d))), f"WITH {ctes} SELECT case_id, idx, act FROM ev WHERE case_id {condition}")
+
+
+FIRST = "(SELECT case_id FROM ev GROUP BY case_id HAVING {})"
+A1, A2 = "arg_min(act, idx)", "arg_max(act, idx)"
+
+# Core
+add("format_log", lambda s, d: core.format_log(tables.read(s, d, "events"), "user_id", "event_type", "ts", ("event_id",)).select("case_id", "idx", "act", "event_id"), f"WITH {SQL_E} SELECT case_id, idx, act, event_id FROM ev")
+add("classifier_attribute", lambda s, d: core.classifier(L(s, d), ["act", "res"]).groupBy("classifier").agg(F.count("*").alias("n")), f"WITH {SQL_L} SELECT act || '+' || res AS classifier, count(*) AS n FROM ev GROUP BY 1")
+add("activity_sequences", lambda s, d: joined(traces(L(s, d))), f"WITH {SQL_L}, {SQL_T} SELECT case_id, array_to_string(seq, '>') AS seq FROM tr")
+add("variants", lambda s, d: joined(core.variants(L(s, d))), f"WITH {SQL_L}, {SQL_T} SELECT array_to_string(seq, '>') AS seq, count(*) AS n FROM tr GROUP BY 1")
+add("variants_chat", lambda s, d: joined(core.variants(C(s, d))), f"WITH {SQL_C}, {SQL_T} SELECT array_to_string(seq, '>') AS seq, count(*) AS n FROM tr GROUP BY 1")
+add("artificial_start_end", lambda s, d: digest(core.artificial_start_end(L(s, d))), f"WITH {SQL_L} SELECT case_id, idx + 1 AS idx, act FROM ev UNION ALL SELECT DISTINCT case_id, 0, '▶' FROM ev UNION ALL SELECT case_id, max(idx) + 2, '■' FROM ev GROUP BY case_id")
+add("to_lifecycle", lambda s, d: core.to_lifecycle(I(s, d)).select("case_id", "idx", "act", "lifecycle"), f"WITH {SQL_I}, p AS (SELECT case_id, idx AS i, act, b AS t, 'start' AS lifecycle, 0 AS k FROM ev UNION ALL SELECT case_id, idx, act, e, 'complete', 1 FROM ev) SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY t, i, k) - 1 AS idx, act, lifecycle FROM p")
+add("to_interval", lambda s, d: core.to_interval(core.to_lifecycle(I(s, d))).groupBy("act").agg(F.count("*").alias("n"), F.sum(F.unix_micros("ts") - F.unix_micros("start_ts")).alias("us")))
+add("sample_cases", lambda s, d: digest(core.sample_cases(L(s, d), 100)))
+add("case_prefixes", lambda s, d: digest(core.shorter(E(s, d), 3)), f"WITH {SQL_E} SELECT case_id, idx, act FROM ev WHERE idx < 3")
+add("log_graph", lambda s, d: core.graph_edges(E(s, d)).groupBy("kind").agg(F.count("*").alias("n")), f"WITH {SQL_E} SELECT 'belongs_to' AS kind, count(*) AS n FROM ev UNION ALL SELECT 'directly_follows', count(*) - count(DISTINCT case_id) FROM ev")
+
+# Filters
+add("filter_event_attribute", lambda s, d: digest(filters.event_attribute_values(E(s, d), "act", ["click", "view"])), f"WITH {SQL_E} SELECT case_id, idx, act FROM ev WHERE act IN ('click', 'view')")
+add("filter_event_attribute_exclude", lambda s, d: digest(filters.event_attribute_values(E(s, d), "act", ["click", "view"], False)), f"WITH {SQL_E} SELECT case_id, idx, act FROM ev WHERE act NOT IN ('click', 'view')")
+keep("filter_event_attribute_cases", L, SQL_L, lambda x: filters.event_attribute_values(x, "act", ["RF"], level="cases"), "IN (SELECT case_id FROM ev WHERE act = 'RF')")
+keep("filter_case_attribute", L, SQL_L, lambda x: filters.case_attribute_values(x, "res", ["1", "2", "3"]), "IN " + FIRST.format("arg_min(res, idx) IN ('1', '2', '3')"))
+keep("filter_start_activities", L, SQL_L, lambda x: filters.start_activities(x, ["AF", "NO"]), "IN " + FIRST.format(f"{A1} IN ('AF', 'NO')"))
+keep("filter_start_activities_exclude", L, SQL_L, lambda x: filters.start_activities(x, ["AF", "NO"], False), "NOT IN " + FIRST.format(f"{A1} IN ('AF', 'NO')"))
+keep("filter_end_activities", L, SQL_L, lambda x: filters.end_activities(x, ["RF"]), "IN " + FIRST.format(f"{A2} = 'RF'"))
+keep("filter_variants", L, SQL_L, lambda x: filters.variants(x, [["AF"], ["RF", "NO"], ["NO", "NO"]]), "IN (SELECT case_id FROM tr WHERE seq IN (['AF'], ['RF', 'NO'], ['NO', 'NO']))", True)
+keep("filter_variants_top_k", L, SQL_L, lambda x: filters.variants_top_k(x, 5), "IN (SELECT case_id FROM tr WHERE seq IN (SELECT seq FROM (SELECT seq, count(*) AS n FROM tr GROUP BY seq ORDER BY n DESC, seq DESC LIMIT 5)))", True)
+keep("filter_variants_coverage", C, SQL_C, lambda x: filters.variants_by_coverage(x, 0.05), "IN (SELECT case_id FROM tr WHERE seq IN (SELECT seq FROM tr GROUP BY seq HAVING count(*) >= 0.05 * (SELECT count(*) FROM tr)))", True)
+keep("filter_directly_follows", L, SQL_L, lambda x: filters.directly_follows(x, [("AF", "RF"), ("NO", "NO")]), "IN (SELECT case_id FROM p WHERE (act = 'AF' AND nx = 'RF') OR (act = 'NO' AND nx = 'NO'))", also="p AS (SELECT case_id, act, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS nx FROM ev)")
+keep("filter_eventually_follows", L, SQL_L, lambda x: filters.eventually_follows(x, ["AF", "RF", "NO"]), "IN (SELECT a.case_id FROM ev a JOIN ev b ON a.case_id = b.case_id AND a.idx < b.idx JOIN ev c ON b.case_id = c.case_id AND b.idx < c.idx WHERE a.act = 'AF' AND b.act = 'RF' AND c.act = 'NO')")
+keep("filter_rework", L, SQL_L, lambda x: filters.activities_rework(x, "NO", 2), "IN " + FIRST.format("count(*) FILTER (WHERE act = 'NO') >= 2"))
+add("filter_prefixes", lambda s, d: digest(filters.prefixes(L(s, d), "RF")), f"WITH {SQL_L}, b AS (SELECT case_id, min(idx) AS k FROM ev WHERE act = 'RF' GROUP BY 1) SELECT case_id, idx, act FROM ev JOIN b USING (case_id) WHERE idx < k")
+add("filter_suffixes", lambda s, d: digest(filters.suffixes(L(s, d), "RF", strict=False, occurrence="last")), f"WITH {SQL_L}, b AS (SELECT case_id, max(idx) AS k FROM ev WHERE act = 'RF' GROUP BY 1) SELECT case_id, idx, act FROM ev JOIN b USING (case_id) WHERE idx >= k")
+add("filter_between", lambda s, d: digest(filters.between(E(s, d), ["signup"], ["purchase"])))
+keep("filter_four_eyes", L, SQL_L, lambda x: filters.four_eyes(x, "AF", "RF"), "IN (SELECT case_id FROM (SELECT case_id, list(DISTINCT res) FILTER (WHERE act = 'AF') AS x, list(DISTINCT res) FILTER (WHERE act = 'RF') AS y FROM ev GROUP BY 1) WHERE len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y))")
+keep("filter_different_resources", L, SQL_L, lambda x: filters.different_resources(x, "NO"), "IN " + FIRST.format("count(DISTINCT res) FILTER (WHERE act = 'NO') > 1"))
+keep("filter_trace_segments", L, SQL_L, lambda x: filters.trace_segments(x, ["AF", "...", "RF"]), "IN (SELECT case_id FROM tr WHERE len(seq) >= 2 AND seq[1] = 'AF' AND seq[-1] = 'RF')", True)
+keep("filter_case_size", L, SQL_L, lambda x: filters.case_size(x, 2, 4), "IN " + FIRST.format("count(*) BETWEEN 2 AND 4"))
+keep("filter_case_performance", L, SQL_L, lambda x: filters.case_performance(x, 864000, 86400000), "IN " + FIRST.format("arg_max(s, idx) - arg_min(s, idx) BETWEEN 864000 AND 86400000"))
+keep("filter_paths_performance", L, SQL_L, lambda x: filters.paths_performance(x, ("NO", "NO"), 0, 864000), "IN (SELECT case_id FROM p WHERE act = 'NO' AND nx = 'NO' AND dt BETWEEN 0 AND 864000)", also="p AS (SELECT case_id, act, lead(act) OVER w AS nx, lead(s) OVER w - s AS dt FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx))")
+for mode, having in (("contained", "arg_min(ts, idx) >= lo AND arg_max(ts, idx) <= hi"), ("intersecting", "arg_min(ts, idx) <= hi AND arg_max(ts, idx) >= lo"), ("starting", "arg_min(ts, idx) BETWEEN lo AND hi"), ("completing", "arg_max(ts, idx) BETWEEN lo AND hi")):
+    lo, hi = "TIMESTAMP '1994-01-01'", "TIMESTAMP '1996-01-01'"
+    keep(f"filter_time_{mode}", L, SQL_L, lambda x, m=mode: filters.time_range(x, "1994-01-01", "1996-01-01", m), "IN " + FIRST.format(having.replace("lo", lo).replace("hi", hi)))
+add("filter_time_events", lambda s, d: digest(filters.time_range(L(s, d), "1994-01-01", "1996-01-01", "events")), f"WITH {SQL_L} SELECT case_id, idx, act FROM ev WHERE ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-01-01'")
+add("filter_relative_occurrence", lambda s, d: digest(filters.relative_occurrence(L(s, d), "res", 0.05)), f"WITH {SQL_L} SELECT case_id, idx, act FROM ev WHERE res IN (SELECT res FROM ev GROUP BY res HAVING count(DISTINCT case_id) >= 0.05 * (SELECT count(DISTINCT case_id) FROM ev))")
+
+# Statistics
+add("attribute_values", lambda s, d: stats.attribute_values(L(s, d), "act"), f"WITH {SQL_L} SELECT act AS value, count(*) AS n FROM ev GROUP BY 1")
+add("attribute_values_per_case", lambda s, d: stats.attribute_values(L(s, d), "act", True), f"WITH {SQL_L} SELECT act AS value, count(DISTINCT case_id) AS n FROM ev GROUP BY 1")
+add("start_activities", lambda s, d: stats.start_activities(L(s, d)), f"WITH {SQL_L} SELECT act, count(*) AS n FROM ev WHERE idx = 0 GROUP BY 1")
+add("end_activities", lambda s, d: stats.end_activities(L(s, d)), f"WITH {SQL_L} SELECT act, count(*) AS n FROM (SELECT {A2} AS act FROM ev GROUP BY case_id) GROUP BY 1")
+add("attribute_presence", lambda s, d: stats.attribute_presence(L(s, d), ["act", "res", "quantity"]), f"WITH {SQL_L}, p AS (SELECT bool_or(act IS NOT NULL) AS a, bool_or(res IS NOT NULL) AS r, bool_or(quantity IS NOT NULL) AS q FROM ev GROUP BY case_id) SELECT 'act' AS \"column\", bool_and(a) AS in_every_case FROM p UNION ALL SELECT 'res', bool_and(r) FROM p UNION ALL SELECT 'quantity', bool_and(q) FROM p")
+for kind, part, lo_, hi_ in (("hour", "hour(ts)", 0, 23), ("month", "month(ts)", 1, 12), ("days_month", "day(ts)", 1, 31), ("days_week", "isodow(ts) - 1", 0, 6), ("weeks", "weekofyear(ts)", 0, 53)):
+    add(f"events_distribution_{kind}", lambda s, d, k=kind: stats.events_distribution(E(s, d), k), f"WITH {SQL_E}, c AS (SELECT {part} AS bin, count(*) AS n FROM ev GROUP BY 1) SELECT g.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range({lo_}, {hi_ + 1})) AS bin) g LEFT JOIN c ON c.bin = g.bin")
+add("stochastic_language", lambda s, d: rounded(joined(stats.stochastic_language(C(s, d))), "p", places=9), f"WITH {SQL_C}, {SQL_T} SELECT array_to_string(seq, '>') AS seq, round(count(*) / sum(count(*)) OVER (), 9) AS p FROM tr GROUP BY 1")
+add("rework", lambda s, d: stats.rework(L(s, d)), f"WITH {SQL_L} SELECT act, count(*) AS n FROM (SELECT case_id, act FROM ev GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
+add("rework_cases", lambda s, d: stats.rework_cases(L(s, d)), f"WITH {SQL_L} SELECT case_id, count(*) AS n_events, count(*) - count(DISTINCT act) AS rework FROM ev GROUP BY 1")
+add("case_description", lambda s, d: stats.case_description(L(s, d)), f"WITH {SQL_L}, c AS (SELECT case_id, arg_min(s, idx) AS \"start\", arg_max(s, idx) AS \"end\", count(*) AS n_events FROM ev GROUP BY 1) SELECT *, \"end\" - \"start\" AS duration FROM c")
+add("case_duration_places", lambda s, d: stats.upper_median_duration(L(s, d)), f"WITH {SQL_L}, c AS (SELECT arg_max(s, idx) - arg_min(s, idx) AS d FROM ev GROUP BY case_id), z AS (SELECT list(d ORDER BY d) AS x FROM c) SELECT x[len(x) // 2 + 1] AS median, x[3 * len(x) // 4 + 1] AS quartile FROM z")
+add("arrival_average", lambda s, d: rounded(stats.arrival_average(L(s, d)), "arrival", "dispersion"), f"WITH {SQL_L}, c AS (SELECT arg_min(s, idx) AS b, arg_max(s, idx) AS e FROM ev GROUP BY case_id) SELECT round((SELECT avg(x) FROM (SELECT b - lag(b) OVER (ORDER BY b) AS x FROM c)), 5) AS arrival, round((SELECT avg(x) FROM (SELECT e - lag(e) OVER (ORDER BY e) AS x FROM c)), 5) AS dispersion")
+add("variant_statistics", lambda s, d: rounded(joined(stats.variant_statistics(L(s, d))), "mean_duration"), f"WITH {SQL_L}, {SQL_T}, c AS (SELECT case_id, arg_max(s, idx) - arg_min(s, idx) AS d FROM ev GROUP BY 1) SELECT array_to_string(seq, '>') AS seq, count(*) AS n, round(avg(d), 5) AS mean_duration FROM tr JOIN c USING (case_id) GROUP BY 1")
+SELF = "q AS (SELECT act, idx, case_id, lag(idx) OVER (PARTITION BY case_id, act ORDER BY idx) AS p FROM ev), m AS (SELECT act, min(idx - p - 1) AS distance FROM q WHERE p IS NOT NULL GROUP BY act)"
+add("minimum_self_distances", lambda s, d: stats.minimum_self_distances(E(s, d)), f"WITH {SQL_E}, {SELF} SELECT act, distance FROM m")
+add("self_distance_witnesses", lambda s, d: stats.self_distance_witnesses(core.shorter(E(s, d), 12)), f"WITH {SQL_E.replace('ev AS', 'e0 AS', 1)}, ev AS (SELECT * FROM e0 WHERE idx < 12), {SELF} SELECT DISTINCT q.act, ev.act AS witness FROM q JOIN m ON q.act = m.act AND q.idx - q.p - 1 = m.distance AND m.distance > 0 JOIN ev ON ev.case_id = q.case_id AND ev.idx > q.p AND ev.idx < q.idx")
+add("activity_positions", lambda s, d: stats.activity_positions(L(s, d), "RF"), f"WITH {SQL_L} SELECT idx AS position, count(*) AS n FROM ev WHERE act = 'RF' GROUP BY 1")
+add("service_time", lambda s, d: rounded(stats.service_time(I(s, d)), "mean", "median", "stdev", places=3), f"WITH {SQL_I} SELECT act, round(avg(e - b), 3) AS mean, round(median(e - b), 3) AS median, min(e - b) AS min, max(e - b) AS max, sum(e - b) AS sum, round(coalesce(stddev_samp(e - b), 0), 3) AS stdev FROM ev GROUP BY 1")
+add("eventually_follows_sequences", lambda s, d: stats.eventually_follows(L(s, d)), f"WITH {SQL_L} SELECT a.act AS source, b.act AS target, count(*) AS n FROM ev a JOIN ev b ON a.case_id = b.case_id AND a.idx < b.idx GROUP BY 1, 2")
+PAIRS = "po AS (SELECT x.case_id, x.idx AS i, y.idx AS j, x.act AS source, y.act AS target, y.b - x.e AS seconds FROM ev x JOIN ev y ON x.case_id = y.case_id AND x.idx <> y.idx AND x.e <= y.b AND (x.b < y.b OR (x.b = y.b AND x.idx < y.idx)))"
+add("partial_order", lambda s, d: stats.partial_order_pairs(I(s, d)), f"WITH {SQL_I}, {PAIRS} SELECT * FROM po")
+add("eventually_follows_graph", lambda s, d: stats.partial_order_pairs(I(s, d)).groupBy("source", "target").agg(F.count("*").alias("n")), f"WITH {SQL_I}, {PAIRS} SELECT source, target, count(*) AS n FROM po GROUP BY 1, 2")
+add("concurrent_activities", lambda s, d: stats.concurrent_pairs(I(s, d)), f"WITH {SQL_I} SELECT least(x.act, y.act) AS act_a, greatest(x.act, y.act) AS act_b, count(*) AS n FROM ev x JOIN ev y ON x.case_id = y.case_id AND x.idx < y.idx AND greatest(x.b, y.b) < least(x.e, y.e) GROUP BY 1, 2")
+add("cycle_time", lambda s, d: rounded(stats.cycle_time(core.format_log(tables.read(s, d, "events"), "user_id", "event_type", "ts", ("event_id",)).withColumn("start_ts", F.col("ts")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 90 SECONDS"))), "cycle_time"), f"WITH {SQL_E}, i AS (SELECT DISTINCT s AS b, s + 90 AS e FROM ev), g AS (SELECT b, e, CASE WHEN b > max(e) OVER (ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (ORDER BY b, e) = 1 THEN 1 ELSE 0 END AS nw FROM i), h AS (SELECT b, e, sum(nw) OVER (ORDER BY b, e) AS k FROM g), m AS (SELECT k, min(b) AS b, max(e) AS e FROM h GROUP BY k) SELECT round(CAST(sum(e - b) FILTER (WHERE k < (SELECT max(k) FROM m)) AS DOUBLE) / (SELECT count(DISTINCT case_id) FROM ev), 5) AS cycle_time FROM m")
+add("passed_time", lambda s, d: rounded(stats.passed_time(E(s, d), "purchase"), "pre", "post"), f"WITH {SQL_E}, p AS (SELECT act, lead(act) OVER w AS nx, greatest(lead(s) OVER w - s, 0) AS d FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx)) SELECT round(avg(d) FILTER (WHERE nx = 'purchase'), 5) AS pre, round(avg(d) FILTER (WHERE act = 'purchase' AND nx IS NOT NULL), 5) AS post FROM p")
+add("case_overlap", lambda s, d: stats.case_overlap(E(s, d)), f"WITH {SQL_E}, c AS (SELECT case_id, min(s) AS b, max(s) AS e FROM ev GROUP BY 1) SELECT x.case_id, count(*) AS overlap FROM c x JOIN c y ON y.b <= x.e AND y.e >= x.b GROUP BY 1")
+add("service_waiting_time", lambda s, d: stats.service_waiting_time(I(s, d)).select("case_id", "idx", "service", "sojourn", "waiting"), f"WITH {SQL_I}, w AS (SELECT case_id, idx, sum(e - b) OVER p AS service, max(e) OVER p - min(b) OVER p AS sojourn FROM ev WINDOW p AS (PARTITION BY case_id)) SELECT *, sojourn - service AS waiting FROM w")
+add("total_entropy", lambda s, d: rounded(stats.entropy(L(s, d)), "entropy"), f"WITH {SQL_L}, a AS (SELECT case_id, idx, act FROM ev UNION ALL SELECT DISTINCT case_id, -1, '▶' FROM ev UNION ALL SELECT case_id, max(idx) + 1, '■' FROM ev GROUP BY 1), p AS (SELECT act AS a, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS b FROM a), n AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2), f AS (SELECT n / sum(n) OVER (PARTITION BY a) AS x, n / sum(n) OVER (PARTITION BY b) AS y FROM n) SELECT round(-sum(x * log2(x)) - sum(y * log2(y)), 5) AS entropy FROM f")
+add("kde_attribute", lambda s, d: rounded(stats.kde(L(s, d), "quantity"), "x", "density", places=6), f"WITH {SQL_L}, s AS (SELECT count(*) AS n, stddev_samp(quantity) * pow(count(*), -0.2) AS h, min(quantity) AS lo, max(quantity) AS hi FROM ev), g AS (SELECT lo + i * (hi - lo) / 49 AS x, h, n FROM s, (SELECT unnest(range(0, 50)) AS i)), v AS (SELECT quantity AS v, count(*) AS m FROM ev GROUP BY 1) SELECT round(x, 6) AS x, round(sum(m * exp(-0.5 * pow((x - v) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density FROM g, v GROUP BY x, h, n")
+
+# Discovery
+add("dfg", lambda s, d: discovery.dfg(L(s, d)), f"WITH {SQL_L}, p AS (SELECT act AS source, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS target FROM ev) SELECT source, target, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY 1, 2")
+add("dfg_window_2", lambda s, d: discovery.dfg(E(s, d), 2), f"WITH {SQL_E}, p AS (SELECT act AS source, lead(act, 2) OVER (PARTITION BY case_id ORDER BY idx) AS target FROM ev) SELECT source, target, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY 1, 2")
+add("dfg_once_per_case", lambda s, d: discovery.dfg(E(s, d), once_per_case=True), f"WITH {SQL_E}, p AS (SELECT DISTINCT case_id, act AS source, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS target FROM ev) SELECT source, target, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY 1, 2")
+add("performance_dfg", lambda s, d: rounded(discovery.performance_dfg(E(s, d)), "mean", "median", "sum", "stdev", places=3), f"WITH {SQL_E}, p AS (SELECT act AS source, lead(act) OVER w AS target, greatest(lead(s) OVER w - s, 0) AS d FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx)) SELECT source, target, count(*) AS n, round(avg(d), 3) AS mean, round(median(d), 3) AS median, min(d) AS min, max(d) AS max, round(sum(d), 3) AS sum, round(coalesce(stddev_samp(d), 0), 3) AS stdev FROM p WHERE target IS NOT NULL GROUP BY 1, 2")
+add("temporal_profile", lambda s, d: rounded(discovery.temporal_profile(L(s, d)), "mean", "stdev", places=3), f"WITH {SQL_L} SELECT x.act AS source, y.act AS target, round(avg(y.s - x.s), 3) AS mean, round(coalesce(stddev_samp(y.s - x.s), 0), 3) AS stdev FROM ev x JOIN ev y ON x.case_id = y.case_id AND x.idx < y.idx AND y.s >= x.s GROUP BY 1, 2")
+add("temporal_conformance", lambda s, d: discovery.temporal_deviations(L(s, d), discovery.temporal_profile(L(s, d)), 2.0).groupBy("case_id").agg(F.count("*").alias("n")), f"WITH {SQL_L}, q AS (SELECT x.case_id, x.act AS a, y.act AS b, y.s - x.s AS d FROM ev x JOIN ev y ON x.case_id = y.case_id AND x.idx < y.idx AND y.s >= x.s), p AS (SELECT a, b, avg(d) AS m, coalesce(stddev_samp(d), 0) AS sd FROM q GROUP BY 1, 2) SELECT case_id, count(*) AS n FROM q JOIN p USING (a, b) WHERE CASE WHEN sd = 0 THEN abs(d - m) > 0 ELSE abs(d - m) > 2 * sd END GROUP BY 1")
+DF_L = "g AS (SELECT source, target, count(*) AS n FROM (SELECT act AS source, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS target FROM ev) WHERE target IS NOT NULL GROUP BY 1, 2)"
+add("footprints", lambda s, d: discovery.footprints(discovery.dfg(C(s, d))), f"WITH {SQL_C}, {DF_L} SELECT g.source, g.target, CASE WHEN r.source IS NULL THEN 'sequence' ELSE 'parallel' END AS relation FROM g LEFT JOIN g r ON r.source = g.target AND r.target = g.source")
+add("footprint_deviations", lambda s, d: discovery.footprint_deviations(discovery.dfg(C(s, d)), s.createDataFrame([("user", "assistant")], "source string, target string")), f"WITH {SQL_C}, {DF_L} SELECT source, target, n FROM g WHERE NOT (source = 'user' AND target = 'assistant')")
+add("prefix_tree", lambda s, d: joined(discovery.prefix_tree(L(s, d)), "prefix"), f"WITH {SQL_L}, {SQL_T}, t AS (SELECT seq[1:20] AS seq FROM tr), x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS depth FROM t) SELECT array_to_string(seq[1:depth], '>') AS prefix, CAST(depth AS INT) AS depth, count(*) AS n, CAST(sum(CASE WHEN depth = len(seq) THEN 1 ELSE 0 END) AS BIGINT) AS n_final FROM x GROUP BY 1, 2")
+add("transition_system", lambda s, d: joined(joined(discovery.transition_system(L(s, d)), "source"), "target"), f"WITH {SQL_L}, {SQL_T}, x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS i FROM tr) SELECT array_to_string(seq[greatest(1, i - 2):i - 1], '>') AS source, seq[i] AS act, array_to_string(seq[greatest(1, i - 1):i], '>') AS target, count(*) AS n FROM x GROUP BY 1, 2, 3")
+add("log_skeleton", lambda s, d: discovery.skeleton(C(s, d)), f"WITH {SQL_C}, c AS (SELECT case_id, act, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM ev GROUP BY 1, 2), k AS (SELECT act, count(*) AS cases FROM c GROUP BY 1), b AS (SELECT x.act AS source, y.act AS target, count(*) AS together, count(*) FILTER (WHERE x.n = y.n) AS eq, count(*) FILTER (WHERE y.hi > x.hi) AS af, count(*) FILTER (WHERE y.lo < x.lo) AS be FROM c x JOIN c y ON x.case_id = y.case_id AND x.act <> y.act GROUP BY 1, 2), z AS (SELECT p.act AS source, q.act AS target, p.cases AS c1, q.cases AS c2, coalesce(together, 0) AS tg, coalesce(eq, 0) AS eq, coalesce(af, 0) AS af, coalesce(be, 0) AS be FROM k p JOIN k q ON p.act <> q.act LEFT JOIN b ON b.source = p.act AND b.target = q.act), {DF_L}, a AS (SELECT act, count(*) AS m FROM ev GROUP BY 1) SELECT 'equivalence' AS relation, source, target FROM z WHERE eq = c1 AND eq = c2 UNION ALL SELECT 'always_after', source, target FROM z WHERE af = c1 UNION ALL SELECT 'always_before', source, target FROM z WHERE be = c1 UNION ALL SELECT 'never_together', source, target FROM z WHERE tg = 0 UNION ALL SELECT 'directly_follows', source, target FROM g JOIN a ON a.act = g.source WHERE source <> target AND n = m")
+add("dfg_clean_noise", lambda s, d: discovery.clean_noise(discovery.dfg(L(s, d)), 0.3), f"WITH {SQL_L}, {DF_L}, e AS (SELECT act, max(n) AS m FROM (SELECT source AS act, n FROM g UNION ALL SELECT target, n FROM g) GROUP BY 1) SELECT source, target, n FROM g JOIN e x ON x.act = source JOIN e y ON y.act = target WHERE n >= 0.3 * least(x.m, y.m)")
+add("heuristics_dependency", lambda s, d: rounded(discovery.dependency(discovery.dfg(L(s, d))), "dependency", places=9), f"WITH {SQL_L}, {DF_L} SELECT g.source, g.target, round(CASE WHEN g.source = g.target THEN g.n / (g.n + 1) ELSE (g.n - coalesce(r.n, 0)) / (g.n + coalesce(r.n, 0) + 1) END, 9) AS dependency FROM g LEFT JOIN g r ON r.source = g.target AND r.target = g.source")
+
+# Organization
+add("handover", lambda s, d: rounded(org.handover(L(s, d)), "weight", places=9), f"WITH {SQL_L}, p AS (SELECT res AS source, lead(res) OVER (PARTITION BY case_id ORDER BY idx) AS target FROM ev) SELECT source, target, round(count(*) / sum(count(*)) OVER (), 9) AS weight FROM p WHERE target IS NOT NULL GROUP BY 1, 2")
+add("handover_beta", lambda s, d: rounded(org.handover(L(s, d), 0.5), "weight", places=9), f"WITH {SQL_L}, g AS (SELECT x.res AS source, y.res AS target, sum(pow(0.5, y.idx - x.idx - 1)) AS w FROM ev x JOIN ev y ON x.case_id = y.case_id AND x.idx < y.idx GROUP BY 1, 2) SELECT source, target, round(w / sum(w) OVER (), 9) AS weight FROM g")
+add("working_together", lambda s, d: rounded(org.working_together(L(s, d)), "weight", places=9), f"WITH {SQL_L}, r AS (SELECT DISTINCT case_id, res FROM ev) SELECT x.res AS source, y.res AS target, round(count(*) / (SELECT count(DISTINCT case_id) FROM ev), 9) AS weight FROM r x JOIN r y ON x.case_id = y.case_id AND x.res <> y.res GROUP BY 1, 2")
+add("activity_similarity", lambda s, d: rounded(org.activity_similarity(L(s, d)), "weight", places=6), f"WITH {SQL_L}, c AS (SELECT res, act, count(*) AS n FROM ev GROUP BY 1, 2), f AS (SELECT r.res, a.act, coalesce(n, 0) AS n FROM (SELECT DISTINCT res FROM ev) r CROSS JOIN (SELECT DISTINCT act FROM ev) a LEFT JOIN c ON c.res = r.res AND c.act = a.act), v AS (SELECT res FROM f GROUP BY res HAVING stddev_pop(n) > 0), w AS (SELECT DISTINCT x.res AS p, y.res AS q FROM c x JOIN c y ON x.act = y.act AND x.res <> y.res) SELECT x.res AS source, y.res AS target, round(corr(x.n, y.n), 6) AS weight FROM w JOIN f x ON x.res = w.p JOIN f y ON y.res = w.q AND x.act = y.act WHERE x.res IN (SELECT res FROM v) AND y.res IN (SELECT res FROM v) GROUP BY 1, 2")
+add("network_analysis", lambda s, d: org.network(L(s, d), "res", "act", "res"), f"WITH {SQL_L}, p AS (SELECT act AS source, lead(act) OVER (PARTITION BY res ORDER BY ts, case_id, idx) AS target, res AS edge FROM ev) SELECT source, target, edge, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY 1, 2, 3")
+
+# Features
+ACTS = ["AF", "NF", "NO", "RF"]
+add("case_features", lambda s, d: features.case_features(L(s, d), {"act": ACTS}, ["quantity"]), f"WITH {SQL_L} SELECT case_id, " + ", ".join(f"CAST(max(CASE WHEN act = '{a}' THEN 1 ELSE 0 END) AS INT) AS \"act_{a}\"" for a in ACTS) + ", arg_max(quantity, idx) AS quantity FROM ev GROUP BY 1")
+add("target_vectors", lambda s, d: features.targets(E(s, d)), f"WITH {SQL_E} SELECT case_id, idx, lead(act) OVER w AS next_act, coalesce(lead(s) OVER w - s, 0) AS next_time, max_by(s, idx) OVER (PARTITION BY case_id) - s AS remaining_time FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx)")
+add("temporal_features", lambda s, d: features.weekly(E(s, d)), f"WITH {SQL_E} SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS bin, count(DISTINCT case_id) AS n_cases, count(*) AS n_events, count(DISTINCT act) AS n_acts FROM ev GROUP BY 1")
+add("split_train_test", lambda s, d: features.split(L(s, d), 0.8)[0].agg(F.count_distinct("case_id").alias("n")), f"WITH {SQL_L} SELECT CAST(floor(count(DISTINCT case_id) * 0.8) + 1 AS BIGINT) AS n FROM ev")
+add("process_cube", lambda s, d: rounded(features.cube(L(s, d).groupBy("case_id").agg(F.count("*").cast("double").alias("n_events"), F.sum("quantity").alias("total")), "n_events", "total"), "mean_x"), f"WITH {SQL_L}, f AS (SELECT case_id, CAST(count(*) AS DOUBLE) AS x, sum(quantity) AS y FROM ev GROUP BY 1), s AS (SELECT min(x) AS xl, (max(x) - min(x)) / 4 AS xs, min(y) AS yl, (max(y) - min(y)) / 4 AS ys FROM f) SELECT CAST(greatest(0, ceil((x - xl) / xs) - 1) AS INT) AS x_bin, CAST(greatest(0, ceil((y - yl) / ys) - 1) AS INT) AS y_bin, count(*) AS n, round(avg(x), 5) AS mean_x FROM f, s GROUP BY 1, 2")
+
+# Object-centric
+add("ocel_flatten", lambda s, d: ocel.flatten(O(s, d), "supplier").select("case_id", "idx", "act"), f"WITH {SQL_O} SELECT oid AS case_id, row_number() OVER (PARTITION BY oid ORDER BY eid) - 1 AS idx, act FROM rel WHERE type = 'supplier'")
+NEXT = "nx AS (SELECT type, oid, act AS source, eid, s, lead(act) OVER w AS target, lead(eid) OVER w AS eid2, lead(s) OVER w AS s2 FROM rel WINDOW w AS (PARTITION BY type, oid ORDER BY eid))"
+add("ocdfg", lambda s, d: ocel.ocdfg(O(s, d)), f"WITH {SQL_O}, {NEXT} SELECT type, source, target, count(DISTINCT eid || '|' || eid2) AS event_couples, count(DISTINCT oid) AS unique_objects, count(*) AS total_objects FROM nx WHERE target IS NOT NULL GROUP BY 1, 2, 3")
+add("ocdfg_performance", lambda s, d: rounded(ocel.ocdfg_performance(O(s, d)), "mean", places=3), f"WITH {SQL_O}, {NEXT} SELECT type, source, target, round(avg(s2 - s), 3) AS mean, min(s2 - s) AS min, max(s2 - s) AS max FROM nx WHERE target IS NOT NULL GROUP BY 1, 2, 3")
+add("ocel_object_ends", lambda s, d: ocel.object_ends(O(s, d)), f"WITH {SQL_O}, h AS (SELECT type, oid, arg_min(act, eid) AS b, arg_max(act, eid) AS e FROM rel GROUP BY 1, 2) SELECT type, act, CAST(sum(x) AS BIGINT) AS n_start, CAST(sum(y) AS BIGINT) AS n_end FROM (SELECT type, b AS act, 1 AS x, 0 AS y FROM h UNION ALL SELECT type, e, 0, 1 FROM h) GROUP BY 1, 2")
+INTER = "ia AS (SELECT DISTINCT a.oid, b.oid AS oid2 FROM rel a JOIN rel b ON a.eid = b.eid AND a.oid < b.oid), life AS (SELECT oid, min(eid) AS f, max(eid) AS l FROM rel GROUP BY 1), bo AS (SELECT oid, oid2 FROM ia UNION ALL SELECT oid2, oid FROM ia)"
+add("ocel_interaction_graph", lambda s, d: ocel.object_graph(O(s, d), "interaction"), f"WITH {SQL_O}, {INTER} SELECT oid, oid2 FROM ia")
+add("ocel_cobirth_graph", lambda s, d: ocel.object_graph(O(s, d), "cobirth"), f"WITH {SQL_O}, {INTER} SELECT a.oid, b.oid AS oid2 FROM life a JOIN life b ON a.f = b.f AND a.oid < b.oid")
+add("ocel_codeath_graph", lambda s, d: ocel.object_graph(O(s, d), "codeath"), f"WITH {SQL_O}, {INTER} SELECT a.oid, b.oid AS oid2 FROM life a JOIN life b ON a.l = b.l AND a.oid < b.oid")
+add("ocel_descendants_graph", lambda s, d: ocel.object_graph(O(s, d), "descendants"), f"WITH {SQL_O}, {INTER} SELECT bo.oid, bo.oid2 FROM bo JOIN life a ON a.oid = bo.oid JOIN life b ON b.oid = bo.oid2 WHERE a.f < b.f")
+add("ocel_inheritance_graph", lambda s, d: ocel.object_graph(O(s, d), "inheritance"), f"WITH {SQL_O}, {INTER}, h AS (SELECT bo.oid, bo.oid2 FROM bo JOIN life a ON a.oid = bo.oid JOIN life b ON b.oid = bo.oid2 WHERE a.l = b.f) SELECT oid, oid2 FROM h WHERE NOT EXISTS (SELECT 1 FROM h r WHERE r.oid = h.oid2 AND r.oid2 = h.oid)")
+add("ocel_type_graph", lambda s, d: ocel.type_graph(O(s, d)), f"WITH {SQL_O}, {INTER}, ty AS (SELECT DISTINCT oid, type FROM rel) SELECT a.type, b.type AS type2, count(*) AS n FROM bo JOIN ty a ON a.oid = bo.oid JOIN ty b ON b.oid = bo.oid2 GROUP BY 1, 2")
+add("ocel_activity_type_graph", lambda s, d: ocel.activity_type_graph(O(s, d)), f"WITH {SQL_O} SELECT act, type, count(*) AS n, count(DISTINCT oid) AS n_objects, count(DISTINCT eid) AS n_events FROM rel GROUP BY 1, 2")
+add("ocel_objects_summary", lambda s, d: ocel.objects_summary(O(s, d)), f"WITH {SQL_O} SELECT oid, type, count(*) AS n_events, count(DISTINCT act) AS n_acts, max(s) - min(s) AS duration FROM rel GROUP BY 1, 2")
+add("ocel_temporal_summary", lambda s, d: ocel.temporal_summary(O(s, d)).select(F.unix_seconds("ts").alias("t"), "n_events", "n_objects"), f"WITH {SQL_O} SELECT CAST(s AS BIGINT) AS t, count(DISTINCT eid) AS n_events, count(DISTINCT oid) AS n_objects FROM rel GROUP BY 1")
+add("ocel_counts_per_type", lambda s, d: ocel.counts_per_type(O(s, d)).groupBy("type", "n").agg(F.count("*").alias("events")), f"WITH {SQL_O}, raw AS (SELECT eid, 'order' AS type FROM x UNION ALL SELECT eid, 'part' FROM x UNION ALL SELECT eid, 'supplier' FROM x), c AS (SELECT eid, type, count(*) AS n FROM raw GROUP BY 1, 2) SELECT type, n, count(*) AS events FROM c GROUP BY 1, 2")
+add("ocel_allowed_activities", lambda s, d: ocel.allowed_activities(O(s, d), [("order", "AF"), ("part", "NO")]).select("eid", "oid"), f"WITH {SQL_O} SELECT eid, oid FROM rel WHERE (type = 'order' AND act = 'AF') OR (type = 'part' AND act = 'NO')")
+add("ocel_filter_events", lambda s, d: ocel.summary(ocel.of_events(O(s, d), O(s, d).events.filter("act = 'RF'"))).filter("part in ('events', 'objects')"), f"WITH {SQL_O} SELECT 'events' AS part, count(DISTINCT eid) AS n FROM rel WHERE act = 'RF' UNION ALL SELECT 'objects', count(DISTINCT oid) FROM rel WHERE act = 'RF'")
+add("ocel_filter_objects", lambda s, d: ocel.summary(ocel.of_objects(O(s, d), O(s, d).objects.filter("type = 'supplier' and oid in ('s1', 's2')"))).filter("part in ('events', 'objects')"), f"WITH {SQL_O} SELECT 'events' AS part, count(DISTINCT eid) AS n FROM rel WHERE oid IN ('s1', 's2') UNION ALL SELECT 'objects', count(DISTINCT oid) FROM rel WHERE oid IN ('s1', 's2')")
+add("ocel_lifecycle_qualifiers", lambda s, d: ocel.lifecycle_qualifiers(O(s, d)).groupBy("qualifier").agg(F.count("*").alias("n")), f"WITH {SQL_O}, p AS (SELECT row_number() OVER (PARTITION BY oid ORDER BY eid) AS i, count(*) OVER (PARTITION BY oid) AS n FROM rel) SELECT CASE WHEN i = 1 THEN 'creation' WHEN i = n THEN 'termination' ELSE 'other' END AS qualifier, count(*) AS n FROM p GROUP BY 1")
+add("ocel_unfold", lambda s, d: ocel.unfold(O(s, d), "RF", "order").events.groupBy("act").agg(F.count("*").alias("n")), f"WITH {SQL_O} SELECT CASE WHEN act = 'RF' THEN '(RF, order)' ELSE act END AS act, count(DISTINCT eid) AS n FROM x GROUP BY 1")
+add("ocel_extended", lambda s, d: ocel.extended(O(s, d), ["order", "part", "supplier"]), f"WITH {SQL_O}, z AS (SELECT DISTINCT eid, act, o, p, u FROM x) SELECT eid, act, string_agg(DISTINCT o, ',' ORDER BY o) AS \"order\", string_agg(DISTINCT p, ',' ORDER BY p) AS part, string_agg(DISTINCT u, ',' ORDER BY u) AS supplier FROM z GROUP BY 1, 2")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
