@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +108,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MEMBER_BITS = 24  # a bitmap of 2 MB, whatever the number of ids
+
+
+def maybe_among(ids: DataFrame, key: str):
+    """A function of a long column: false only where it is none of the ids.
+
+    Ids set bits of one bitmap of fixed size by their hash; its parts are made on the executors.
+    It lets most rows pass (or stay out) before an exact join moves the rest.
+    """
+    spark = ids.sparkSession
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << MEMBER_BITS))
+    parts = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).collect()
+    bits = np.zeros((1 << MEMBER_BITS) // 32768 * 4096, np.uint8).reshape(-1, 4096)
+    for r in parts:
+        bits[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(bits.ravel())
+    ship_package(spark)
+
+    @F.pandas_udf("boolean")
+    def test(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(1 << MEMBER_BITS)))
+
+
 def sample_share(n: int, bound: int) -> int:
     """Parts in a million that keep about ``bound`` of ``n`` rows."""
     return 1_000_000 if n <= bound else max(1, bound * 1_000_000 // n)

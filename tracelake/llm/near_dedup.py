@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.shipping import ship_package
 
-from .common import bounded_batches, fresh, map_slices, slices, table, written
+from .common import bounded_batches, fresh, map_slices, maybe_among, slices, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 18, 5
@@ -403,7 +403,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = written(keyed.join(shared, "bucket", "left_semi"), "buckets")
     met = buckets.select("v").distinct()
-    bodies = written(rows.join(met, "v", "left_semi").select("v", "digest", "text").join(texts.select(F.col("text_id").alias("v"), "digest", "bands", "samples"), ["v", "digest"]).dropDuplicates(["v"]).drop("digest"), "bodies")
+    known = texts.select(F.col("text_id").alias("v"), "digest", "bands", "samples").join(met, "v", "left_semi")
+    near = maybe_among(met, "v")
+    bodies = written(rows.filter(near(F.col("v"))).join(known, ["v", "digest"]).dropDuplicates(["v", "digest"]).drop("digest"), "bodies")
     samples = bodies.select("v", "samples")
     pairs = _star_pairs(buckets)
     likely = written(pairs.join(samples.select(F.col("v").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("v").alias("b"), F.col("samples").alias("sb")), "b").filter(_agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b"), "likely")
@@ -420,14 +422,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all columns of ``df``: the one whose id and text name the class."""
     out = near_duplicates(df, key, text, threshold)
-    v_, digest_ = fresh(df, "vertex"), fresh(df, "digest")
+    v_, digest_, flag_ = fresh(df, "vertex"), fresh(df, "digest"), fresh(df, "doubtful")
+    out = written(out, "classes")
     keep = out.filter(F.col("text_id") == F.col("class_id")).groupBy(F.col("class_id").alias(v_), F.col("digest").alias(digest_)).agg(F.count(F.when(F.col("v") == F.col("class_id"), 1)).alias("n"))
     keep = written(keep, "keep")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.withColumn(v_, _vertex(key, body)).withColumn(digest_, F.unhex(F.md5(body)))
-    once = rows.join(keep.filter("n = 1").drop("n"), [v_, digest_], "left_semi")
-    often = rows.join(keep.filter("n > 1").drop("n"), [v_, digest_], "left_semi").dropDuplicates([v_, digest_])
-    return once.unionByName(often).select(*[f"`{c}`" for c in df.columns])
+    # most rows are alone in their class; only the others move
+    doubtful = written(out.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select("class_id").join(out.select("class_id", "v"), "class_id").select("v").distinct(), "doubtful")
+    among = maybe_among(doubtful, "v")
+    marked = rows.withColumn(flag_, among(F.col(v_)))
+    passed = marked.filter(~F.col(flag_))
+    once = marked.filter(flag_).join(keep.filter("n = 1").drop("n"), [v_, digest_], "left_semi")
+    often = marked.filter(flag_).join(keep.filter("n > 1").drop("n"), [v_, digest_], "left_semi").dropDuplicates([v_, digest_])
+    return passed.unionByName(once).unionByName(often).select(*[f"`{c}`" for c in df.columns])
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
