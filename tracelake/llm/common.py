@@ -50,6 +50,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Joins small batches until ``column`` holds ``limit`` bytes, then cuts them by ``slices``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + n > limit:
+            yield from slices(joined(), column, limit)
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += n
+    if held:
+        yield from slices(joined(), column, limit)
+
+
 def map_slices(df: DataFrame, text: str, make: Callable[[], Callable[[dict], dict]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Applies a columnar function to bounded slices of ``df``.
 
@@ -62,10 +82,9 @@ def map_slices(df: DataFrame, text: str, make: Callable[[], Callable[[dict], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for part in slices(batch, text, limit):
-                out = f(part.to_pydict())
-                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t.type, from_pandas=False) for v, t in zip(out.values(), fields, strict=True)], schema=fields)
+        for part in gathered(batches, text, limit):
+            out = f(part.to_pydict())
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t.type, from_pandas=False) for v, t in zip(out.values(), fields, strict=True)], schema=fields)
 
     return df.mapInArrow(run, schema)
 

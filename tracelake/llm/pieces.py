@@ -45,7 +45,7 @@ SHARPNESS, RANK_SHIFT, BYTE_COST = 1.0, 16.0, 4.0
 SPACE, LITERAL = "▁", "\udfff"  # the second can't stand in a text
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of text that share one lattice.
-SLICE = 4 << 20
+SLICE = 6 << 20
 #: A Gumbel draw from 53 random bits is below this.
 GUMBEL_MOST = 37.0
 BLOCK = 512
@@ -196,20 +196,26 @@ class Lattice:
                 h = v._step(h, points[char[alive] + n - 1])
             got = v.find(h)
             hit = np.flatnonzero((got >= 0) & (v.ids[got] >= 0))
-            found.append((alive[hit], np.full(hit.size, n, np.int8), v.weights[got[hit]], v.ids[got[hit]]))
+            found.append((alive[hit], n, v.weights[got[hit]], v.ids[got[hit]]))
             if n == 1:
                 bare = alive[(got < 0) | (v.ids[got] < 0)]
                 code = points[char[bare]] - np.uint64(1)
                 size = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
-                found.append((bare, np.ones(bare.size, np.int8), v.byte_weight * size, np.full(bare.size, -1, np.int32)))
+                found.append((bare, 1, v.byte_weight * size, np.full(bare.size, -1, np.int32)))
             more = np.flatnonzero(got >= 0)  # the rest begins no piece
             alive, h = alive[more], h[more]
-        found = found[::-1] or [(np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0), np.zeros(0, np.int32))]
-        start, size, weight, self.piece = (np.concatenate(c) for c in zip(*found, strict=True))
-        by = np.argsort(start, kind="stable")  # runs that are sorted already; longest pieces first at each node
-        self.start, size, weight, self.piece = start[by], size[by], weight[by], self.piece[by]
-        self.end = base[level[self.start] - size] + unit[self.start]
-        self.ptr = np.searchsorted(self.start, np.arange(nodes + 1))
+        found.reverse()
+        self.degree = np.zeros(nodes, np.int64)
+        for starts, *_ in found:
+            self.degree[starts] += 1  # a list has a node once at most
+        self.ptr = np.concatenate([[0], np.cumsum(self.degree)])
+        edges = int(self.ptr[-1])
+        self.start, self.end, weight, self.piece = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges), np.empty(edges, np.int32)
+        free = self.ptr[:-1].copy()
+        for starts, size, weights, ids in found:  # longest pieces first at each node
+            at = free[starts]
+            free[starts] += 1
+            self.start[at], self.end[at], weight[at], self.piece[at] = starts, base[level[starts] - size] + unit[starts], weights, ids
         beta = np.zeros(nodes)
         for m in range(1, longest + 1):
             lo, hi = self.ptr[base[m]], self.ptr[base[m + 1]]
@@ -219,11 +225,11 @@ class Lattice:
             degree = np.diff(np.append(heads, hi - lo))
             beta[base[m] : base[m + 1]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree)), heads))
         self.log_p = np.minimum(weight + beta[self.end] - beta[self.start], 0.0)
-        self.degree = np.diff(self.ptr)
         run = np.concatenate([[0.0], np.cumsum(np.exp(self.log_p))])
         self.cum = run[1:] - run[self.ptr[self.start]]
         self.cum[self.ptr[1:][self.degree > 0] - 1] = 2.0
         self.terminal = level == 0
+        self.choice = (self.degree > 1)[self.start]
         self.code = points[char] - np.uint64(1)
 
     def draw(self, cur: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,10 +306,10 @@ class Encoder:
             lp = lattice.log_p[part]
             before = np.cumsum(lp) - lp + phi
             rest = -np.expm1(lp)
-            free = lattice.degree[lattice.start[part]] > 1
+            free = lattice.choice[part]
             if at == begin and taken:
                 rest[0] -= np.exp(lattice.log_p[taken]).sum()
-                free[0] = lattice.degree[lattice.start[part[0]]] > 1 + len(taken)
+                free[0] = lattice.degree[lattice.start[part[0]]] > 1 + len(taken)  # a copy: fancy indexing
             live = np.flatnonzero((rest > 1e-13) & free)
             if live.size:
                 with np.errstate(over="ignore"):
@@ -348,7 +354,7 @@ class Encoder:
                     edges = samples[d][parent].edges
                     node = lattice.start[edges[at]]
                     options = np.arange(lattice.ptr[node], lattice.ptr[node + 1])
-                    options = options[~np.isin(options, taken)]
+                    options = np.array([o for o in options.tolist() if o not in taken], np.int64)
                     p = np.cumsum(np.exp(lattice.log_p[options]))
                     with np.errstate(over="ignore"):
                         u = float(uniforms(seeds[d : d + 1] * _C + np.uint64(rank) * _A)[0])
