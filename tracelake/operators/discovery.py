@@ -54,27 +54,30 @@ def transition_system(log: DataFrame, window: int = 2, view: str = "sequence") -
     return x.select(past(F.col("i") - 1).alias("source"), F.element_at("seq", F.col("i")).alias("act"), past(F.col("i")).alias("target"), "n").groupBy("source", "act", "target").agg(F.sum("n").alias("n"))
 
 
-def skeleton(log: DataFrame) -> DataFrame:
-    """relation, source, target of a log skeleton without noise: equivalence, always_after,
-    always_before, never_together, directly_follows."""
+def skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
+    """relation, source, target of a log skeleton: equivalence, always_after, always_before,
+    never_together, directly_follows.
+
+    A pair is kept if its count reaches the source's *occurrences* (less the noise): equivalence
+    adds the occurrences of cases with equal counts, after and before count a case once, direct succession each time.
+    """
     c = log.groupBy(CASE, ACT).agg(F.count("*").alias("n"), F.min(IDX).alias("lo"), F.max(IDX).alias("hi"))
-    per = c.groupBy(ACT).agg(F.count("*").alias("cases"))
     total = log.groupBy(ACT).agg(F.count("*").alias("all"))
     a = c.select(CASE, F.col(ACT).alias("source"), F.col("n").alias("n1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     b = c.select(CASE, F.col(ACT).alias("target"), F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     both = a.join(b, CASE).filter("source != target").groupBy("source", "target").agg(
         F.count("*").alias("together"),
-        F.count_if(F.col("n1") == F.col("n2")).alias("equal"),
-        F.count_if(F.col("hi2") > F.col("hi1")).alias("after"),
-        F.count_if(F.col("lo2") < F.col("lo1")).alias("before"),
+        F.sum(F.when(F.col("n1") == F.col("n2"), F.col("n1")).otherwise(0)).alias("equal"),
+        F.count_if(F.col("lo1") < F.col("hi2")).alias("after"),
+        F.count_if(F.col("lo2") < F.col("hi1")).alias("before"),
     )
-    acts = per.select(F.col(ACT).alias("source"), F.col("cases").alias("c1"))
-    others = per.select(F.col(ACT).alias("target"), F.col("cases").alias("c2"))
-    pairs = acts.join(F.broadcast(others)).filter("source != target")  # activities are few
+    acts = total.select(F.col(ACT).alias("source"), (F.col("all") * F.lit(1.0 - noise)).alias("wanted"), "all")
+    others = total.select(F.col(ACT).alias("target"))
+    pairs = acts.join(F.broadcast(others), F.col("source") != F.col("target"))  # pairs of activities, not of events
     x = pairs.join(both, ["source", "target"], "left").fillna(0)
-    direct = dfg(log).filter("source != target").join(total.withColumnRenamed(ACT, "source"), "source").filter("n = all").select(F.lit("directly_follows").alias("relation"), "source", "target")
+    direct = dfg(log).join(acts, "source").filter("n >= wanted").select(F.lit("directly_follows").alias("relation"), "source", "target")
     rule = lambda name, condition: x.filter(condition).select(F.lit(name).alias("relation"), "source", "target")
-    return rule("equivalence", "equal = c1 and equal = c2").unionByName(rule("always_after", "after = c1")).unionByName(rule("always_before", "before = c1")).unionByName(rule("never_together", "together = 0")).unionByName(direct)
+    return rule("equivalence", "equal >= wanted").unionByName(rule("always_after", "after >= wanted")).unionByName(rule("always_before", "before >= wanted")).unionByName(rule("never_together", "all - together >= wanted")).unionByName(direct)
 
 
 def clean_noise(edges: DataFrame, threshold: float) -> DataFrame:

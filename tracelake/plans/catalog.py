@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.keys import traces
-from tracelake.operators import core, discovery, features, filters, ocel, org, stats
+from tracelake.operators import conformance, core, discovery, features, filters, miners, nets, ocel, org, stats
 from tracelake.sources import tables
 
 E, L, I, C, O = tables.click_log, tables.line_log, tables.interval_log, tables.chat_log, tables.order_ocel  # noqa: E741
@@ -144,7 +144,7 @@ add("footprints", lambda s, d: discovery.footprints(discovery.dfg(C(s, d))), f"W
 add("footprint_deviations", lambda s, d: discovery.footprint_deviations(discovery.dfg(C(s, d)), s.createDataFrame([("user", "assistant")], "source string, target string")), f"WITH {SQL_C}, {DF_L} SELECT source, target, n FROM g WHERE NOT (source = 'user' AND target = 'assistant')")
 add("prefix_tree", lambda s, d: joined(discovery.prefix_tree(L(s, d)), "prefix"), f"WITH {SQL_L}, {SQL_T}, t AS (SELECT seq[1:20] AS seq FROM tr), x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS depth FROM t) SELECT array_to_string(seq[1:depth], '>') AS prefix, CAST(depth AS INT) AS depth, count(*) AS n, CAST(sum(CASE WHEN depth = len(seq) THEN 1 ELSE 0 END) AS BIGINT) AS n_final FROM x GROUP BY 1, 2")
 add("transition_system", lambda s, d: joined(joined(discovery.transition_system(L(s, d)), "source"), "target"), f"WITH {SQL_L}, {SQL_T}, x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS i FROM tr) SELECT array_to_string(seq[greatest(1, i - 2):i - 1], '>') AS source, seq[i] AS act, array_to_string(seq[greatest(1, i - 1):i], '>') AS target, count(*) AS n FROM x GROUP BY 1, 2, 3")
-add("log_skeleton", lambda s, d: discovery.skeleton(C(s, d)), f"WITH {SQL_C}, c AS (SELECT case_id, act, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM ev GROUP BY 1, 2), k AS (SELECT act, count(*) AS cases FROM c GROUP BY 1), b AS (SELECT x.act AS source, y.act AS target, count(*) AS together, count(*) FILTER (WHERE x.n = y.n) AS eq, count(*) FILTER (WHERE y.hi > x.hi) AS af, count(*) FILTER (WHERE y.lo < x.lo) AS be FROM c x JOIN c y ON x.case_id = y.case_id AND x.act <> y.act GROUP BY 1, 2), z AS (SELECT p.act AS source, q.act AS target, p.cases AS c1, q.cases AS c2, coalesce(together, 0) AS tg, coalesce(eq, 0) AS eq, coalesce(af, 0) AS af, coalesce(be, 0) AS be FROM k p JOIN k q ON p.act <> q.act LEFT JOIN b ON b.source = p.act AND b.target = q.act), {DF_L}, a AS (SELECT act, count(*) AS m FROM ev GROUP BY 1) SELECT 'equivalence' AS relation, source, target FROM z WHERE eq = c1 AND eq = c2 UNION ALL SELECT 'always_after', source, target FROM z WHERE af = c1 UNION ALL SELECT 'always_before', source, target FROM z WHERE be = c1 UNION ALL SELECT 'never_together', source, target FROM z WHERE tg = 0 UNION ALL SELECT 'directly_follows', source, target FROM g JOIN a ON a.act = g.source WHERE source <> target AND n = m")
+add("log_skeleton", lambda s, d: discovery.skeleton(C(s, d)), f"WITH {SQL_C}, c AS (SELECT case_id, act, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM ev GROUP BY 1, 2), k AS (SELECT act, count(*) AS m FROM ev GROUP BY 1), b AS (SELECT x.act AS source, y.act AS target, count(*) AS tg, coalesce(sum(x.n) FILTER (WHERE x.n = y.n), 0) AS eq, count(*) FILTER (WHERE x.lo < y.hi) AS af, count(*) FILTER (WHERE y.lo < x.hi) AS be FROM c x JOIN c y ON x.case_id = y.case_id AND x.act <> y.act GROUP BY 1, 2), z AS (SELECT p.act AS source, q.act AS target, p.m, coalesce(tg, 0) AS tg, coalesce(eq, 0) AS eq, coalesce(af, 0) AS af, coalesce(be, 0) AS be FROM k p JOIN k q ON p.act <> q.act LEFT JOIN b ON b.source = p.act AND b.target = q.act), {DF_L} SELECT 'equivalence' AS relation, source, target FROM z WHERE eq >= m UNION ALL SELECT 'always_after', source, target FROM z WHERE af >= m UNION ALL SELECT 'always_before', source, target FROM z WHERE be >= m UNION ALL SELECT 'never_together', source, target FROM z WHERE tg = 0 UNION ALL SELECT 'directly_follows', source, target FROM g JOIN k ON k.act = g.source WHERE n >= m")
 add("dfg_clean_noise", lambda s, d: discovery.clean_noise(discovery.dfg(L(s, d)), 0.3), f"WITH {SQL_L}, {DF_L}, e AS (SELECT act, max(n) AS m FROM (SELECT source AS act, n FROM g UNION ALL SELECT target, n FROM g) GROUP BY 1) SELECT source, target, n FROM g JOIN e x ON x.act = source JOIN e y ON y.act = target WHERE n >= 0.3 * least(x.m, y.m)")
 add("heuristics_dependency", lambda s, d: rounded(discovery.dependency(discovery.dfg(L(s, d))), "dependency", places=9), f"WITH {SQL_L}, {DF_L} SELECT g.source, g.target, round(CASE WHEN g.source = g.target THEN g.n / (g.n + 1) ELSE (g.n - coalesce(r.n, 0)) / (g.n + coalesce(r.n, 0) + 1) END, 9) AS dependency FROM g LEFT JOIN g r ON r.source = g.target AND r.target = g.source")
 
@@ -188,6 +188,24 @@ add("ocel_unfold", lambda s, d: ocel.unfold(O(s, d), "RF", "order").events.group
 add("ocel_extended", lambda s, d: ocel.extended(O(s, d), ["order", "part", "supplier"]), f"WITH {SQL_O}, z AS (SELECT DISTINCT eid, act, o, p, u FROM x) SELECT eid, act, string_agg(DISTINCT o, ',' ORDER BY o) AS \"order\", string_agg(DISTINCT p, ',' ORDER BY p) AS part, string_agg(DISTINCT u, ',' ORDER BY u) AS supplier FROM z GROUP BY 1, 2")
 
 
+# Models (search on the driver or in workers over variants; SQL can't express them)
+
+
+def _chat_net(s, d):
+    return nets.net_of(miners.inductive(miners.variants_of(C(s, d))))
+
+
+add("inductive_miner", lambda s, d: s.createDataFrame([(str(miners.inductive(miners.variants_of(C(s, d)))),)], "tree string"))
+add("inductive_miner_dfg", lambda s, d: s.createDataFrame([(str(miners.inductive_dfg(*miners.graph_of(L(s, d)))),)], "tree string"))
+add("alpha_miner", lambda s, d: s.createDataFrame([(t[1], len(t[2]), len(t[3])) for t in miners.alpha(*miners.graph_of(C(s, d))).transitions], "label string, places_in int, places_out int"))
+add("declare", lambda s, d: miners.declare(C(s, d)))
+add("token_replay", lambda s, d: joined(conformance.token_replay(C(s, d), _chat_net(s, d))))
+add("token_replay_fitness", lambda s, d: conformance.replay_fitness(conformance.token_replay(C(s, d), _chat_net(s, d))))
+add("alignments", lambda s, d: joined(conformance.alignments(C(s, d), _chat_net(s, d))))
+add("generalization", lambda s, d: s.createDataFrame([(conformance.generalization(C(s, d), _chat_net(s, d)),)], "generalization double"))
+add("play_out", lambda s, d: s.createDataFrame([(",".join(t),) for t in nets.play_out(_chat_net(s, d), 100)], "trace string"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
