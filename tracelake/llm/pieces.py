@@ -46,9 +46,9 @@ SPACE, LITERAL = "▁", "\udfff"  # the second can't stand in a text
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of text that share one lattice.
 SLICE = 6 << 20
-#: A Gumbel draw from 53 random bits is below this.
-GUMBEL_MOST = 37.0
-BLOCK = 512
+#: Bounds are Gumbel draws from 24 random bits; such a draw is below this.
+GUMBEL_MOST = 17.4
+BLOCK = 224
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -66,6 +66,11 @@ def uniforms(x: np.ndarray) -> np.ndarray:
     return ((mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def coarse_uniforms(x: np.ndarray) -> np.ndarray:
+    """Numbers within (0, 1) on a grid of 2^-24: their Gumbel draws have a small greatest value."""
+    return ((mixed(x) >> np.uint64(40)).astype(np.float64) + 0.5) * 2.0**-24
+
+
 def load_pieces(path: str = MODEL) -> list[tuple[str, int]]:
     """(piece, kind) by id; kind 0 is text, 1 a byte, 2 control or unknown."""
     import sentencepiece
@@ -313,7 +318,7 @@ class Encoder:
             live = np.flatnonzero((rest > 1e-13) & free)
             if live.size:
                 with np.errstate(over="ignore"):
-                    u = uniforms(seed + np.uint64(rank) * _C + (np.uint64(at + 1) + live.astype(np.uint64)) * _A)
+                    u = coarse_uniforms(seed + np.uint64(rank) * _C + (np.uint64(at + 1) + live.astype(np.uint64)) * _A)
                 bound = -np.logaddexp(np.log(-np.log(u)) - before[live] - np.log(rest[live]), -g)
                 if live.size > wanted:
                     best = np.argpartition(-bound, wanted - 1)[:wanted]
@@ -336,7 +341,7 @@ class Encoder:
         heaps: list[list] = [[] for _ in range(n)]
         samples: list[list[Sample]] = [[] for _ in range(n)]
         with np.errstate(over="ignore"):
-            roots = -np.log(-np.log(uniforms(seeds * _B + _C)))
+            roots = -np.log(-np.log(coarse_uniforms(seeds * _B + _C)))
         cur = lattice.first[units]
         picks: list = [None] * n
         for rank in range(self.k):
