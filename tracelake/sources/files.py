@@ -81,12 +81,8 @@ def write_xes(log: DataFrame, path: str) -> None:
     parts.mapInPandas(document, "value string").write.mode("overwrite").text(path)
 
 
-_OCEL = T.StructType(
-    [
-        T.StructField("events", T.ArrayType(T.StructType.fromDDL("id string, type string, time string, relationships array<struct<objectId string, qualifier string>>"))),
-        T.StructField("objects", T.ArrayType(T.StructType.fromDDL("id string, type string, relationships array<struct<objectId string, qualifier string>>"))),
-    ]
-)
+_RELATED = "relationships array<struct<objectId string, qualifier string>>"
+_OCEL = f"events array<struct<id string, type string, time string, {_RELATED}>>, objects array<struct<id string, type string, {_RELATED}>>"
 
 
 def read_ocel2_json(spark: SparkSession, path: str) -> Ocel:
