@@ -70,3 +70,39 @@ def test_empty_log(spark):
     assert discovery.dfg(log).count() == 0
     assert stats.rework(log).count() == 0
     assert filters.variants_top_k(log, 3).count() == 0
+
+
+def test_graph_filters():
+    from collections import Counter
+
+    from tracelake.operators import more
+
+    graph = Counter({("a", "b"): 9, ("b", "d"): 8, ("a", "c"): 1, ("c", "d"): 1, ("x", "d"): 1}), Counter({"a": 10}), Counter({"d": 10})
+    assert more.on_path(graph) == {"a", "b", "c", "d"}
+    assert set(more.activities_percentage((graph[0] - Counter({("x", "d"): 1}), *graph[1:]), 0.75)[0]) == {("a", "b"), ("b", "d")}
+    assert set(more.paths_percentage((graph[0] - Counter({("x", "d"): 1}), *graph[1:]), 0.5)[0]) == {("a", "b"), ("b", "d"), ("a", "c"), ("c", "d")}
+    assert more.to_activity(graph, "b")[2] == Counter({"b": 9})
+    assert set(more.from_activity(graph, "b")[0]) == {("b", "d")}
+    assert set(more.containing(graph, "c")[0]) == {("a", "c"), ("c", "d")}
+
+
+def test_distances():
+    from tracelake.operators import more
+
+    assert more.edit_distance(tuple("kitten"), tuple("sitting")) == 3
+    assert more.trace_distance((), ()) == 0
+    p = {tuple("ab"): 0.5, tuple("ac"): 0.5}
+    assert more.transport_distance(p, p) == 0
+    assert abs(more.transport_distance(p, {tuple("ab"): 1.0}) - 0.25) < 1e-9
+
+
+def test_batches_roles_hours(spark):
+    from tracelake.operators import more
+
+    rows = [("1", "A", "r", 0, 10), ("2", "A", "r", 0, 10), ("3", "A", "r", 5000, 5010), ("4", "A", "r", 5010, 5030), ("5", "B", "q", 0, 1)]
+    log = spark.createDataFrame(rows, "case_id string, act string, res string, s long, e long").select("case_id", "act", "res", F.lit(0).cast("long").alias("idx"), F.timestamp_seconds("s").alias("start_ts"), F.timestamp_seconds("e").alias("ts"))
+    assert sorted((r["n_events"], r["kind"]) for r in more.batches(log).collect()) == [(2, "sequential"), (2, "simultaneous")]
+    assert more.roles(log) == [(["A"], {"r": 4}), (["B"], {"q": 1})]
+    t = spark.sql("select timestamp'2024-01-05 16:00:00' a, timestamp'2024-01-08 10:30:00' b")
+    assert t.select(more.business_seconds(F.col("a"), F.col("b"))).first()[0] == 3600 + 5400
+    assert more.variant_distances(log_of(spark, "a,b"), ["a", "c"]).first()["distance"] == 0.5

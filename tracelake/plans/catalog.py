@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.keys import traces
-from tracelake.operators import conformance, core, discovery, features, filters, miners, nets, ocel, org, stats
+from tracelake.operators import conformance, core, discovery, features, filters, miners, more, nets, ocel, org, stats
 from tracelake.sources import tables
 
 E, L, I, C, O = tables.click_log, tables.line_log, tables.interval_log, tables.chat_log, tables.order_ocel  # noqa: E741
@@ -155,6 +155,13 @@ add("working_together", lambda s, d: rounded(org.working_together(L(s, d)), "wei
 add("activity_similarity", lambda s, d: rounded(org.activity_similarity(L(s, d)), "weight", places=6), f"WITH {SQL_L}, c AS (SELECT res, act, count(*) AS n FROM ev GROUP BY 1, 2), f AS (SELECT r.res, a.act, coalesce(n, 0) AS n FROM (SELECT DISTINCT res FROM ev) r CROSS JOIN (SELECT DISTINCT act FROM ev) a LEFT JOIN c ON c.res = r.res AND c.act = a.act), v AS (SELECT res FROM f GROUP BY res HAVING stddev_pop(n) > 0), w AS (SELECT DISTINCT x.res AS p, y.res AS q FROM c x JOIN c y ON x.act = y.act AND x.res <> y.res) SELECT x.res AS source, y.res AS target, round(corr(x.n, y.n), 6) AS weight FROM w JOIN f x ON x.res = w.p JOIN f y ON y.res = w.q AND x.act = y.act WHERE x.res IN (SELECT res FROM v) AND y.res IN (SELECT res FROM v) GROUP BY 1, 2")
 add("network_analysis", lambda s, d: org.network(L(s, d), "res", "act", "res"), f"WITH {SQL_L}, p AS (SELECT act AS source, lead(act) OVER (PARTITION BY res ORDER BY ts, case_id, idx) AS target, res AS edge FROM ev) SELECT source, target, edge, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY 1, 2, 3")
 
+add("subcontracting", lambda s, d: rounded(more.subcontracting(L(s, d)), "weight", places=9), f"WITH {SQL_L}, p AS (SELECT res AS source, lead(res) OVER w AS target, lead(res, 2) OVER w AS back FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx)) SELECT source, target, round(count(*) / (SELECT count(DISTINCT case_id) FROM ev), 9) AS weight FROM p WHERE source = back AND target <> source GROUP BY 1, 2")
+add("batches", lambda s, d: more.batches(I(s, d), 86400.0).groupBy("act", "kind").agg(F.count("*").alias("n"), F.sum("n_events").alias("events")))
+add("roles", lambda s, d: s.createDataFrame([(",".join(a), len(r)) for a, r in more.roles(L(s, d))], "acts string, resources int"))
+add("chaotic_activities", lambda s, d: rounded(more.activity_entropy(L(s, d)), "entropy"), f"WITH {SQL_L}, a AS (SELECT case_id, idx, act FROM ev UNION ALL SELECT DISTINCT case_id, -1, '▶' FROM ev UNION ALL SELECT case_id, max(idx) + 1, '■' FROM ev GROUP BY 1), p AS (SELECT act AS a, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS b FROM a), n AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2), f AS (SELECT a AS act, n / sum(n) OVER (PARTITION BY a) AS x FROM n UNION ALL SELECT b, n / sum(n) OVER (PARTITION BY b) FROM n) SELECT act, round(-sum(x * log2(x)), 5) AS entropy FROM f WHERE act NOT IN ('▶', '■') GROUP BY 1")
+add("business_hours", lambda s, d: E(s, d).groupBy("case_id").agg(more.business_seconds(F.min("ts"), F.max("ts")).alias("seconds")))
+add("variant_distances", lambda s, d: joined(more.variant_distances(C(s, d), ["user", "assistant"])))
+
 # Features
 ACTS = ["AF", "NF", "NO", "RF"]
 add("case_features", lambda s, d: features.case_features(L(s, d), {"act": ACTS}, ["quantity"]), f"WITH {SQL_L} SELECT case_id, " + ", ".join(f"CAST(max(CASE WHEN act = '{a}' THEN 1 ELSE 0 END) AS INT) AS \"act_{a}\"" for a in ACTS) + ", arg_max(quantity, idx) AS quantity FROM ev GROUP BY 1")
@@ -188,6 +195,8 @@ add("ocel_unfold", lambda s, d: ocel.unfold(O(s, d), "RF", "order").events.group
 add("ocel_extended", lambda s, d: ocel.extended(O(s, d), ["order", "part", "supplier"]), f"WITH {SQL_O}, z AS (SELECT DISTINCT eid, act, o, p, u FROM x) SELECT eid, act, string_agg(DISTINCT o, ',' ORDER BY o) AS \"order\", string_agg(DISTINCT p, ',' ORDER BY p) AS part, string_agg(DISTINCT u, ',' ORDER BY u) AS supplier FROM z GROUP BY 1, 2")
 
 
+add("ocel_components", lambda s, d: ocel.connected_components(ocel.interactions(O(s, d))).groupBy("component").agg(F.count("*").alias("n")))
+
 # Models (search on the driver or in workers over variants; SQL can't express them)
 
 
