@@ -98,7 +98,7 @@ for mode, having in (("contained", "arg_min(ts, idx) >= lo AND arg_max(ts, idx)
     lo, hi = "TIMESTAMP '1994-01-01'", "TIMESTAMP '1996-01-01'"
     keep(f"filter_time_{mode}", L, SQL_L, lambda x, m=mode: filters.time_range(x, "1994-01-01", "1996-01-01", m), "IN " + FIRST.format(having.replace("lo", lo).replace("hi", hi)))
 add("filter_time_events", lambda s, d: digest(filters.time_range(L(s, d), "1994-01-01", "1996-01-01", "events")), f"WITH {SQL_L} SELECT case_id, idx, act FROM ev WHERE ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-01-01'")
-add("filter_relative_occurrence", lambda s, d: digest(filters.relative_occurrence(L(s, d), "res", 0.05)), f"WITH {SQL_L} SELECT case_id, idx, act FROM ev WHERE res IN (SELECT res FROM ev GROUP BY res HAVING count(DISTINCT case_id) >= 0.05 * (SELECT count(DISTINCT case_id) FROM ev))")
+add("filter_relative_occurrence", lambda s, d: digest(filters.relative_occurrence(L(s, d), "res", 0.02)), f"WITH {SQL_L} SELECT case_id, idx, act FROM ev WHERE res IN (SELECT res FROM ev GROUP BY res HAVING count(DISTINCT case_id) >= 0.02 * (SELECT count(DISTINCT case_id) FROM ev))")
 
 # Statistics
 add("attribute_values", lambda s, d: stats.attribute_values(L(s, d), "act"), f"WITH {SQL_L} SELECT act AS value, count(*) AS n FROM ev GROUP BY 1")
@@ -117,7 +117,7 @@ add("arrival_average", lambda s, d: rounded(stats.arrival_average(L(s, d)), "arr
 add("variant_statistics", lambda s, d: rounded(joined(stats.variant_statistics(L(s, d))), "mean_duration"), f"WITH {SQL_L}, {SQL_T}, c AS (SELECT case_id, arg_max(s, idx) - arg_min(s, idx) AS d FROM ev GROUP BY 1) SELECT array_to_string(seq, '>') AS seq, count(*) AS n, round(avg(d), 5) AS mean_duration FROM tr JOIN c USING (case_id) GROUP BY 1")
 SELF = "q AS (SELECT act, idx, case_id, lag(idx) OVER (PARTITION BY case_id, act ORDER BY idx) AS p FROM ev), m AS (SELECT act, min(idx - p - 1) AS distance FROM q WHERE p IS NOT NULL GROUP BY act)"
 add("minimum_self_distances", lambda s, d: stats.minimum_self_distances(E(s, d)), f"WITH {SQL_E}, {SELF} SELECT act, distance FROM m")
-add("self_distance_witnesses", lambda s, d: stats.self_distance_witnesses(core.shorter(E(s, d), 12)), f"WITH {SQL_E.replace('ev AS', 'e0 AS', 1)}, ev AS (SELECT * FROM e0 WHERE idx < 12), {SELF} SELECT DISTINCT q.act, ev.act AS witness FROM q JOIN m ON q.act = m.act AND q.idx - q.p - 1 = m.distance AND m.distance > 0 JOIN ev ON ev.case_id = q.case_id AND ev.idx > q.p AND ev.idx < q.idx")
+add("self_distance_witnesses", lambda s, d: stats.self_distance_witnesses(C(s, d)), f"WITH {SQL_C}, {SELF} SELECT DISTINCT q.act, ev.act AS witness FROM q JOIN m ON q.act = m.act AND q.idx - q.p - 1 = m.distance AND m.distance > 0 JOIN ev ON ev.case_id = q.case_id AND ev.idx > q.p AND ev.idx < q.idx")
 add("activity_positions", lambda s, d: stats.activity_positions(L(s, d), "RF"), f"WITH {SQL_L} SELECT idx AS position, count(*) AS n FROM ev WHERE act = 'RF' GROUP BY 1")
 add("service_time", lambda s, d: rounded(stats.service_time(I(s, d)), "mean", "median", "stdev", places=3), f"WITH {SQL_I} SELECT act, round(avg(e - b), 3) AS mean, round(median(e - b), 3) AS median, min(e - b) AS min, max(e - b) AS max, sum(e - b) AS sum, round(coalesce(stddev_samp(e - b), 0), 3) AS stdev FROM ev GROUP BY 1")
 add("eventually_follows_sequences", lambda s, d: stats.eventually_follows(L(s, d)), f"WITH {SQL_L} SELECT a.act AS source, b.act AS target, count(*) AS n FROM ev a JOIN ev b ON a.case_id = b.case_id AND a.idx < b.idx GROUP BY 1, 2")
@@ -180,8 +180,8 @@ INTER = "ia AS (SELECT DISTINCT a.oid, b.oid AS oid2 FROM rel a JOIN rel b ON a.
 add("ocel_interaction_graph", lambda s, d: ocel.object_graph(O(s, d), "interaction"), f"WITH {SQL_O}, {INTER} SELECT oid, oid2 FROM ia")
 add("ocel_cobirth_graph", lambda s, d: ocel.object_graph(O(s, d), "cobirth"), f"WITH {SQL_O}, {INTER} SELECT a.oid, b.oid AS oid2 FROM life a JOIN life b ON a.f = b.f AND a.oid < b.oid")
 add("ocel_codeath_graph", lambda s, d: ocel.object_graph(O(s, d), "codeath"), f"WITH {SQL_O}, {INTER} SELECT a.oid, b.oid AS oid2 FROM life a JOIN life b ON a.l = b.l AND a.oid < b.oid")
-add("ocel_descendants_graph", lambda s, d: ocel.object_graph(O(s, d), "descendants"), f"WITH {SQL_O}, {INTER} SELECT bo.oid, bo.oid2 FROM bo JOIN life a ON a.oid = bo.oid JOIN life b ON b.oid = bo.oid2 WHERE a.f < b.f")
-add("ocel_inheritance_graph", lambda s, d: ocel.object_graph(O(s, d), "inheritance"), f"WITH {SQL_O}, {INTER}, h AS (SELECT bo.oid, bo.oid2 FROM bo JOIN life a ON a.oid = bo.oid JOIN life b ON b.oid = bo.oid2 WHERE a.l = b.f) SELECT oid, oid2 FROM h WHERE NOT EXISTS (SELECT 1 FROM h r WHERE r.oid = h.oid2 AND r.oid2 = h.oid)")
+add("ocel_descendants_graph", lambda s, d: ocel.object_graph(O(s, d), "descendants"), f"WITH {SQL_O}, {INTER}, pr AS (SELECT bo.oid, bo.oid2, a.f AS f1, b.f AS f2 FROM bo JOIN life a ON a.oid = bo.oid JOIN life b ON b.oid = bo.oid2) SELECT oid, oid2 FROM pr WHERE CASE WHEN f1 < f2 THEN TRUE ELSE FALSE END")
+add("ocel_inheritance_graph", lambda s, d: ocel.object_graph(O(s, d), "inheritance"), f"WITH {SQL_O}, {INTER}, pr AS (SELECT bo.oid, bo.oid2, a.l AS l1, b.f AS f2 FROM bo JOIN life a ON a.oid = bo.oid JOIN life b ON b.oid = bo.oid2), h AS (SELECT oid, oid2 FROM pr WHERE CASE WHEN l1 = f2 THEN TRUE ELSE FALSE END) SELECT oid, oid2 FROM h WHERE NOT EXISTS (SELECT 1 FROM h r WHERE r.oid = h.oid2 AND r.oid2 = h.oid)")
 add("ocel_type_graph", lambda s, d: ocel.type_graph(O(s, d)), f"WITH {SQL_O}, {INTER}, ty AS (SELECT DISTINCT oid, type FROM rel) SELECT a.type, b.type AS type2, count(*) AS n FROM bo JOIN ty a ON a.oid = bo.oid JOIN ty b ON b.oid = bo.oid2 GROUP BY 1, 2")
 add("ocel_activity_type_graph", lambda s, d: ocel.activity_type_graph(O(s, d)), f"WITH {SQL_O} SELECT act, type, count(*) AS n, count(DISTINCT oid) AS n_objects, count(DISTINCT eid) AS n_events FROM rel GROUP BY 1, 2")
 add("ocel_objects_summary", lambda s, d: ocel.objects_summary(O(s, d)), f"WITH {SQL_O} SELECT oid, type, count(*) AS n_events, count(DISTINCT act) AS n_acts, max(s) - min(s) AS duration FROM rel GROUP BY 1, 2")
