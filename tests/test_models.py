@@ -93,3 +93,13 @@ def test_over_a_log(spark):
     assert 0 < conformance.generalization(log, net) < 1
     rules = {(r["rule"], r["a"], r["b"]) for r in miners.declare(log).collect()}
     assert ("response", "a", "b") in rules and ("existence", "b", "") in rules
+
+
+def test_precision_and_trace_footprints(spark):
+    log = core.from_trace_strings(spark, ["a,b", "a,c"])
+    exact = nets.net_of(Tree("->", None, (leaf("a"), Tree("X", None, (leaf("b"), leaf("c"))))))
+    loose = nets.net_of(Tree("->", None, (leaf("a"), Tree("X", None, (leaf("b"), leaf("c"), leaf("d"), leaf("e"))))))
+    assert conformance.precision(log, exact) == 1
+    assert conformance.precision(log, loose) == pytest.approx(1 - 4 / 10)
+    got = conformance.trace_footprints(log, {("a", "b")}, {"a"}, {"b"}, {"a"}, 2).collect()
+    assert {r["case_id"]: r["deviations"] for r in got} == {"0": 0, "1": 2}

@@ -33,3 +33,15 @@ def test_online_footprints(spark, tmp_path):
     log.select("case_id", "act", "order", "ts").coalesce(1).write.parquet(f"{tmp_path}/in")
     out = drained(spark, tmp_path, lambda s: online.footprint_deviations(s, {("a", "b")}, {"a"}, {"a", "b"}), "update", "deviations")
     assert {r["case_id"]: r["deviations"] for r in out.collect()} == {"0": 0, "1": 2, "2": 1}
+
+
+def test_online_times_and_replay(spark, tmp_path):
+    from tracelake.operators.nets import Tree, net_of
+
+    log = core.from_trace_strings(spark, ["a,b", "b", "a,x"]).withColumn("order", F.col("idx"))
+    log.select("case_id", "act", "order", "ts").coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = drained(spark, tmp_path, lambda s: online.temporal_deviations(s, {("a", "b"): (5.0, 0.5)}), "append", "late")
+    assert [tuple(r) for r in out.collect()] == [("0", "a", "b", 1.0)]
+    net = net_of(Tree("->", None, (Tree(label="a"), Tree(label="b"))))
+    out = drained(spark, tmp_path, lambda s: online.replay_state(s, net), "update", "replayed")
+    assert {r["case_id"]: tuple(r)[1:] for r in out.collect()} == {"0": (0, 0, 0), "1": (1, 1, 0), "2": (0, 1, 1)}

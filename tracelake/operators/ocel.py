@@ -183,3 +183,93 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not new.filter("moved").limit(1).count():
             break
     return labels
+
+
+# --- filters and conformance over relations
+
+
+def per_type_count(log: Ocel, least: dict[str, int]) -> Ocel:
+    """Events with at least so many relations of each type; a type must be there even at 0."""
+    c = counts_per_type(log)
+    ok = [F.coalesce(F.max(F.when(F.col("type") == t, F.col("n"))) >= max(n, 1), F.lit(False)) for t, n in least.items()]
+    keep = c.groupBy("eid").agg(*[x.alias(f"_{i}") for i, x in enumerate(ok)])
+    for i in range(len(ok)):
+        keep = keep.filter(f"_{i}")
+    return of_events(log, keep)
+
+
+def end_events(log: Ocel, object_type: str, last: bool = False) -> Ocel:
+    """The first (or last) related event of each object of a type."""
+    at = (F.max if last else F.min)("eid")
+    return of_events(log, related(log).filter(F.col("type") == object_type).groupBy("oid").agg(at.alias("eid")))
+
+
+def in_time(log: Ocel, begin: str, end: str) -> Ocel:
+    return of_events(log, log.events.filter(F.col("ts").between(F.to_timestamp(F.lit(begin)), F.to_timestamp(F.lit(end)))))
+
+
+def activities_of_type(log: Ocel, object_type: str) -> Ocel:
+    """All events of the activities seen on a type."""
+    acts = related(log).filter(F.col("type") == object_type).select("act").distinct()
+    return of_events(log, log.events.join(acts, "act", "left_semi"))
+
+
+def neighbourhood(log: Ocel, objects: DataFrame, levels: int = 1) -> Ocel:
+    """Objects and those up to ``levels`` interactions away."""
+    pairs = interactions(log)
+    both = pairs.union(pairs.select(F.col("oid2").alias("oid"), F.col("oid").alias("oid2")))
+    now = objects.select("oid").distinct()
+    for _ in range(levels):
+        now = now.union(both.join(now, "oid", "left_semi").select(F.col("oid2").alias("oid"))).distinct()
+    return of_objects(log, now)
+
+
+def components_of_size(log: Ocel, components: DataFrame, least: int, most: int) -> Ocel:
+    """Objects of components (oid, component) within the bounds."""
+    size = components.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+    return of_objects(log, components.join(size, "component", "left_semi"))
+
+
+def components_with_type(log: Ocel, components: DataFrame, object_type: str, retain: bool = True) -> Ocel:
+    """Components that have the type; else those that have any other one (which is no complement)."""
+    x = components.join(log.objects, "oid")
+    hit = x.filter(F.col("type") == object_type if retain else F.col("type") != object_type).select("component").distinct()
+    return of_objects(log, components.join(hit, "component", "left_semi"))
+
+
+def components_with_activity(log: Ocel, components: DataFrame, act: str) -> Ocel:
+    hit = log.e2o.join(log.events.filter(F.col("act") == act), "eid", "left_semi").join(components, "oid").select("component").distinct()
+    return of_objects(log, components.join(hit, "component", "left_semi"))
+
+
+def sample_objects(log: Ocel, n: int, seed: int = 0) -> Ocel:
+    return of_objects(log, log.objects.select("oid").distinct().orderBy(F.xxhash64("oid", F.lit(seed)), "oid").limit(n))
+
+
+def drop_duplicates(log: Ocel) -> DataFrame:
+    """Relations without repeats of (activity, time, object); the first event stays."""
+    x = log.e2o.join(log.events, "eid")
+    w = Window.partitionBy("act", "ts", "oid").orderBy("eid")
+    return x.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("eid", "oid", "qualifier")
+
+
+def with_index_time(log: Ocel) -> DataFrame:
+    """Events with a millisecond more for each place among the events of their day; a place is counted inside its day."""
+    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "eid")
+    return log.events.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + 1000 * (F.row_number().over(w) - 1)))
+
+
+def graph_conformance(found: DataFrame, wanted: DataFrame, keys: list[str], tolerance: float = 0.2) -> DataFrame:
+    """keys, verdict of every edge of either graph: ok, missing, additional or deviating frequency (n)."""
+    a, b = found.select(*keys, F.col("n").alias("_f")), wanted.select(*keys, F.col("n").alias("_w"))
+    x = a.join(b, keys, "full_outer")
+    far = F.abs(F.col("_f") - F.col("_w")) / F.col("_w") > tolerance
+    return x.select(*keys, F.when(F.col("_f").isNull(), "missing").when(F.col("_w").isNull(), "additional").when(far, "deviating").otherwise("ok").alias("verdict"))
+
+
+def object_features(log: Ocel, object_type: str) -> DataFrame:
+    """oid, n_events, duration, n_acts, n_neighbours of the objects of a type."""
+    own = objects_summary(log).filter(F.col("type") == object_type).drop("type")
+    pairs = interactions(log)
+    near = pairs.select("oid").union(pairs.select("oid2")).groupBy("oid").agg(F.count("*").alias("n_neighbours"))
+    return own.join(near, "oid", "left").fillna(0, ["n_neighbours"])

@@ -195,6 +195,15 @@ add("ocel_unfold", lambda s, d: ocel.unfold(O(s, d), "RF", "order").events.group
 add("ocel_extended", lambda s, d: ocel.extended(O(s, d), ["order", "part", "supplier"]), f"WITH {SQL_O}, z AS (SELECT DISTINCT eid, act, o, p, u FROM x) SELECT eid, act, string_agg(DISTINCT o, ',' ORDER BY o) AS \"order\", string_agg(DISTINCT p, ',' ORDER BY p) AS part, string_agg(DISTINCT u, ',' ORDER BY u) AS supplier FROM z GROUP BY 1, 2")
 
 
+add("ocel_per_type_count", lambda s, d: ocel.summary(ocel.per_type_count(O(s, d), {"order": 1, "part": 2})).filter("part in ('events', 'objects')"), f"WITH {SQL_O}, raw AS (SELECT eid, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 2) SELECT 'events' AS part, count(DISTINCT eid) AS n FROM rel WHERE eid IN (SELECT eid FROM raw) UNION ALL SELECT 'objects', count(DISTINCT oid) FROM rel WHERE eid IN (SELECT eid FROM raw)")
+for nm, fn, last in (("start", "min", False), ("end", "max", True)):
+    add(f"ocel_{nm}_events", lambda s, d, z=last: ocel.end_events(O(s, d), "supplier", z).events.select("eid", "act"), f"WITH {SQL_O}, k AS (SELECT {fn}(eid) AS eid FROM rel WHERE type = 'supplier' GROUP BY oid) SELECT DISTINCT eid, act FROM rel WHERE eid IN (SELECT eid FROM k)")
+add("ocel_in_time", lambda s, d: ocel.summary(ocel.in_time(O(s, d), "1994-01-01", "1995-01-01")).filter("part in ('events', 'objects')"), f"WITH {SQL_O}, k AS (SELECT * FROM rel WHERE s BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1995-01-01')) SELECT 'events' AS part, count(DISTINCT eid) AS n FROM k UNION ALL SELECT 'objects', count(DISTINCT oid) FROM k")
+add("ocel_neighbourhood", lambda s, d: ocel.neighbourhood(O(s, d), O(s, d).objects.filter("oid = 's1'")).objects.groupBy("type").agg(F.count("*").alias("n")), f"WITH {SQL_O}, k AS (SELECT DISTINCT b.oid, b.type FROM rel a JOIN rel b ON a.eid = b.eid WHERE a.oid = 's1') SELECT type, count(*) AS n FROM k GROUP BY 1")
+add("ocel_drop_duplicates", lambda s, d: ocel.drop_duplicates(O(s, d)).select("eid", "oid"), f"WITH {SQL_O} SELECT min(eid) AS eid, oid FROM rel GROUP BY act, s, oid")
+add("ocel_activity_type_conformance", lambda s, d: ocel.graph_conformance(ocel.activity_type_graph(O(s, d)), ocel.activity_type_graph(ocel.in_time(O(s, d), "1994-01-01", "1999-01-01")), ["act", "type"]), f"WITH {SQL_O}, a AS (SELECT act, type, count(*) AS f FROM rel GROUP BY 1, 2), b AS (SELECT act, type, count(*) AS w FROM rel WHERE s BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1999-01-01') GROUP BY 1, 2) SELECT coalesce(a.act, b.act) AS act, coalesce(a.type, b.type) AS type, CASE WHEN f IS NULL THEN 'missing' WHEN w IS NULL THEN 'additional' WHEN abs(f - w) / w > 0.2 THEN 'deviating' ELSE 'ok' END AS verdict FROM a FULL JOIN b ON a.act = b.act AND a.type = b.type")
+add("ocel_object_features", lambda s, d: ocel.object_features(O(s, d), "supplier"), f"WITH {SQL_O}, {INTER}, nb AS (SELECT oid, count(*) AS n FROM bo GROUP BY 1), f AS (SELECT oid, count(*) AS n_events, count(DISTINCT act) AS n_acts, max(s) - min(s) AS duration FROM rel WHERE type = 'supplier' GROUP BY 1) SELECT f.*, coalesce(nb.n, 0) AS n_neighbours FROM f LEFT JOIN nb ON nb.oid = f.oid")
+add("trace_footprints", lambda s, d: conformance.trace_footprints(C(s, d), {("user", "assistant"), ("system", "user")}, {"user"}, {"assistant"}), f"WITH {SQL_C}, p AS (SELECT DISTINCT case_id, act AS a, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS b FROM ev), k AS (SELECT case_id, count(*) AS n FROM p WHERE b IS NOT NULL AND NOT ((a = 'user' AND b = 'assistant') OR (a = 'system' AND b = 'user')) GROUP BY 1), f AS (SELECT case_id, arg_min(act, idx) AS s, arg_max(act, idx) AS e FROM ev GROUP BY 1) SELECT f.case_id, CAST(coalesce(n, 0) + CASE WHEN s = 'user' THEN 0 ELSE 1 END + CASE WHEN e = 'assistant' THEN 0 ELSE 1 END AS INT) AS deviations FROM f LEFT JOIN k ON k.case_id = f.case_id")
 add("ocel_components", lambda s, d: ocel.connected_components(ocel.interactions(O(s, d))).groupBy("component").agg(F.count("*").alias("n")))
 
 # Models (search on the driver or in workers over variants; SQL can't express them)
@@ -212,6 +221,7 @@ add("token_replay", lambda s, d: joined(conformance.token_replay(C(s, d), _chat_
 add("token_replay_fitness", lambda s, d: conformance.replay_fitness(conformance.token_replay(C(s, d), _chat_net(s, d))))
 add("alignments", lambda s, d: joined(conformance.alignments(C(s, d), _chat_net(s, d))))
 add("generalization", lambda s, d: s.createDataFrame([(conformance.generalization(C(s, d), _chat_net(s, d)),)], "generalization double"))
+add("precision", lambda s, d: s.createDataFrame([(conformance.precision(C(s, d), _chat_net(s, d)),)], "precision double"))
 add("play_out", lambda s, d: s.createDataFrame([(",".join(t),) for t in nets.play_out(_chat_net(s, d), 100)], "trace string"))
 
 

@@ -84,3 +84,72 @@ def event_counts(stream: DataFrame, window: str = "1 day", late: str = "2 days")
 def flattened(stream: DataFrame, objects: str = "objects") -> DataFrame:
     """One event for each related object, for the operators above: rows with an array<string> of ids."""
     return stream.withColumn("case_id", F.explode(objects)).drop(objects)
+
+
+def temporal_deviations(stream: DataFrame, profile: dict[tuple[str, str], tuple[float, float]], zeta: float = 6.0) -> DataFrame:
+    """case_id, source, target, seconds: pairs further than ``zeta`` deviations from a profile's mean,
+    found when the later event arrives.  State is a case's earlier activities and times."""
+    ship_package(stream.sparkSession)
+
+    def step(key, parts, state):
+        acts, times = (list(x) for x in state.get) if state.exists else ([], [])
+        out = []
+        for part in parts:
+            part = part.sort_values("order", kind="stable")
+            for act, ts in zip(part["act"], part["ts"], strict=True):
+                if act == TERMINATE:
+                    acts, times = [], []
+                    continue
+                now = ts.timestamp()
+                for before, then in zip(acts, times, strict=True):
+                    if (before, act) in profile and now >= then:
+                        mean, stdev = profile[before, act]
+                        off = abs(now - then - mean)
+                        if off > (zeta * stdev if stdev else 0.0):
+                            out.append((key[0], before, act, now - then))
+                acts.append(act)
+                times.append(now)
+        state.update((acts, times))
+        yield pd.DataFrame(out, columns=["case_id", "source", "target", "seconds"])
+
+    return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, source string, target string, seconds double", "acts array<string>, times array<double>", "append", "NoTimeout")
+
+
+def replay_state(stream: DataFrame, net) -> DataFrame:
+    """case_id, missing, remaining, unknown so far: a net's marking is kept by case; silent ways come first, then missing tokens."""
+    from collections import Counter
+
+    from tracelake.operators.nets import enabled, fired, silent_path
+
+    ship_package(stream.sparkSession)
+
+    def step(key, parts, state):
+        if state.exists:
+            places, counts, missing, unknown = state.get
+            m = Counter(dict(zip(places, counts, strict=True)))
+        else:
+            m, missing, unknown = Counter(net.initial), 0, 0
+        for part in parts:
+            for act in part.sort_values("order", kind="stable")["act"]:
+                if act == TERMINATE:
+                    m, missing, unknown = Counter(net.initial), 0, 0
+                    continue
+                options = [i for i, t in enumerate(net.transitions) if t[1] == act]
+                if not options:
+                    unknown += 1
+                    continue
+                for i in silent_path(net, m, lambda x, o=options: any(i in o for i in enabled(net, x)), 200) or []:
+                    m = fired(net, m, i)
+                on = [i for i in options if i in enabled(net, m)]
+                i = (on or options)[0]
+                for p, n in Counter(net.transitions[i][2]).items():
+                    lack = max(0, n - m[p])
+                    missing += lack
+                    m[p] += lack
+                m = fired(net, m, i)
+        m = +m
+        state.update((list(m), list(m.values()), missing, unknown))
+        rest = sum(max(0, n - net.final[p]) for p, n in m.items())
+        yield pd.DataFrame({"case_id": [key[0]], "missing": [missing], "remaining": [rest], "unknown": [unknown]})
+
+    return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, missing long, remaining long, unknown long", "places array<int>, counts array<int>, missing long, unknown long", "update", "NoTimeout")
