@@ -7,6 +7,7 @@ cuts every batch again by bytes of text before numpy expands it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Returns a task's freed memory to the system: Spark keeps the worker for other stages, which
+    would have to live beside what this one has taken."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Joins small batches until ``column`` holds ``limit`` bytes, then cuts them by ``slices``."""
     held: list[pa.RecordBatch] = []
@@ -85,6 +96,9 @@ def map_slices(df: DataFrame, text: str, make: Callable[[], Callable[[dict], dic
         for part in gathered(batches, text, limit):
             out = f(part.to_pydict())
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t.type, from_pandas=False) for v, t in zip(out.values(), fields, strict=True)], schema=fields)
+            del out, part
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)
 

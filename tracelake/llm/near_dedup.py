@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.shipping import ship_package
 
-from .common import bounded_batches, fresh, map_slices, maybe_among, slices, table, written
+from .common import bounded_batches, fresh, give_back, map_slices, maybe_among, slices, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 18, 5
@@ -77,7 +77,7 @@ class Shingles:
         words = (text or "").split()
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(self.words) > 400_000:
+        if len(self.words) > 200_000:
             self.words = WordTable()
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         h = np.frombuffer(self.words.hashes, np.uint64)[at]
@@ -380,6 +380,9 @@ def block_links(members: DataFrame, texts: DataFrame, idf, threshold: float) ->
                     key, held = now, []
                 held.append(row)
         yield links()
+        held.clear()
+        del of
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long, similarity double")
 

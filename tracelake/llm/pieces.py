@@ -45,7 +45,7 @@ SHARPNESS, RANK_SHIFT, BYTE_COST = 1.0, 16.0, 4.0
 SPACE, LITERAL = "▁", "\udfff"  # the second can't stand in a text
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of text that share one lattice.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Bounds are Gumbel draws from 24 random bits; such a draw is below this.
 GUMBEL_MOST = 17.4
 BLOCK = 224
@@ -182,12 +182,12 @@ class Lattice:
         at_level = len(units) - np.searchsorted(length[::-1], np.arange(longest + 1))  # units with so many characters
         base = np.concatenate([[0], np.cumsum(at_level)])
         nodes = int(base[-1])
-        level = np.repeat(np.arange(longest + 1), at_level)
-        unit = np.arange(nodes) - base[level]
+        level = np.repeat(np.arange(longest + 1, dtype=np.int32), at_level)
+        unit = (np.arange(nodes) - base[level]).astype(np.int32)
         self.first = base[sizes] + place if len(units) else np.zeros(0, np.int64)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.uint64) + np.uint64(1)
         begin = (np.cumsum(sizes) - sizes)[order]
-        char = begin[unit] + length[unit] - level
+        char = (begin[unit] + length[unit] - level).astype(np.int32)
         char[: base[1] if nodes else 0] = points.size - 1
         alive = np.arange(int(base[1]) if nodes else 0, nodes)
         h = np.zeros(alive.size, np.uint64)
@@ -215,7 +215,7 @@ class Lattice:
             self.degree[starts] += 1  # a list has a node once at most
         self.ptr = np.concatenate([[0], np.cumsum(self.degree)])
         edges = int(self.ptr[-1])
-        self.start, self.end, weight, self.piece = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges), np.empty(edges, np.int32)
+        self.start, self.end, weight, self.piece = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), np.empty(edges, np.int32)
         free = self.ptr[:-1].copy()
         for starts, size, weights, ids in found:  # longest pieces first at each node
             at = free[starts]

@@ -54,7 +54,7 @@ class Buckets:
     def of(self, token: str) -> int:
         got = self.memo.get(token)
         if got is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 150_000:
                 self.memo.clear()
             if token[0].isalnum() or token[0] == "_":
                 shape = "^" if len(token) > 1 and token.isupper() else ""

@@ -67,7 +67,7 @@ class Features:
         """The greatest weight of the word's stems, and FIXED more for a fixed insult; 0 for others."""
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 150_000:
                 self.memo.clear()
             lex = self.lexicon
             got = FIXED * (word in INSULTS) + max((lex[s] for s in stems(word) if s in lex), default=0.0)
