@@ -399,8 +399,9 @@ def test_10_regions():
     assert html_text.main_text(PAGE, {}) == want
     bare = PAGE.replace("<article>", "<div>").replace("</article>", "</div>")
     assert html_text.main_text(bare, {}) == want
-    for odd in (None, "", "<", "<p", "<nav>x", "<script>x"):
+    for odd in (None, "", "<p>", "<nav>x", "<script>x"):
         assert html_text.main_text(odd, {}) == ""
+    assert [html_text.main_text(x, {}) for x in ("<", "<p")] == ["<", "<p"]  # no tags: text
     assert html_text.main_text("just text < here", {}) == "just text < here"
 
 

@@ -122,8 +122,13 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     from pyspark.ml.feature import Bucketizer
 
     splits = [float("-inf"), *sorted({float(c) for c in cuts if abs(c) < 1 << 53}), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="d", outputCol="b")
-    put = lambda x: dealt.transform(x.withColumn("d", F.col("k").cast("double"))).withColumn("part", F.col("b").cast("int")).drop("d", "b")
+    dealt = Bucketizer(splits=splits, inputCol="d", outputCol="b") if len(splits) > 2 else None
+
+    def put(x: DataFrame) -> DataFrame:
+        if dealt is None:  # one range
+            return x.withColumn("part", F.lit(0))
+        return dealt.transform(x.withColumn("d", F.col("k").cast("double"))).withColumn("part", F.col("b").cast("int")).drop("d", "b")
+
     ends = sorted((r["part"], r["k"]) for r in put(ids).groupBy("part").agg(F.max("k").alias("k")).collect())
     rows = put(df.select(F.coalesce(F.col(key).cast("long"), F.lit(ID_FLOOR)).alias("k"), F.col(text).alias("text"))).withColumn("halo", F.lit(0))
     if not ends:

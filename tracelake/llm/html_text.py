@@ -30,7 +30,7 @@ from .common import hash_sampled, map_slices, sample_share, table
 
 #: Pages (expected) that the weights are learned from.
 TRAIN_PAGES = 4_000
-BOUNDARY, DROPPED = -50.0, -2.0
+BOUNDARY, DROPPED = -50.0, -0.5
 
 # Element kinds of HTML.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "math", "canvas", "xmp")
@@ -151,7 +151,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
                 blocks.append([i, i, [(i, text)]])
                 open_block = True
         else:
-            w = weights.get(feature, -0.05 if kind == "inline" else -0.2) if feature else 0.0
+            w = weights.get(feature, -0.02 if kind == "inline" else -0.05) if feature else 0.0
             if text and open_block:
                 blocks[-1][2].append((i, text))
         total += w
