@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.keys import traces
-from tracelake.operators import conformance, core, discovery, features, filters, miners, more, nets, ocel, org, stats
+from tracelake.operators import advanced, conformance, core, discovery, features, filters, miners, more, nets, ocel, org, stats
 from tracelake.sources import tables
 
 E, L, I, C, O = tables.click_log, tables.line_log, tables.interval_log, tables.chat_log, tables.order_ocel  # noqa: E741
@@ -206,6 +206,15 @@ add("ocel_object_features", lambda s, d: ocel.object_features(O(s, d), "supplier
 add("trace_footprints", lambda s, d: conformance.trace_footprints(C(s, d), {("user", "assistant"), ("system", "user")}, {"user"}, {"assistant"}), f"WITH {SQL_C}, p AS (SELECT DISTINCT case_id, act AS a, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS b FROM ev), k AS (SELECT case_id, count(*) AS n FROM p WHERE b IS NOT NULL AND NOT ((a = 'user' AND b = 'assistant') OR (a = 'system' AND b = 'user')) GROUP BY 1), f AS (SELECT case_id, arg_min(act, idx) AS s, arg_max(act, idx) AS e FROM ev GROUP BY 1) SELECT f.case_id, CAST(coalesce(n, 0) + CASE WHEN s = 'user' THEN 0 ELSE 1 END + CASE WHEN e = 'assistant' THEN 0 ELSE 1 END AS INT) AS deviations FROM f LEFT JOIN k ON k.case_id = f.case_id")
 add("ocel_components", lambda s, d: ocel.connected_components(ocel.interactions(O(s, d))).groupBy("component").agg(F.count("*").alias("n")))
 
+add("ocel_variable_arcs", lambda s, d: advanced.variable_arcs(O(s, d)), f"WITH {SQL_O}, c AS (SELECT type, act, eid, count(*) AS n FROM rel GROUP BY 1, 2, 3) SELECT type, act, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) < 0.8 AS is_variable FROM c GROUP BY 1, 2")
+add("event_positions", lambda s, d: rounded(advanced.ordered_position(L(s, d)), "share", places=9), f"WITH {SQL_L} SELECT case_id, idx, act, round(idx / greatest(count(*) OVER (PARTITION BY case_id) - 1, 1), 9) AS share FROM ev")
+add("trace_profiles", lambda s, d: advanced.trace_profiles(C(s, d)).select(F.explode(F.map_keys("profile")).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")), f"WITH {SQL_C}, p AS (SELECT case_id, act AS f FROM ev UNION SELECT case_id, act || '#' || nx FROM (SELECT case_id, act, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS nx FROM ev) WHERE nx IS NOT NULL) SELECT f AS feature, count(*) AS n FROM p GROUP BY 1")
+add("heuristics_net", lambda s, d: rounded(advanced.heuristics_net(L(s, d)), "dependency", places=9))
+add("cluster_cases", lambda s, d: advanced.cluster_cases(C(s, d)))
+add("play_out_dfg", lambda s, d: s.createDataFrame([(",".join(t), p) for t, p in advanced.play_out_graph(*miners.graph_of(C(s, d)), most=100)], "trace string, probability double"))
+add("edit_alignments", lambda s, d: joined(advanced.edit_alignments(C(s, d), [("user", "assistant"), ("system", "user", "assistant")])))
+add("object_centric_nets", lambda s, d: s.createDataFrame([(t, str(m)) for t, m in advanced.object_centric_nets(O(s, d), ["order", "supplier"]).items()], "type string, tree string"))
+
 # Models (search on the driver or in workers over variants; SQL can't express them)
 
 
