@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and two sampled segmentations of each text, with their scores."""
-    return pieces.encode_samples(docs, k=2).drop("ids_sha256")
+    return pieces.encode_samples(docs, k=2, slice_bytes=1 << 20).drop("ids_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secret_scan", redact_secrets), ("mixing", mix_sources), ("sentencepiece", encode_pieces)]

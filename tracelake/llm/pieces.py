@@ -406,10 +406,11 @@ def inclusion(log_prob: float, kappa: float) -> float:
     return 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(50.0, log_prob - kappa)))
 
 
-def encode_samples(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = SEED, model: str = MODEL, with_ids: bool = True) -> DataFrame:
+def encode_samples(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = SEED, model: str = MODEL, with_ids: bool = True, slice_bytes: int = SLICE) -> DataFrame:
     """key, and arrays over the samples: ids (null without ``with_ids``), ids_sha256 (of the
     little-endian 32-bit ids), n_tokens, log_prob, perturbed, inclusion; and whether every
-    sample decodes to the text (``round_trip``)."""
+    sample decodes to the text (``round_trip``).  ``slice_bytes`` of text share a lattice: more
+    of them cost less time and more memory."""
     pieces = df.sparkSession.sparkContext.broadcast(load_pieces(model))  # a vocabulary of fixed size
 
     def make():
@@ -444,7 +445,7 @@ def encode_samples(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
         return f
 
     kind = df.schema[key].dataType.simpleString()
-    return map_slices(df.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", make, f"k {kind}, ids array<array<int>>, ids_sha256 array<string>, n_tokens array<int>, log_prob array<double>, perturbed array<double>, inclusion array<double>, round_trip boolean", SLICE).withColumnRenamed("k", key)
+    return map_slices(df.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", make, f"k {kind}, ids array<array<int>>, ids_sha256 array<string>, n_tokens array<int>, log_prob array<double>, perturbed array<double>, inclusion array<double>, round_trip boolean", slice_bytes).withColumnRenamed("k", key)
 
 
 def decode_ids(df: DataFrame, ids: str, out: str = "text", model: str = MODEL) -> DataFrame:
