@@ -45,7 +45,7 @@ SHARPNESS, RANK_SHIFT, BYTE_COST = 1.0, 16.0, 4.0
 SPACE, LITERAL = "▁", "\udfff"  # the second can't stand in a text
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of text that share one lattice.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Bounds are Gumbel draws from 24 random bits; such a draw is below this.
 GUMBEL_MOST = 17.4
 BLOCK = 224
