@@ -129,6 +129,34 @@ def test_2_network_learns_and_keeps_base(spark):
     assert all(r["text"] is None or "hunter22" not in r["text"] for r in clean.collect())
 
 
+def fitted():
+    x, y = secrets.made_up()
+    held = np.arange(len(y)) % 5 == 0
+    return secrets.CharNet().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+
+
+def test_2_what_base_spans_leave_is_scored():
+    net, cases = fitted(), ["token=abcdef1:9f8A7b6C5d4E3f2A1b0C9d8E7f", "see aB3dE5fG7hJ" + "0123456789abcdef01234567" + "Kq9Zw8Xy7Vu there", "it is Zk9Xq2Lm7Rt4 now"]
+    wanted = ["9f8A7b6C5d4E3f2A1b0C9d8E7f", "aB3dE5fG7hJ0123456789abcdef01234567Kq9Zw8Xy7Vu", "Zk9Xq2Lm7Rt4"]
+    taken = [secrets.base_spans(t) for t in cases]
+    for t, spans, want in zip(cases, taken, wanted, strict=True):
+        assert (t.index(want), t.index(want) + len(want)) in secrets.candidates(t, spans)
+    assert secrets.candidates("abcdef word", []) == [(0, 6)]
+    found = [[t[s:e] for s, e in spans] for t, spans in zip(cases, secrets.model_spans(net, cases, taken), strict=True)]
+    assert wanted[0] in found[0] and wanted[1] in found[1]
+
+
+def test_2_windows_of_places_are_those_of_encode():
+    texts = ["", "é key: abcdef1234 end", "x" * 5 + " Zk9Xq2Lm7Rt4", "日本 " + "q1" * 20]
+    codes, begins = secrets.coded(texts)
+    net = fitted()
+    for t, at in zip(texts, begins, strict=True):
+        for s, e in secrets.candidates(t, []):
+            one = secrets.encode(t, s, e)
+            assert (secrets.windows(codes, np.array([at + s]), np.array([at + e]))[0] == one).all()
+            assert abs(net.score_places(codes, np.array([at + s]), np.array([at + e]))[0] - net.score(one[None])[0]) < 1e-4
+
+
 # --- 3, 4
 
 

@@ -1,9 +1,11 @@
 """Operator 2, secret scans: rules, then a character convolutional network.
 
 Three rules (assignments, access keys, hexadecimal runs) give the base spans,
-which always stay.  Every other token-like candidate, of whatever shape, goes
-with the characters around it through a small convolutional network written in
-numpy; a candidate over the threshold becomes a ``model`` span.
+which always stay.  Every other token of ``SHORTEST`` or more characters (the
+shortest value of the rules), of whatever shape, goes with the characters around it
+through a small convolutional network written in numpy; a candidate over the
+threshold becomes a ``model`` span.  Base spans are cut out of a token and what is left of
+it is scored; a token that encloses a base span is scored whole as well.
 
 The network learns from labelled findings: the rules' values in a bounded,
 hash-chosen sample of documents are positive, with the keyword hidden in a half of them so
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +38,13 @@ ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so 24 or more is the same as a run that is then tested
 KINDS = ("assign", "access", "hex")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@:-]{16,}")
+SHORTEST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@:-]{%d,}" % SHORTEST)
 
 #: Documents (expected) whose findings train the network, and the most findings of each label.
-TRAIN_DOCUMENTS, TRAIN_FINDINGS = 20_000, 6_000
+TRAIN_DOCUMENTS, TRAIN_FINDINGS, ROW_FINDINGS = 20_000, 6_000, 32
 WIDTH, BEFORE = 64, 16  # characters of a window, those before the candidate
+TAIL = WIDTH - BEFORE - 42  # those after it
 RECALL, FLOOR = 0.98, 0.9
 ALPHABET = {c: i for i, c in enumerate("\n \"'()[]{}<>,;:=+/_.-@#%&*!?|\\$~^`", 3)}
 CLASSES = 3 + len(ALPHABET) + 36 + 26 + 1
@@ -67,7 +72,7 @@ def encode(text: str, start: int, end: int, hide: bool = False) -> np.ndarray:
     head = text[max(0, start - BEFORE) : start]
     value = text[start:end]
     value = value if len(value) <= 40 else value[:32] + value[-8:]
-    tail = text[end : end + WIDTH - BEFORE - 42]
+    tail = text[end : end + TAIL]
     if hide:
         head = ""
     codes = [0] * (BEFORE - len(head))
@@ -76,6 +81,29 @@ def encode(text: str, start: int, end: int, hide: bool = False) -> np.ndarray:
     return np.array((codes + [0] * WIDTH)[:WIDTH], np.int16)
 
 
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all characters, each text between WIDTH zeros, and where each text begins."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes + WIDTH) - sizes
+    out = np.zeros(int((sizes + WIDTH).sum()) + WIDTH, np.int16)
+    for t, at in zip(texts, begins.tolist(), strict=True):
+        raw = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+        out[at : at + raw.size] = np.where(raw < 1024, _TABLE[np.minimum(raw, 1023)], CLASSES - 1)
+    return out, begins
+
+
+def windows(codes: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The first ``width`` codes of ``encode`` for candidates of at most 40 characters, by places in ``codes``."""
+    j, size = np.arange(width), (end - start)[:, None]
+    value = j - BEFORE - 1
+    at = start[:, None] + np.where(j < BEFORE, j - BEFORE, value - (value > size))
+    x = codes[np.minimum(at, codes.size - 1)]
+    x[:, BEFORE] = 2
+    np.put_along_axis(x, np.minimum(size + BEFORE + 1, width - 1), 2, 1)
+    x[value > size + TAIL] = 0
+    return x
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of the rules' findings."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -85,13 +113,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of 16 or more characters with a digit that touch no base span."""
+    """Tokens of SHORTEST or more characters: what base spans leave of them, and the whole token if it encloses one."""
+    tokens = [m.span() for m in CANDIDATE.finditer(text)]
+    if not taken:
+        return tokens
     out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any("0" <= c <= "9" for c in m[0]) and not any(s < b and a < e for s, _, e in taken):
+    for a, b in tokens:
+        inside = [(s, e) for s, _, e in taken if s < b and a < e]
+        if not inside:
             out.append((a, b))
-    return out
+            continue
+        if any(a <= s and e <= b and (s, e) != (a, b) for s, e in inside):
+            out.append((a, b))
+        at = a
+        for s, e in [*inside, (b, b)]:
+            piece = text[at:s].lstrip(":=@./") if s > at else ""
+            if len(piece) >= SHORTEST:
+                out.append((s - len(piece), s))
+            at = max(at, e)
+    return sorted(set(out))
 
 
 class CharNet:
@@ -124,6 +164,31 @@ class CharNet:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
+    def score_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 512) -> np.ndarray:
+        """``score`` of ``windows``: the convolution as a sum of tables by code, the zeros behind short windows once for all."""
+        p, k = self.p, self.span
+        tables = [(p["e"] @ w).astype(np.float32) for w in np.split(p["k"], k)]
+        blank = np.maximum(sum(t[0] for t in tables) + p["kb"].astype(np.float32), 0)
+        whole, out = WIDTH - k + 1, np.zeros(start.size)
+        size = end - start
+        order = np.argsort(size, kind="stable")
+        for i in range(0, order.size, step):
+            at = order[i : i + step]
+            width = min(WIDTH, BEFORE + 2 + int(size[at].max()) + TAIL + k - 1)
+            x = windows(codes, start[at], end[at], width)
+            n = width - k + 1
+            z = tables[0][x[:, :n]]
+            for o in range(1, k):
+                z += tables[o][x[:, o : o + n]]
+            z += p["kb"].astype(np.float32)
+            np.maximum(z, 0, out=z)
+            top, mean = z.max(1), (z.sum(1) + (whole - n) * blank) / whole
+            if n < whole:
+                top = np.maximum(top, blank)
+            h = np.maximum(np.concatenate([top, mean], 1) @ p["h"] + p["hb"], 0)
+            out[at] = h @ p["o"] + p["ob"][0]
+        return 1 / (1 + np.exp(-np.clip(out / self.temperature, -30, 30)))
+
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
         p, f = self.p, self.p["k"].shape[1]
         z_out, (cols, z, _, top, pooled, h) = self._forward(x)
@@ -166,13 +231,13 @@ class CharNet:
 
 
 def made_up(seed: int = 3, n: int = 240) -> tuple[np.ndarray, np.ndarray]:
-    """Examples of known kind: random keys, and numbers, dates, addresses, paths and words."""
+    """Examples of known kind: random keys, and numbers, dates, addresses, paths and words (shouted ones too)."""
     g = np.random.default_rng(seed)
     pick = lambda s, k: "".join(g.choice(list(s), k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: pick(low, int(g.integers(3, 9)))
     yes = lambda: [pick(low + up + dig, int(g.integers(20, 44))), pick("0123456789abcdef", int(g.integers(18, 44))), pick(up + dig, int(g.integers(18, 30))), f"{pick(low, 2)}_{pick(low + up + dig, 32)}"]
-    no = lambda: [pick(dig, int(g.integers(16, 20))), f"{word()}.{pick(dig, 2)}@{word()}{pick(dig, 1)}.{word()}.com", f"{g.integers(1990, 2030)}-{pick(dig, 2)}-{pick(dig, 2)}T{pick(dig, 2)}:{pick(dig, 2)}:{pick(dig, 2)}", f"https://{word()}.{word()}.org/{word()}/{pick(dig, 4)}", f"{word()}-{word()}-{word()}-{pick(dig, 2)}", f"{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}", f"{word()}_{word()}_{word()}{pick(dig, 1)}", f"{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}:{pick(dig, 4)}"]
+    no = lambda: [pick(dig, int(g.integers(16, 20))), f"{word()}.{pick(dig, 2)}@{word()}{pick(dig, 1)}.{word()}.com", f"{g.integers(1990, 2030)}-{pick(dig, 2)}-{pick(dig, 2)}T{pick(dig, 2)}:{pick(dig, 2)}:{pick(dig, 2)}", f"https://{word()}.{word()}.org/{word()}/{pick(dig, 4)}", f"{word()}-{word()}-{word()}-{pick(dig, 2)}", f"{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}", f"{word()}_{word()}_{word()}{pick(dig, 1)}", f"{word()}{word()}".upper(), f"{word()}{word()}.", word().capitalize() + word(), f"{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}:{pick(dig, 4)}"]
     x, y = [], []
     for label, kinds in ((1, yes), (0, no)):
         for _ in range(n // 4):
@@ -183,6 +248,12 @@ def made_up(seed: int = 3, n: int = 240) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y, np.int8)
 
 
+def _rank(text: str, start: int, end: int) -> tuple[int, int]:
+    """Order of a row's negatives: each eighth word of any shape and all with digits or of 16 characters first."""
+    mix = zlib.crc32(text[start:end].encode("utf-8", "surrogatepass"))
+    return mix % 8 > 0 and end - start < 16 and not any("0" <= c <= "9" for c in text[start:end]), mix
+
+
 def _findings(df: DataFrame, key: str, text: str) -> DataFrame:
     """Labelled windows of each row: 1 for rules' values, 0 for other candidates."""
 
@@ -197,7 +268,9 @@ def _findings(df: DataFrame, key: str, text: str) -> DataFrame:
                     value = ASSIGN.match(t, s).start(2) if kind == 0 else s
                     here.append(encode(t, value, e, hide=(i + s) % 2 == 0))
                     marks.append(1)
-                for s, e in candidates(t, taken):
+                for s, e in sorted((c for c in candidates(t, taken) if not any(s < c[1] and c[0] < e for s, _, e in taken)), key=lambda c: _rank(t, *c)):
+                    if len(here) >= ROW_FINDINGS:
+                        break
                     here.append(encode(t, s, e))
                     marks.append(0)
                 codes.append(b"".join(h.astype("<i2").tobytes() for h in here))
@@ -216,7 +289,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", documents: int
     rows of windows at most (128 bytes each), in order of their digests.
     """
     sample = hash_sampled(df, key, sample_share(df.count(), documents))
-    found = _findings(sample, key, text).select("h", F.expr("substring(codes, 1, 4096)").alias("codes"), F.slice("labels", 1, 32).alias("labels")).orderBy("h").limit(2 * findings).collect()
+    found = _findings(sample, key, text).select("h", F.expr(f"substring(codes, 1, {2 * WIDTH * ROW_FINDINGS})").alias("codes"), F.slice("labels", 1, ROW_FINDINGS).alias("labels")).orderBy("h").limit(2 * findings).collect()
     x, y = made_up()
     if found:
         more = np.concatenate([np.frombuffer(bytes(r["codes"]), "<i2").reshape(-1, WIDTH) for r in found])
@@ -227,23 +300,34 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", documents: int
     return CharNet().fit(x[~held], y[~held]).calibrate(x[held], y[held])
 
 
+def model_spans(net: CharNet, texts: list[str], taken: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int]]]:
+    """(start, end) of each text's candidates over the threshold."""
+    codes, begins = coded(texts)
+    found = [candidates(t, spans) for t, spans in zip(texts, taken, strict=True)]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    who = np.repeat(np.arange(len(texts)), [len(c) for c in found])
+    if not who.size:
+        return out
+    places = np.array([c for cs in found for c in cs], np.int64)
+    start, end = (places + begins[who][:, None]).T
+    score, long = np.zeros(who.size), end - start > 40
+    score[~long] = net.score_places(codes, start[~long], end[~long])
+    if long.any():
+        score[long] = net.score(np.array([encode(texts[who[i]], *places[i]) for i in np.flatnonzero(long)]))
+    for i in np.flatnonzero(score >= net.threshold).tolist():
+        out[who[i]].append((int(places[i, 0]), int(places[i, 1])))
+    return out
+
+
 def scan(df: DataFrame, net: CharNet, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans array<struct<kind, start, stop>> in order (model spans after base ones at a tie)."""
 
     def make():
         def f(x):
-            out, ask, where = [], [], []
-            for i, t in enumerate(x["text"]):
-                t = t or ""
-                taken = base_spans(t)
-                out.append([(s, k, e) for s, k, e in taken])
-                for s, e in candidates(t, taken):
-                    ask.append(encode(t, s, e))
-                    where.append((i, s, e))
-            if ask:
-                for (i, s, e), p in zip(where, net.score(np.array(ask)), strict=True):
-                    if p >= net.threshold:
-                        out[i].append((s, len(KINDS), e))
+            texts = [t or "" for t in x["text"]]
+            out = [base_spans(t) for t in texts]
+            for spans, more in zip(out, model_spans(net, texts, out), strict=True):
+                spans += [(s, len(KINDS), e) for s, e in more]
             names = (*KINDS, "model")
             return {"k": x["k"], "spans": [[{"kind": names[k], "start": s, "stop": e} for s, k, e in sorted(o)] for o in out]}
 
@@ -270,18 +354,9 @@ def redact(df: DataFrame, net: CharNet, text: str = "text", mark: str = "[SECRET
 
     def make():
         def f(x):
-            ask, where = [], []
-            spans: list[list] = []
-            for i, t in enumerate(x[text]):
-                taken = base_spans(t or "")
-                spans.append([(s, e) for s, _, e in taken])
-                for s, e in candidates(t or "", taken):
-                    ask.append(encode(t, s, e))
-                    where.append((i, s, e))
-            if ask:
-                for (i, s, e), p in zip(where, net.score(np.array(ask)), strict=True):
-                    if p >= net.threshold:
-                        spans[i].append((s, e))
+            texts = [t or "" for t in x[text]]
+            taken = [base_spans(t) for t in texts]
+            spans = [[(s, e) for s, _, e in of] + more for of, more in zip(taken, model_spans(net, texts, taken), strict=True)]
             return {c: x[c] if c != text else [t if t is None or not sp else cut(t, sp) for t, sp in zip(x[text], spans, strict=True)] for c in names}
 
         return f
