@@ -146,6 +146,19 @@ def test_2_what_base_spans_leave_is_scored():
     assert wanted[0] in found[0] and wanted[1] in found[1]
 
 
+def test_2_the_middle_of_a_long_candidate_is_scored():
+    net, key = fitted(), "9f8A7b6C5d4E3f2A1b0C9d8E7f"
+    plain = "https://files.example.org/reports/annual/summary/current/printed/volume/"
+    texts = [f"see {plain}{key}/{'pages/' * 12}end now", f"see {plain}{plain[8:]}{'pages/' * 12}end now", "x " + "a" * 60 + key + "a" * 60]
+    found = secrets.model_spans(net, texts, [[], [], []])
+    assert any(t <= texts[0].index(key) and texts[0].index(key) + len(key) <= e for t, e in found[0])
+    assert not found[1]
+    for t in texts:  # every character of every candidate lies in a window
+        for a, b in secrets.candidates(t, []):
+            assert set(range(a, b)) == {i for s, e in secrets.pieces_of(t, a, b) for i in range(s, e)}
+            assert all(e - s <= secrets.VALUE for s, e in secrets.pieces_of(t, a, b))
+
+
 def test_2_windows_of_places_are_those_of_encode():
     texts = ["", "é key: abcdef1234 end", "x" * 5 + " Zk9Xq2Lm7Rt4", "日本 " + "q1" * 20]
     codes, begins = secrets.coded(texts)

@@ -44,7 +44,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@:-]{%d,}" % SHORTEST)
 #: Documents (expected) whose findings train the network, and the most findings of each label.
 TRAIN_DOCUMENTS, TRAIN_FINDINGS, ROW_FINDINGS = 20_000, 6_000, 32
 WIDTH, BEFORE = 64, 16  # characters of a window, those before the candidate
-TAIL = WIDTH - BEFORE - 42  # those after it
+VALUE, STRIDE = 40, 20  # most characters of a value, and how far windows along a longer one are apart
+TAIL = WIDTH - BEFORE - VALUE - 2  # those after it
+PART = re.compile(r"[^/.=@:]{%d,}" % SHORTEST)
 RECALL, FLOOR = 0.98, 0.9
 ALPHABET = {c: i for i, c in enumerate("\n \"'()[]{}<>,;:=+/_.-@#%&*!?|\\$~^`", 3)}
 CLASSES = 3 + len(ALPHABET) + 36 + 26 + 1
@@ -67,11 +69,10 @@ _TABLE = np.array([char_code(chr(i)) for i in range(1024)], np.int16)
 
 
 def encode(text: str, start: int, end: int, hide: bool = False) -> np.ndarray:
-    """Codes of a window: ``BEFORE`` characters, the candidate, what follows.  A
-    long candidate keeps its first 32 and last 8 characters.  0 pads, 2 parts them."""
+    """Codes of a window: ``BEFORE`` characters, a value of ``VALUE`` characters at most
+    (see ``pieces_of``), what follows.  0 pads, 2 parts them."""
     head = text[max(0, start - BEFORE) : start]
     value = text[start:end]
-    value = value if len(value) <= 40 else value[:32] + value[-8:]
     tail = text[end : end + TAIL]
     if hide:
         head = ""
@@ -93,7 +94,7 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(codes: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The first ``width`` codes of ``encode`` for candidates of at most 40 characters, by places in ``codes``."""
+    """The first ``width`` codes of ``encode`` for values of at most VALUE characters, by places in ``codes``."""
     j, size = np.arange(width), (end - start)[:, None]
     value = j - BEFORE - 1
     at = start[:, None] + np.where(j < BEFORE, j - BEFORE, value - (value > size))
@@ -104,6 +105,14 @@ def windows(codes: np.ndarray, start: np.ndarray, end: np.ndarray, width: int =
     return x
 
 
+def pieces_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate itself, or of a longer one than VALUE: overlapping windows that cover it and its parts between separators."""
+    if end - start <= VALUE:
+        return [(start, end)]
+    along = lambda a, b: [(i, min(i + VALUE, b)) for i in range(a, max(a + 1, b - VALUE + STRIDE), STRIDE)]
+    return list(dict.fromkeys([*along(start, end), *(w for m in PART.finditer(text, start, end) for w in along(*m.span()))]))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of the rules' findings."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -237,14 +246,16 @@ def made_up(seed: int = 3, n: int = 240) -> tuple[np.ndarray, np.ndarray]:
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: pick(low, int(g.integers(3, 9)))
     yes = lambda: [pick(low + up + dig, int(g.integers(20, 44))), pick("0123456789abcdef", int(g.integers(18, 44))), pick(up + dig, int(g.integers(18, 30))), f"{pick(low, 2)}_{pick(low + up + dig, 32)}"]
-    no = lambda: [pick(dig, int(g.integers(16, 20))), f"{word()}.{pick(dig, 2)}@{word()}{pick(dig, 1)}.{word()}.com", f"{g.integers(1990, 2030)}-{pick(dig, 2)}-{pick(dig, 2)}T{pick(dig, 2)}:{pick(dig, 2)}:{pick(dig, 2)}", f"https://{word()}.{word()}.org/{word()}/{pick(dig, 4)}", f"{word()}-{word()}-{word()}-{pick(dig, 2)}", f"{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}", f"{word()}_{word()}_{word()}{pick(dig, 1)}", f"{word()}{word()}".upper(), f"{word()}{word()}.", word().capitalize() + word(), f"{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}:{pick(dig, 4)}"]
+    no = lambda: [pick(dig, int(g.integers(16, 20))), f"{word()}.{pick(dig, 2)}@{word()}{pick(dig, 1)}.{word()}.com", f"{g.integers(1990, 2030)}-{pick(dig, 2)}-{pick(dig, 2)}T{pick(dig, 2)}:{pick(dig, 2)}:{pick(dig, 2)}", f"https://{word()}.{word()}.org/{word()}/{pick(dig, 4)}", f"{word()}-{word()}-{word()}-{pick(dig, 2)}", f"https://{word()}.{word()}.org/" + "/".join(word() for _ in range(12)) + f"?{word()}={pick(dig, 3)}", f"{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}-{pick(dig, 4)}", f"{word()}_{word()}_{word()}{pick(dig, 1)}", f"{word()}{word()}".upper(), f"{word()}{word()}.", word().capitalize() + word(), f"{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 3)}:{pick(dig, 4)}"]
     x, y = [], []
     for label, kinds in ((1, yes), (0, no)):
         for _ in range(n // 4):
             for v in kinds():
                 before = " ".join(word() for _ in range(3)) + " "
-                x.append(encode(f"{before}{v} {word()}", len(before), len(before) + len(v)))
-                y.append(label)
+                t = f"{before}{v} {word()}"
+                for a, b in pieces_of(t, len(before), len(before) + len(v)) if not label else [(len(before), len(before) + min(len(v), VALUE))]:
+                    x.append(encode(t, a, b))
+                    y.append(label)
     return np.array(x), np.array(y, np.int8)
 
 
@@ -266,13 +277,14 @@ def _findings(df: DataFrame, key: str, text: str) -> DataFrame:
                 here, marks = [], []
                 for s, kind, e in taken:
                     value = ASSIGN.match(t, s).start(2) if kind == 0 else s
-                    here.append(encode(t, value, e, hide=(i + s) % 2 == 0))
+                    here.append(encode(t, value, min(e, value + VALUE), hide=(i + s) % 2 == 0))
                     marks.append(1)
                 for s, e in sorted((c for c in candidates(t, taken) if not any(s < c[1] and c[0] < e for s, _, e in taken)), key=lambda c: _rank(t, *c)):
                     if len(here) >= ROW_FINDINGS:
                         break
-                    here.append(encode(t, s, e))
-                    marks.append(0)
+                    for a, b in pieces_of(t, s, e)[: ROW_FINDINGS - len(here)]:
+                        here.append(encode(t, a, b))
+                        marks.append(0)
                 codes.append(b"".join(h.astype("<i2").tobytes() for h in here))
                 labels.append(marks)
             return {"h": [hashlib.sha256(c).hexdigest() for c in codes], "codes": codes, "labels": labels}
@@ -305,17 +317,17 @@ def model_spans(net: CharNet, texts: list[str], taken: list[list[tuple[int, int,
     codes, begins = coded(texts)
     found = [candidates(t, spans) for t, spans in zip(texts, taken, strict=True)]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    who = np.repeat(np.arange(len(texts)), [len(c) for c in found])
-    if not who.size:
+    flat = [(i, c) for i, cs in enumerate(found) for c in cs]
+    if not flat:
         return out
-    places = np.array([c for cs in found for c in cs], np.int64)
-    start, end = (places + begins[who][:, None]).T
-    score, long = np.zeros(who.size), end - start > 40
-    score[~long] = net.score_places(codes, start[~long], end[~long])
-    if long.any():
-        score[long] = net.score(np.array([encode(texts[who[i]], *places[i]) for i in np.flatnonzero(long)]))
-    for i in np.flatnonzero(score >= net.threshold).tolist():
-        out[who[i]].append((int(places[i, 0]), int(places[i, 1])))
+    pieces = [pieces_of(texts[i], *c) for i, c in flat]
+    sizes = np.array([len(p) for p in pieces])
+    begin = np.repeat(begins[[i for i, _ in flat]], sizes)
+    start, end = np.array([w for p in pieces for w in p], np.int64).T + begin
+    score = np.maximum.reduceat(net.score_places(codes, start, end), np.cumsum(sizes) - sizes)
+    for at in np.flatnonzero(score >= net.threshold).tolist():
+        i, c = flat[at]
+        out[i].append(c)
     return out
 
 
