@@ -159,6 +159,18 @@ def test_2_the_middle_of_a_long_candidate_is_scored():
             assert all(e - s <= secrets.VALUE for s, e in secrets.pieces_of(t, a, b))
 
 
+def test_2_the_threshold_keeps_the_recall():
+    class Fixed(secrets.CharNet):
+        def logits(self, x):
+            return x[:, 0] / 10.0
+
+    y = np.repeat([1, 0], 100)
+    x = np.concatenate([np.arange(100), -np.arange(100)])[:, None]
+    net = Fixed().calibrate(x, y)
+    assert net.threshold == np.sort(net.score(x[:100]))[2] < 0.9
+    assert net.held_out == (1.0, 0.98)
+
+
 def test_2_windows_of_places_are_those_of_encode():
     texts = ["", "é key: abcdef1234 end", "x" * 5 + " Zk9Xq2Lm7Rt4", "日本 " + "q1" * 20]
     codes, begins = secrets.coded(texts)

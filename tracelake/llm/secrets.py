@@ -13,7 +13,7 @@ that the value's own shape must tell; all other candidates are negative, and a
 few made-up ones (numbers, addresses, words, dates, paths) join them so that a sample without
 any can't leave them out.  Scores are calibrated by temperature on a held-out
 part, and the threshold is the highest that keeps ``RECALL`` of the held-out
-positives, never below ``FLOOR``.
+positives; ``held_out`` has the precision and recall there.
 
 Defined cases: a null text is empty and has no spans; a text may have any
 length, candidates are at most as many as its tokens; without any finding in
@@ -47,7 +47,7 @@ WIDTH, BEFORE = 64, 16  # characters of a window, those before the candidate
 VALUE, STRIDE = 40, 20  # most characters of a value, and how far windows along a longer one are apart
 TAIL = WIDTH - BEFORE - VALUE - 2  # those after it
 PART = re.compile(r"[^/.=@:]{%d,}" % SHORTEST)
-RECALL, FLOOR = 0.98, 0.9
+RECALL = 0.98
 ALPHABET = {c: i for i, c in enumerate("\n \"'()[]{}<>,;:=+/_.-@#%&*!?|\\$~^`", 3)}
 CLASSES = 3 + len(ALPHABET) + 36 + 26 + 1
 
@@ -153,7 +153,7 @@ class CharNet:
             "e": g.normal(0, 0.3, (CLASSES, dim)), "k": g.normal(0, 1 / np.sqrt(dim * span), (span * dim, filters)), "kb": np.zeros(filters),
             "h": g.normal(0, 1 / np.sqrt(2 * filters), (2 * filters, hidden)), "hb": np.zeros(hidden), "o": g.normal(0, 1 / np.sqrt(hidden), hidden), "ob": np.zeros(1),
         }
-        self.temperature, self.threshold = 1.0, FLOOR
+        self.temperature, self.threshold, self.held_out = 1.0, 0.5, (0.0, 0.0)
 
     def _forward(self, x: np.ndarray):
         p = self.p
@@ -229,13 +229,17 @@ class CharNet:
                 self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL, floor: float = FLOOR) -> CharNet:
-        """Temperature by held-out likelihood; then the highest threshold with the wanted recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharNet:
+        """Temperature by held-out likelihood; then the highest threshold with the wanted recall (0.5 without a positive)."""
         z = self.logits(x)
         loss = lambda t: np.mean(np.logaddexp(0, -np.where(y == 1, 1, -1) * z / t))
         self.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-        kept = np.sort(self.score(x[y == 1]))
-        self.threshold = max(floor, float(kept[int((1 - recall) * len(kept))])) if len(kept) else floor
+        p = self.score(x)
+        kept = np.sort(p[y == 1])
+        if len(kept):
+            self.threshold = float(kept[int((1 - recall) * len(kept))])
+            over = p >= self.threshold
+            self.held_out = float((y[over] == 1).mean()), float(over[y == 1].mean())
         return self
 
 
