@@ -282,6 +282,13 @@ def test_5_blocks_find_links_beyond_the_pivot(spark):
     assert [(a, b) for a, b, _ in near_dedup._block_links(rows, of, idf, 0.8)] == [(2, 3)]
 
 
+def test_5_components_of_long_chains(spark):
+    ids = np.random.default_rng(5).permutation(400).tolist()
+    links = [*zip(ids, ids[1:], strict=False), (1000, 1001), (1001, 1001)]
+    got = {r["v"]: r["label"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, 0) | {1000: 1000, 1001: 1000}
+
+
 def test_5_samples_agree_as_the_similarity(spark):
     of, sampler, idf = near_dedup.Shingles(), near_dedup.Sampler(), np.ones(1 << near_dedup.SKETCH_BITS, np.float32)
     off = []

@@ -65,6 +65,12 @@ def test_components(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
 
 
+def test_components_of_long_chains(spark):
+    chain = [(i, i + 1) for i in range(1, 150)] + [(150, 0)]  # the least vertex at the far end
+    edges = spark.createDataFrame([(f"{a:04d}", f"{b:04d}") for a, b in chain], "oid string, oid2 string")
+    assert {r["component"] for r in ocel.connected_components(edges).collect()} == {"0000"}
+
+
 def test_empty_log(spark):
     log = log_of(spark, "A").filter("false")
     assert discovery.dfg(log).count() == 0

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import components as stars
 from tracelake.functions.shipping import ship_package
 
 from .common import bounded_batches, fresh, give_back, map_slices, maybe_among, slices, table, written
@@ -272,19 +273,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return map_slices(dealt, "text", make, "a long, b long, similarity double")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """v, label (the least vertex of its component) of every vertex that a link (a, b) touches."""
-    both = written(links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")), "labels")
-    for _ in range(rounds):
-        heard = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("heard"))
-        low = labels.join(heard, "v").select("v", "label", F.least("label", "heard").alias("low"))
-        jumped = low.join(labels.select(F.col("v").alias("low"), F.col("label").alias("root")), "low", "left").select("v", F.least("low", F.coalesce("root", "low")).alias("label"), (F.least("low", F.coalesce("root", "low")) != F.col("label")).alias("moved"))
-        new = written(jumped, "labels")
-        labels = new.select("v", "label")
-        if not new.filter("moved").limit(1).count():
-            break
-    return labels
+    return written(stars.components(links, lambda df: written(df, "stars")), "labels")
 
 
 def _star_pairs(buckets: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import components as stars
 from tracelake.functions.keys import seconds
 from tracelake.sources.tables import Ocel
 
@@ -163,26 +164,16 @@ def extended(log: Ocel, types: list[str]) -> DataFrame:
     return log.events.select("eid", "act").join(related(log).groupBy("eid").agg(*lists), "eid", "left")
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """oid, component (its least object) over oid, oid2 edges; the shared checkpoint folder cuts each round's lineage."""
-    both = edges.select("oid", "oid2").union(edges.select(F.col("oid2").alias("oid"), F.col("oid").alias("oid2"))).distinct()
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
         where = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-")
         sc.setCheckpointDir(where)
-    both = both.checkpoint()
-    labels = both.groupBy("oid").agg(F.least("oid", F.min("oid2")).alias("component")).checkpoint()
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("oid").alias("oid2"), "component"), "oid2").groupBy("oid").agg(F.min("component").alias("heard"))
-        low = labels.join(heard, "oid").select("oid", "component", F.least("component", "heard").alias("low"))
-        root = labels.select(F.col("oid").alias("low"), F.col("component").alias("root"))
-        new = low.join(root, "low", "left").select("oid", F.least("low", F.coalesce("root", "low")).alias("component"), (F.least("low", F.coalesce("root", "low")) != F.col("component")).alias("moved")).checkpoint()
-        labels = new.select("oid", "component")
-        if not new.filter("moved").limit(1).count():
-            break
-    return labels
+    links = edges.select(F.col("oid").alias("a"), F.col("oid2").alias("b"))
+    return stars.components(links, lambda df: df.checkpoint()).select(F.col("v").alias("oid"), F.col("label").alias("component"))
 
 
 # --- filters and conformance over relations
