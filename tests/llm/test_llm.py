@@ -216,6 +216,15 @@ def test_3_toxicity_held_out_and_odd_rows(spark):
     assert toxicity.score(docs.limit(1), nothing).first()["score"] == 0
 
 
+def test_3_every_second_person_word_counts():
+    features = toxicity.Features({})
+    insult = sorted(toxicity.INSULTS)[0]
+    you = sorted(toxicity.SECOND)[0]
+    names = lambda text: features(text)[8:10]
+    near = f"{you} {insult}"
+    assert names(f"{f'{you} ' + 'plain ' * 9} " * 600 + "plain " * 900 + near) == names("plain " * 900 + near) == [0.5, 1.0]
+
+
 def test_4_quality_held_out_and_odd_rows(spark):
     docs, labels = labelled(spark)
     model = quality.train(docs, toxicity.train_rows(labels, "quality", 3, 1))

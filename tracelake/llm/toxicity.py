@@ -97,7 +97,9 @@ class Features:
         near = close = 0.0
         you = [i for i, w in enumerate(words) if w in SECOND] if hits else []
         if you:
-            gap = np.abs(np.subtract.outer(np.array(hits[:512]), np.array(you[:512]))).min(axis=1)
+            at, places = np.array(hits), np.array(you)
+            after = np.searchsorted(places, at)
+            gap = np.minimum(np.abs(at - places[np.maximum(after - 1, 0)]), np.abs(places[np.minimum(after, len(you) - 1)] - at))
             near, close = float((1 / (1 + gap)).max()), float((gap <= 5).mean())
         odd = hidden = 0
         for m in OBFUSCATED.finditer(low):
