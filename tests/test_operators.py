@@ -71,6 +71,11 @@ def test_components_of_long_chains(spark):
     assert {r["component"] for r in ocel.connected_components(edges).collect()} == {"0000"}
 
 
+def test_prefix_tree_of_a_long_case(spark):
+    got = {r["depth"]: r["n_final"] for r in discovery.prefix_tree(log_of(spark, ",".join("AB" * 15))).collect()}
+    assert got == dict.fromkeys(range(1, 30), 0) | {30: 1}
+
+
 def test_empty_log(spark):
     log = log_of(spark, "A").filter("false")
     assert discovery.dfg(log).count() == 0

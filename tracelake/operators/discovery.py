@@ -37,9 +37,9 @@ def footprints(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").join(back, ["source", "target"], "left").select("source", "target", F.when(F.col("_b"), "parallel").otherwise("sequence").alias("relation"))
 
 
-def prefix_tree(log: DataFrame, most: int = 20) -> DataFrame:
-    """prefix, depth, n (cases through it), n_final (cases that end there)."""
-    t = traces(log).select(F.slice("seq", 1, most).alias("seq"))
+def prefix_tree(log: DataFrame, most: int | None = None) -> DataFrame:
+    """prefix, depth, n (cases through it), n_final (cases that end there); of cases cut to ``most`` activities, if given."""
+    t = traces(log).select("seq" if most is None else F.slice("seq", 1, most).alias("seq"))
     v = t.groupBy("seq").agg(F.count("*").alias("n"))
     steps = v.select("seq", "n", F.explode(F.sequence(F.lit(1), F.size("seq"))).alias("depth"))
     return steps.groupBy(F.slice("seq", F.lit(1), F.col("depth")).alias("prefix"), "depth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("depth") == F.size("seq"), F.col("n")).otherwise(0)).alias("n_final"))
