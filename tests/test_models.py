@@ -1,5 +1,7 @@
 """Trees, nets, miners, replay and alignment on models worked out by hand."""
 
+from collections import Counter
+
 import pytest
 
 from tracelake.operators import conformance, core, miners, nets
@@ -53,6 +55,18 @@ def test_replay_counts():
     assert nets.replay(net, ("x", "a", "b")).unknown == 1
 
 
+def test_searches_have_no_cap_on_states():
+    n = 12  # silent steps side by side, 2^12 markings before "a"
+    net = nets.Net(places=2 * n + 1, initial=Counter(range(n)), final=Counter({2 * n: 1}))
+    for i in range(n):
+        net.add(None, [i], [n + i])
+    net.add("a", list(range(n, 2 * n)), [2 * n])
+    assert nets.replay(net, ("a",)).fits
+    loop = nets.Net(places=1, initial=Counter({0: 1}), final=Counter({0: 1}))
+    loop.add("a", [0], [0])
+    assert nets.align(loop, ("a",) * 200_001)[0] == 0
+
+
 def test_alignment_costs():
     net = nets.net_of(Tree("->", None, (leaf("a"), leaf("b"), leaf("c"))))
     assert nets.align(net, ("a", "c"))[0] == 10_000
