@@ -291,6 +291,10 @@ def test_5_blocks_find_links_beyond_the_pivot(spark):
     assert [(a, b) for a, b, _ in near_dedup._block_links(rows, of, idf, 0.8)] == [(2, 3)]
 
 
+def test_5_bands_miss_few_pairs():
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 0.0005
+
+
 def test_5_components_of_long_chains(spark):
     ids = np.random.default_rng(5).permutation(400).tolist()
     links = [*zip(ids, ids[1:], strict=False), (1000, 1001), (1001, 1001)]
