@@ -46,9 +46,10 @@ SPACE, LITERAL = "▁", "\udfff"  # the second can't stand in a text
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of text that share one lattice.
 SLICE = 1 << 20
-#: Bounds are Gumbel draws from 24 random bits; such a draw is below this.
-GUMBEL_MOST = 17.4
-BLOCK = 224
+#: The greatest Gumbel draw that ``uniforms`` can give is below this.
+GUMBEL_MOST = 36.8
+#: Places of all texts that one step of the search looks at.
+BLOCK = 96
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,13 +63,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def uniforms(x: np.ndarray) -> np.ndarray:
-    """Numbers within (0, 1) from mixed integers."""
-    return ((mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
-def coarse_uniforms(x: np.ndarray) -> np.ndarray:
-    """Numbers within (0, 1) on a grid of 2^-24: their Gumbel draws have a small greatest value."""
-    return ((mixed(x) >> np.uint64(40)).astype(np.float64) + 0.5) * 2.0**-24
+    """Numbers within (0, 1) from mixed integers: odd multiples of 2^-53, all exact."""
+    return ((mixed(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def load_pieces(path: str = MODEL) -> list[tuple[str, int]]:
@@ -230,8 +226,13 @@ class Lattice:
             degree = np.diff(np.append(heads, hi - lo))
             beta[base[m] : base[m + 1]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree)), heads))
         self.log_p = np.minimum(weight + beta[self.end] - beta[self.start], 0.0)
-        run = np.concatenate([[0.0], np.cumsum(np.exp(self.log_p))])
-        self.cum = run[1:] - run[self.ptr[self.start]]
+        self.cum = np.exp(self.log_p)
+        more, nth = np.flatnonzero(self.degree > 1), 1
+        while more.size:  # node by node, so that no sum depends on the units beside
+            at = self.ptr[more] + nth
+            self.cum[at] += self.cum[at - 1]
+            nth += 1
+            more = more[self.degree[more] > nth]
         self.cum[self.ptr[1:][self.degree > 0] - 1] = 2.0
         self.terminal = level == 0
         self.choice = (self.degree > 1)[self.start]
@@ -298,39 +299,49 @@ class Encoder:
         with np.errstate(over="ignore"):
             return mixed(np.array([0 if k is None else int(k) & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) * _A + np.uint64(self.seed))
 
-    def _regions(self, heap: list, lattice: Lattice, parent: Sample, begin: int, taken: list[int], seed: np.uint64, rank: int) -> None:
-        """Puts what remains of a taken region on the heap: at each place a region whose next
-        piece is another one.  Places too unlikely to be among the next are left out exactly:
-        their bounds can't exceed the least that counts."""
-        edges, g = parent.edges, parent.perturbed
-        phi = float(lattice.log_p[edges[:begin]].sum()) if begin else 0.0
+    def _regions(self, heaps: list[list], lattice: Lattice, docs: list[int], flat: np.ndarray, sizes: np.ndarray, begin: np.ndarray, g: np.ndarray, taken: list[tuple], seeds: np.ndarray, rank: int) -> None:
+        """Puts what remains of the taken regions of all texts on their heaps: at each place a region
+        whose next piece is another one.  flat: the edges of the texts' new samples, ``sizes`` of each.
+        A text is done when its rest can't matter: no bound there can exceed the least that counts."""
         wanted = self.k - rank
-        at = begin
-        while at < edges.size:
-            part = edges[at : at + BLOCK]
-            lp = lattice.log_p[part]
-            before = np.cumsum(lp) - lp + phi
+        off = np.cumsum(sizes) - sizes
+        phi = np.array([float(lattice.log_p[flat[o : o + b]].sum()) if b else 0.0 for o, b in zip(off.tolist(), begin.tolist(), strict=True)])
+        at, todo = begin.copy(), np.flatnonzero(begin < sizes)
+        step = np.arange(BLOCK)
+        while todo.size:
+            place = at[todo, None] + step
+            inside = place < sizes[todo, None]
+            part = flat[np.where(inside, off[todo, None] + place, 0)]
+            lp = np.where(inside, lattice.log_p[part], 0.0)
+            before = np.cumsum(lp, axis=1)
+            end = before[:, -1] + phi[todo]
+            before += phi[todo, None] - lp
             rest = -np.expm1(lp)
             free = lattice.choice[part]
-            if at == begin and taken:
-                rest[0] -= np.exp(lattice.log_p[taken]).sum()
-                free[0] = lattice.degree[lattice.start[part[0]]] > 1 + len(taken)  # a copy: fancy indexing
-            live = np.flatnonzero((rest > 1e-13) & free)
-            if live.size:
-                with np.errstate(over="ignore"):
-                    u = coarse_uniforms(seed + np.uint64(rank) * _C + (np.uint64(at + 1) + live.astype(np.uint64)) * _A)
-                bound = -np.logaddexp(np.log(-np.log(u)) - before[live] - np.log(rest[live]), -g)
-                if live.size > wanted:
-                    best = np.argpartition(-bound, wanted - 1)[:wanted]
-                    live, bound = live[best], bound[best]
-                for i, b in zip(live.tolist(), bound.tolist(), strict=True):
-                    heap.append((-b, rank, at + i, (*taken, int(part[i])) if at + i == begin else (int(part[i]),)))
+            for i in np.flatnonzero(at[todo] == begin[todo]).tolist():
+                if used := taken[todo[i]]:
+                    rest[i, 0] -= np.exp(lattice.log_p[list(used)]).sum()
+                    free[i, 0] = lattice.degree[lattice.start[part[i, 0]]] > 1 + len(used)
+            r, c = np.nonzero(inside & free & (rest > 1e-13))
+            with np.errstate(over="ignore"):
+                u = uniforms(seeds[todo[r]] + np.uint64(rank) * _C + (place[r, c] + 1).astype(np.uint64) * _A)
+            bound = np.full(part.shape, -np.inf)
+            bound[r, c] = -np.logaddexp(np.log(-np.log(u)) - before[r, c] - np.log(rest[r, c]), -g[todo[r]])
+            best = np.argpartition(-bound, wanted - 1, axis=1)[:, :wanted]
+            least = np.full(todo.size, -np.inf)
+            for i, (d, columns, bounds) in enumerate(zip(todo.tolist(), best.tolist(), np.take_along_axis(bound, best, 1).tolist(), strict=True)):
+                heap = heaps[docs[d]]
+                for col, b in zip(columns, bounds, strict=True):
+                    if b > -math.inf:
+                        e, where = int(part[i, col]), int(place[i, col])
+                        heap.append((-b, rank, where, (*taken[d], e) if where == begin[d] else (e,)))
                 heap.sort()
                 del heap[wanted:]
-            phi += float(lp.sum())
-            at += BLOCK
-            if len(heap) == wanted and phi + GUMBEL_MOST < -heap[-1][0]:
-                break
+                if len(heap) == wanted:
+                    least[i] = -heap[-1][0]
+            phi[todo] = end
+            at[todo] += BLOCK
+            todo = todo[(at[todo] < sizes[todo]) & (end + GUMBEL_MOST >= least)]
 
     def __call__(self, keys: list, texts: list[str | None]) -> tuple[Lattice, list[list[Sample]], list[float]]:
         """For each text its samples in order of perturbed log probability, and kappa."""
@@ -341,48 +352,45 @@ class Encoder:
         heaps: list[list] = [[] for _ in range(n)]
         samples: list[list[Sample]] = [[] for _ in range(n)]
         with np.errstate(over="ignore"):
-            roots = -np.log(-np.log(coarse_uniforms(seeds * _B + _C)))
+            roots = -np.log(-np.log(uniforms(seeds * _B + _C)))
         cur = lattice.first[units]
-        picks: list = [None] * n
+        docs, heads, at, g, taken = list(range(n)), [], np.zeros(n, np.int64), roots, [()] * n
         for rank in range(self.k):
-            head: list = [np.zeros(0, np.int64)] * n
-            live = np.ones(n, bool)
-            start = cur.copy()
+            start = cur
             if rank:
-                skip = np.zeros(units.size, bool)
-                for d in range(n):
-                    if not heaps[d]:
-                        live[d] = False
-                        skip[begin[d] : begin[d + 1]] = True
-                        continue
-                    bound, parent, at, taken = heaps[d].pop(0)
+                docs = [d for d in docs if heaps[d]]
+                if not docs:
+                    break
+                with np.errstate(over="ignore"):
+                    draws = uniforms(seeds[docs] * _C + np.uint64(rank) * _A).tolist()
+                chosen = [heaps[d].pop(0) for d in docs]
+                heads = []
+                live = np.zeros(n, bool)
+                live[docs] = True
+                start, begins = cur.copy(), begin[:-1].copy()  # begins: the first unit of each text that is drawn anew
+                for d, u, (_, parent, where, used) in zip(docs, draws, chosen, strict=True):
                     edges = samples[d][parent].edges
-                    node = lattice.start[edges[at]]
-                    options = np.arange(lattice.ptr[node], lattice.ptr[node + 1])
-                    options = np.array([o for o in options.tolist() if o not in taken], np.int64)
+                    node = lattice.start[edges[where]]
+                    options = [o for o in range(int(lattice.ptr[node]), int(lattice.ptr[node + 1])) if o not in used]
                     p = np.cumsum(np.exp(lattice.log_p[options]))
-                    with np.errstate(over="ignore"):
-                        u = float(uniforms(seeds[d : d + 1] * _C + np.uint64(rank) * _A)[0])
-                    e = int(options[min(int(np.searchsorted(p, u * p[-1])), options.size - 1)])
-                    head[d] = np.append(edges[:at], e)
-                    unit = begin[d] + int(lattice.terminal[lattice.end[edges[:at]]].sum())
-                    skip[begin[d] : unit] = True
-                    start[unit] = lattice.end[e]
-                    picks[d] = (-bound, at, list(taken))
-                start[skip] = 0  # a unit's end
+                    e = options[min(int(np.searchsorted(p, u * p[-1])), len(options) - 1)]
+                    head = edges[: where + 1].copy()
+                    head[where] = e
+                    heads.append(head)
+                    begins[d] += np.count_nonzero(lattice.terminal[lattice.end[head[:where]]])
+                    start[begins[d]] = lattice.end[e]
+                start[(np.arange(units.size) < begins[owner]) | ~live[owner]] = 0  # a unit's end
+                at, g, taken = np.array([c[2] for c in chosen], np.int64), np.array([-c[0] for c in chosen]), [c[3] for c in chosen]
             with np.errstate(over="ignore"):
                 base = seeds[owner] + np.uint64(rank + 1) * _C + (place + np.uint64(1)) * _A
             edges, counts = lattice.draw(start, mixed(base))
-            total = np.concatenate([[0], np.cumsum(counts)])
-            for d in range(n):
-                if not live[d]:
-                    continue
-                tail = edges[total[begin[d]] : total[begin[d + 1]]]
-                whole = np.concatenate([head[d], tail]) if rank else tail
-                g, at, taken = picks[d] if rank else (float(roots[d]), 0, [])
-                s = Sample(whole, float(lattice.log_p[whole].sum()), g)
-                samples[d].append(s)
-                self._regions(heaps[d], lattice, s, at, taken, seeds[d], rank)
+            total = np.concatenate([[0], np.cumsum(counts)])[begin].tolist()
+            for i, d in enumerate(docs):
+                tail = edges[total[d] : total[d + 1]]
+                whole = np.concatenate([heads[i], tail]) if rank else tail
+                samples[d].append(Sample(whole, float(lattice.log_p[whole].sum()), float(g[i])))
+            new = [samples[d][-1].edges for d in docs]
+            self._regions(heaps, lattice, docs, np.concatenate(new) if new else edges, np.array([e.size for e in new], np.int64), at, g, taken, seeds[docs], rank)
         return lattice, samples, [-h[0][0] if h else -math.inf for h in heaps]
 
     def ids(self, lattice: Lattice, edges: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
