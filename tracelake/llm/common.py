@@ -124,36 +124,81 @@ def crc_mod(column: str, n: int):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only a session without that setting
-    (a test's) gets one of its own."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Only a local session without that
+    setting (a test's) gets one of its own; a cluster without it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Folders that ``written`` made, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it again: the lineage is cut, and
     a lost executor takes nothing of it along."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-MEMBER_BITS = 24  # a bitmap of 2 MB, whatever the number of ids
+def marker() -> int:
+    """A place in the order of written tables, for ``forget``."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Deletes the tables written since a place in their order, but for those that ``kept`` read."""
+    used = [f for k in kept for f in k.inputFiles()]
+    for path in _made[since:]:
+        if not any(path.rpartition("/")[2] in f for f in used):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _made.remove(path)
+
+
+#: A key counts as hot if it has more than this share of the rows, and more rows than that.
+HOT_SHARE, HOT_ROWS = 1 / 1024, 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of many rows with one right row for each key, whatever a key's share of ``left``.
+
+    The right rows of hot keys (under 1024 of them, by the definition of hot) are broadcast, so no task
+    gets all the rows of one; the others meet in a plain join.  ``left`` is read several times and
+    should be a table; ``sizes`` (key, n) saves the count of its keys.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    least = max(HOT_ROWS, int(left.count() * HOT_SHARE))
+    hot = sizes.filter(F.col("n") > least).select(key).collect()
+    if not hot:
+        return left.join(right, key)
+    some = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in hot], left.select(key).schema))
+    return left.join(some, key, "left_anti").join(right, key).unionByName(left.join(F.broadcast(right.join(some, key, "left_semi")), key))
+
+
+MEMBER_BITS = (24, 28)  # a bitmap of 2 MB, for many ids up to 32 MB
 
 
-def maybe_among(ids: DataFrame, key: str):
-    """A function of a long column: false only where it is none of the ids.
+def maybe_among(ids: DataFrame, *keys: str):
+    """A function of columns like ``keys``: false only where they are none of the ids.
 
-    Ids set bits of one bitmap of fixed size by their hash; its parts are made on the executors.
-    It lets most rows pass (or stay out) before an exact join moves the rest.
+    Ids set bits of one bitmap by their hash, 8 bits an id within ``MEMBER_BITS``; its parts are made on the executors.
+    It lets most rows pass (or stay out) before an exact join moves the rest; with more ids than the bitmap
+    can tell apart more rows move, and none is lost.
     """
     spark = ids.sparkSession
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << MEMBER_BITS))
+    low, high = MEMBER_BITS
+    size = 1 << min(high, max(low, (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(size))
     parts = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).collect()
-    bits = np.zeros((1 << MEMBER_BITS) // 32768 * 4096, np.uint8).reshape(-1, 4096)
+    bits = np.zeros(size // 32768 * 4096, np.uint8).reshape(-1, 4096)
     for r in parts:
         bits[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = spark.sparkContext.broadcast(bits.ravel())
@@ -164,7 +209,7 @@ def maybe_among(ids: DataFrame, key: str):
         at = p.to_numpy()
         return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
 
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(1 << MEMBER_BITS)))
+    return lambda *columns: test(F.pmod(F.xxhash64(*columns), F.lit(size)))
 
 
 def sample_share(n: int, bound: int) -> int:

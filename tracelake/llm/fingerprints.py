@@ -6,14 +6,17 @@ position.  Any passage of K + W - 1 code points that two texts share therefore
 puts at least one common hash in both fingerprints.
 
 Defined cases: a null text is empty and has no fingerprint; a text under K code
-points is hashed as a whole (position 0); one of under W hashes is one window.
+points is hashed as a whole (position 0); one of under W hashes is one window; a text of any length is read whole.
 Two empty fingerprints have likeness 1, an empty and another 0.  Rows with equal
-ids are ordered by their text's hash; a null id counts as the lowest.
+ids are ordered by their text's hash; a null id counts as the lowest; an id may be any integer of 64 bits, and ids
+of another type are an error.  An id that many rows share (null, say) is dealt out by its texts' hashes.  No rows give
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +108,25 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     return map_slices(df.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", make, f"k {kind}, n_chars long, hashes array<long>, positions array<long>").withColumnRenamed("k", key)
 
 
+def _range_of(k, h, cuts: list[int]):
+    """A row's range from its key and its text's hash, given sorted cut points.
+
+    A cut that comes several times is a key with more than one range's share of rows; those rows get as many ranges,
+    by hash.  The place among the cuts is found by bisection.
+    """
+    seen = Counter(cuts)
+    points = sorted(seen)
+    times = [0, *(seen[p] if seen[p] > 1 else 0 for p in points)]  # by how many points are at most the key
+    first = np.concatenate([[0], np.cumsum([t + 1 for t in times])])[:-1].tolist()
+    bits = max(1, len(points).bit_length())
+    padded = F.lit([*points, *[(1 << 63) - 1] * ((1 << bits) - len(points))]).cast("array<long>")
+    step = lambda lo, i: F.when(F.element_at(padded, (lo + i).cast("int")) <= k, lo + i).otherwise(lo)
+    at = F.least(F.aggregate(F.lit([1 << i for i in reversed(range(bits))]).cast("array<int>"), F.lit(0), step), F.lit(len(points)))
+    n = F.element_at(F.lit(times).cast("array<int>"), at + 1)
+    own = F.when((n > 0) & (k == F.element_at(padded, F.greatest(at, F.lit(1)))), F.least(F.floor((h / F.lit(2.0**64) + 0.5) * n).cast("int"), n - 1)).otherwise(n)
+    return F.element_at(F.lit(first).cast("array<int>"), at + 1) + own
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Rows of (k, text, part, halo), dealt out by ranges of the key and sorted in them,
     so that a row's next document (descending key) is the one before it.
@@ -114,28 +136,23 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int
     time, as the ``halo`` of the range after it (the last of all to the first).
     Only the ranges' last keys, one for each, reach the driver.
     """
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} must be of an integer type to have an order of documents")
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ids = df.select(F.coalesce(F.col(key).cast("long"), F.lit(ID_FLOOR)).alias("k"))
-    cuts = sorted({int(c) for c in ids.approxQuantile("k", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n))})
-
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [float("-inf"), *sorted({float(c) for c in cuts if abs(c) < 1 << 53}), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="d", outputCol="b") if len(splits) > 2 else None
-
-    def put(x: DataFrame) -> DataFrame:
-        if dealt is None:  # one range
-            return x.withColumn("part", F.lit(0))
-        return dealt.transform(x.withColumn("d", F.col("k").cast("double"))).withColumn("part", F.col("b").cast("int")).drop("d", "b")
-
-    ends = sorted((r["part"], r["k"]) for r in put(ids).groupBy("part").agg(F.max("k").alias("k")).collect())
-    rows = put(df.select(F.coalesce(F.col(key).cast("long"), F.lit(ID_FLOOR)).alias("k"), F.col(text).alias("text"))).withColumn("halo", F.lit(0))
+    k = F.coalesce(F.col(key).cast("long"), F.lit(ID_FLOOR))
+    cuts = sorted(min(int(c), (1 << 63) - 2) for c in df.select(k.alias("k")).approxQuantile("k", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n)))
+    often = [c for c, times in Counter(cuts).items() if times > 1]
+    # the text is read for this only where a key has several ranges
+    all_rows = df.select(k.alias("k"), F.col(text).alias("text")).withColumn("h", F.when(F.col("k").isin(often), F.xxhash64("text")).otherwise(F.lit(0)) if often else F.lit(0).cast("long"))
+    rows = all_rows.withColumn("part", _range_of(F.col("k"), F.col("h"), cuts) if cuts else F.lit(0))
+    ends = sorted((r["part"], *r["last"]) for r in rows.groupBy("part").agg(F.max(F.struct("k", "h")).alias("last")).collect())
     if not ends:
-        return rows.limit(0)
-    targets = spark.createDataFrame([(k, ends[(i + 1) % len(ends)][0]) for i, (_, k) in enumerate(ends)], "k long, part int")
-    halo = df.select(F.coalesce(F.col(key).cast("long"), F.lit(ID_FLOOR)).alias("k"), F.col(text).alias("text")).join(F.broadcast(targets), "k").select("k", "text", "part", F.lit(-1).alias("halo"))
-    return rows.unionByName(halo).repartition(n, "part").sortWithinPartitions("part", "halo", "k", F.xxhash64("text"))
+        return rows.drop("h").withColumn("halo", F.lit(0)).limit(0)
+    targets = spark.createDataFrame([(k_, h_, ends[(i + 1) % len(ends)][0]) for i, (_, k_, h_) in enumerate(ends)], "k long, h long, part int")
+    halo = all_rows.join(F.broadcast(targets), ["k", "h"]).select("k", "text", "part").dropDuplicates()
+    dealt = rows.drop("h").withColumn("halo", F.lit(0)).unionByName(halo.withColumn("halo", F.lit(-1)))
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "halo", "k", F.xxhash64("text"))
 
 
 def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, w: int = W, parts: int | None = None) -> DataFrame:

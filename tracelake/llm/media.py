@@ -7,8 +7,9 @@ inflates, undoes all five filters in numpy, and takes a perceptual hash: the
 signs of the 63 lowest cosine coefficients against their median, beside the mean.
 
 Defined cases: a null text is an empty one; an empty text is one row of spaces;
-equal texts have equal values; a blob that isn't a PNG or fails a checksum raises
-``PngError`` in ``decode_png`` and gives nulls in ``media_features``.
+equal texts have equal values; a blob that isn't a PNG, fails a checksum, has a bad header, no samples or not
+as many as its header says raises ``PngError`` in ``decode_png`` and gives nulls in ``media_features``; inflating
+stops at the size that the header gives, so a small blob can't fill the memory; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels by PNG colour type (fixed values of the format).
 COLOURS = {0: 1, 2: 3, 4: 2, 6: 4}
 GRID, LOW = 32, 8
-#: Image rows that one step of the hash expands at once.
-BAND = 4096
+#: Samples that a reader takes from one blob at most (Arrow's own limit for one value).
+MOST_BYTES = 1 << 31
 
 
 class PngError(ValueError):
@@ -125,6 +126,8 @@ def decode_png(blob: bytes) -> np.ndarray:
         if end > len(blob) or struct.unpack_from(">I", blob, end - 4)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise PngError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise PngError("the size of the header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -135,24 +138,31 @@ def decode_png(blob: bytes) -> np.ndarray:
     width, height, depth, colour, _, _, interlaced = head
     if depth != 8 or colour not in COLOURS or interlaced:
         raise PngError("only 8-bit samples, not interlaced and without a palette, are read")
+    if not width or not height:
+        raise PngError("no samples")
     step = COLOURS[colour]
+    size = height * (width * step + 1)
+    if size > MOST_BYTES:
+        raise PngError("the header promises more than can be read")
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+        inflate = zlib.decompressobj()
+        raw = np.frombuffer(inflate.decompress(b"".join(data), size + 1), np.uint8)  # never more than the header says
     except zlib.error as e:
         raise PngError(str(e)) from e
-    if raw.size != height * (width * step + 1):
+    if raw.size != size or not inflate.eof:
         raise PngError("the size of the samples")
     raw = raw.reshape(height, -1)
     return unfilter(raw[:, 0], raw[:, 1:], step).reshape(height, width, step)
 
 
-@functools.lru_cache(64)
-def _shrink(n: int) -> np.ndarray:
-    """GRID x n area averages, for n up to BAND."""
+def _shrink(x: np.ndarray) -> np.ndarray:
+    """Area averages of the rows of x: GRID rows, of exact (fractional) height each, by running sums."""
+    n = x.shape[0]
+    total = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
     edges = np.linspace(0, n, GRID + 1)
-    lo, hi = edges[:-1, None], edges[1:, None]
-    at = np.arange(n)[None, :]
-    return np.clip(np.minimum(hi, at + 1) - np.maximum(lo, at), 0, 1) / (hi - lo)
+    whole = np.minimum(edges.astype(int), n - 1)
+    at = total[whole] + (edges - whole)[:, None] * x[whole]
+    return np.diff(at, axis=0) * (GRID / n)
 
 
 @functools.lru_cache(1)
@@ -161,19 +171,10 @@ def _cosines() -> np.ndarray:
     return np.cos(np.pi * (2 * x + 1) * k / (2 * GRID))
 
 
-def _rows_to_grid(grey: np.ndarray) -> np.ndarray:
-    n = grey.shape[0]
-    if n <= BAND:
-        return _shrink(n) @ grey
-    total = np.vstack([np.zeros(grey.shape[1]), np.cumsum(grey, axis=0)])
-    edges = np.linspace(0, n, GRID + 1).round().astype(int)
-    return (total[edges[1:]] - total[edges[:-1]]) / np.diff(edges)[:, None]
-
-
 def perceptual_hash(samples: np.ndarray) -> bytes:
     """Eight bytes: the mean, then signs of low-frequency coefficients against their median."""
     grey = samples.mean(axis=2)
-    grid = _rows_to_grid(grey) @ _shrink(grey.shape[1]).T
+    grid = _shrink(_shrink(grey).T).T
     low = np.round(_cosines() @ grid @ _cosines().T, 6).ravel()
     bits = low[1:] > np.median(low[1:])
     return np.packbits(np.concatenate([[low[0] / GRID**2 > 127.5], bits])).tobytes()
@@ -200,7 +201,7 @@ def media_features(df: DataFrame, key: str = "doc_id", media: str = "media") ->
         def read(blob):
             try:
                 samples = decode_png(blob)
-            except (PngError, TypeError, struct.error):
+            except (PngError, TypeError):
                 return None, None, None, None
             payload = samples.tobytes()
             return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), perceptual_hash(samples)

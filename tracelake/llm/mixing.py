@@ -17,7 +17,9 @@ expected copies are the rate.
 Defined cases: null and empty texts have no tokens, the network's posterior of the zero document and
 a rate like any other; a domain without expected tokens has the target 0;
 without labels all domains share evenly; no rows give no rows;
-repeated rows get the same rate and copies; a null id draws as any other value.
+repeated rows get the same rate and copies; a null id draws as any other value; texts of any length are read whole;
+extra columns come along untouched, whatever their names.  The fit returns how far its totals stay from the targets
+(``Fit.residual``, as a share of all tokens): targets out of reach are not hidden.
 """
 
 from __future__ import annotations
@@ -64,11 +66,20 @@ def target_totals(now: np.ndarray) -> np.ndarray:
     return (now.sum() * np.array([1 - GOOD_SHARE, GOOD_SHARE])[:, None] * flat[None, :]).ravel()
 
 
+class Fit(list):
+    """The steps whose fold gives the rates, the greatest rate allowed, and what is left of the targets."""
+
+    most: float | None = None
+    residual: float = 0.0
+
+
 def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate: 1, then max(0, r - p . step) for each step."""
+    """A document's rate: 1, then r - p . step for each step, held at 0 or more and at the fit's greatest rate or less."""
     moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps]) if steps else F.array().cast("array<array<double>>")
     along = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - along(s)))
+    most = getattr(steps, "most", None)
+    held = (lambda x: x) if most is None else (lambda x: F.least(F.lit(float(most)), x))
+    return F.aggregate(moves, F.lit(1.0), lambda r, s: held(F.greatest(F.lit(0.0), r - along(s))))
 
 
 def domain_totals(rows: DataFrame, steps: list[list[float]], k: int, n: str = "n_tokens", p: str = "p") -> np.ndarray:
@@ -83,18 +94,22 @@ def gram(rows: DataFrame, k: int, n: str = "n_tokens", p: str = "p") -> np.ndarr
     return np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, n: str = "n_tokens", p: str = "p", steps: int = STEPS) -> list[list[float]]:
-    """The steps whose fold gives the rates.  Each is one distributed sum."""
+def fit_rates(rows: DataFrame, targets: np.ndarray, n: str = "n_tokens", p: str = "p", steps: int = STEPS, most: float | None = None) -> Fit:
+    """The steps whose fold gives the rates.  Each is one distributed sum; they end when the targets are met
+    or a step changes nothing any more."""
     k = len(targets)
     whole = max(1.0, float(np.sum(targets)))
     inverse = np.linalg.pinv(gram(rows, k, n, p) / whole, rcond=1e-9) / whole
-    done: list[list[float]] = []
-    for _ in range(steps):
+    done, before = Fit(), None
+    done.most = most
+    while True:
         off = domain_totals(rows, done, k, n, p) - targets
-        if np.abs(off).sum() <= CLOSE * whole:
-            break
+        done.residual = float(np.abs(off).sum() / whole)
+        still = before is not None and np.abs(off - before).sum() <= CLOSE * whole
+        if done.residual <= CLOSE or still or len(done) == steps:
+            return done
+        before = off
         done.append([float(f"{x:.10g}") for x in inverse @ off])  # rounded: sums differ in their last digits between runs
-    return done
 
 
 def copies(r: Column, key: str, seed: int = 23) -> Column:
@@ -107,14 +122,14 @@ def mix(df: DataFrame, domains: Domains, factors: tuple[float, float] | None = N
     """The rows of ``df`` as often as their copies say, with the same columns.
 
     ``factors`` gives the targets of junk and of good domains as multiples of their tokens in ``df``; ``target_totals`` holds otherwise.
-    Without ``repeat`` a document stays once at most.
+    Without ``repeat`` a rate is 1 at most, so a document stays once or goes.
     """
     k = len(domains.names)
-    rows = written(posteriors(df.select(key, text), domains.model, (), text), "posteriors")
-    now = domain_totals(rows, [], k)
-    steps = fit_rates(rows, target_totals(now) if factors is None else now * np.repeat(factors, k // 2))
     n, p, c = fresh(df, "n_tokens"), fresh(df, "p"), fresh(df, "copies")
-    out = posteriors(df, domains.model, tuple(df.columns), text, n, p).withColumn(c, copies(rate(F.col(p), steps), key)).filter(F.col(c) > 0)
+    rows = written(posteriors(df, domains.model, tuple(df.columns), text, n, p), "posteriors")  # the network runs once
+    now = domain_totals(rows, [], k, n, p)
+    steps = fit_rates(rows, target_totals(now) if factors is None else now * np.repeat(factors, k // 2), n, p, most=None if repeat else 1.0)
+    out = rows.withColumn(c, copies(rate(F.col(p), steps), key)).filter(F.col(c) > 0)
     if repeat:
         out = out.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c))))
     return out.select(*[f"`{x}`" for x in df.columns])
@@ -127,4 +142,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(posteriors(docs, domains.model), "posteriors")
     steps = fit_rates(rows, target_totals(domain_totals(rows, [], len(domains.names))))
     out = rows.withColumn("rate", rate(F.col("p"), steps))
-    return out.select("doc_id", "n_tokens", F.lit(",".join(domains.names)).alias("domains"), F.col("p").alias("posterior"), "rate", copies(F.col("rate"), "doc_id").alias("copies"))
+    return out.select("doc_id", "n_tokens", F.lit(",".join(domains.names)).alias("domains"), F.col("p").alias("posterior"), "rate", copies(F.col("rate"), "doc_id").alias("copies"), F.lit(steps.residual).alias("residual"))

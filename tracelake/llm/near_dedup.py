@@ -5,24 +5,27 @@ shingle).  A shingle weighs ``(1 + ln tf) * idf`` with
 ``idf = 1 + DAMPING * ln((1 + N) / (1 + df)) / ln(1 + N)``; the damping keeps a
 shared passage from counting fully while large groups of copies, whose shingles
 are frequent by nature, stay above the threshold.  Document frequencies come
-from one fixed-size sketch that counts every shingle of every document, less
-the sketch's own noise, so what is broadcast never grows.
-
-Steps: equal texts collapse first (by digest).  Each text gets BANDS x ROWS
-consistent weighted samples; texts that agree on a band meet in its bucket.  A
-bucket's least text is its pivot and is compared with the other members (first by the
+from a sketch of fixed size with two rows that count every shingle of every document, less
+each row's own noise; the lesser row holds, so a stranger beside a frequent shingle in one row
+keeps its weight.  What is broadcast never grows; the price is that a shingle in fewer documents than the noise
+(four deviations of a row's mean count) counts as one that stands in a single document.
+
+Steps: equal texts collapse first (by digest) and get a number each; ids come in only at the end, to name
+the classes.  Each text gets BANDS x ROWS consistent weighted samples; texts that agree on a band meet
+in its bucket.  A bucket's least number is its pivot and is compared with the other members (first by the
 samples, then exactly, by weighted Jaccard similarity of at least
 ``threshold``): rows grow with the members, not with their pairs.  Verified links
 join into components.  A bucket that still holds several components is compared with
-itself: its members are dealt in blocks to tasks that hold two blocks each, test
+itself: its greatest component meets the rest, and the rest itself, in blocks dealt to tasks that hold two blocks each, test
 pairs of different components (by samples, then exactly; a pair only in the first band
 that it shares) and emit links alone.  So no pair of a bucket stays untested unless both are in one class already.
+Joins on buckets, pivots and digests take hot keys apart (``spread_join``).
 
-Defined cases: a null text is an empty one; all empty texts are one class; a
-null id has no place in the order and never names a class that has an id;
-repeated rows share their class; no rows give no rows; extra columns are not
-read.  A pair of similarity s meets with probability 1 - (1 - s^ROWS)^BANDS
-(0.9996 at 0.8).
+Defined cases: the key may have any type that has an order; a null text is an empty one; all empty texts are one class; a class
+is named by the least id among its rows that stands with one text alone, else by its least id, and by null if no row has an id
+(``class_key`` always tells classes apart); one id with several texts is in the class of each; negative ids are ids as others; repeated
+rows share their class; no rows give no rows; extra columns are not read, and may have any name; texts of any length are read whole, a slice at a time.  A pair
+of similarity s meets with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8).
 """
 
 from __future__ import annotations
@@ -38,20 +41,19 @@ from pyspark.sql import functions as F
 from tracelake.functions import components as stars
 from tracelake.functions.shipping import ship_package
 
-from .common import bounded_batches, fresh, give_back, map_slices, maybe_among, slices, table, written
+from .common import bounded_batches, forget, fresh, give_back, map_slices, marker, maybe_among, slices, spread_join, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
-SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
+SKETCH_BITS, SKETCH_ROWS, SKETCH_BLOCK = 18, 2, 1 << 13
 DAMPING = 0.25
 #: A pair goes on to the exact test if at least so many of its samples agree (0.8 is five deviations off).
 AGREE = 0.6 * BANDS * ROWS
 TABLE = 1 << 12
 #: Members of a bucket that meet as one block when a bucket is compared with itself.
-BLOCK_MEMBERS = 512
-#: Members that one task compares with one pivot.
-SALT_MEMBERS = 256
-ID_FLOOR = -(1 << 62)
+BLOCK_MEMBERS = 256
+#: Members that one task compares with one pivot, and the most tasks for one pivot (they stream, so a group has no bound).
+SALT_MEMBERS, SALTS = 256, 4096
 
 
 class WordTable(dict):
@@ -94,14 +96,17 @@ class Shingles:
         return run[first], np.diff(np.append(first, n))
 
 
-def sketch_bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bucket(hashes: np.ndarray, row: int = 0) -> np.ndarray:
+    """Each hash's place in a row of the sketch."""
+    with np.errstate(over="ignore"):
+        spread = hashes * np.uint64(0xBF58476D1CE4E5B9) if row else hashes
+    return (spread >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """Counts of every document's distinct shingles by sketch bucket, and the number of documents.
+    """Counts of every document's distinct shingles by sketch row and bucket, and the number of documents.
 
-    Each task sums its own documents and sends fixed blocks; the driver gets one array of 2^SKETCH_BITS counts.
+    Each task sums its own documents and sends fixed blocks; the driver gets SKETCH_ROWS arrays of 2^SKETCH_BITS counts.
     """
     ship_package(df.sparkSession)
     bounded_batches(df.sparkSession)
@@ -112,12 +117,14 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
         return total.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
 
     def run(batches):
-        of, total, docs = Shingles(), np.zeros(1 << SKETCH_BITS, np.int64), 0
+        of, total, docs = Shingles(), np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = [of(t)[0] for t in part.column("t").to_pylist()]
                 docs += len(sets)
-                total += np.bincount(sketch_bucket(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
+                flat = np.concatenate(sets)
+                for row in range(SKETCH_ROWS):
+                    total[row] += np.bincount(sketch_bucket(flat, row), minlength=1 << SKETCH_BITS)
         if docs:
             blocks = total.reshape(-1, SKETCH_BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([packed(b) for b in blocks], pa.binary()), pa.array([docs] + [0] * (len(blocks) - 1), pa.int64())], names=["block", "sums", "docs"])
@@ -132,22 +139,27 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
     partial = df.select(F.col(text).alias("t")).mapInArrow(run, schema)
     # blocks are summed in two steps, so that no task gets a block of every task
     first = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("block", "salt").applyInArrow(add, schema)
-    counts, docs = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK), 0
+    counts, docs = np.zeros((SKETCH_ROWS << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK), 0
     for r in first.groupBy("block").applyInArrow(add, schema).collect():
         counts[r["block"]] = np.frombuffer(bytes(r["sums"]), f"<u{len(r['sums']) // SKETCH_BLOCK}")
         docs += r["docs"]
-    return counts.ravel(), docs
+    return counts.reshape(SKETCH_ROWS, -1), docs
 
 
 def idf_table(counts: np.ndarray, docs: int) -> np.ndarray:
-    """Damped inverse document frequency by sketch bucket (float32)."""
-    noise = counts.mean()
+    """Damped inverse document frequency by sketch row and bucket (float32)."""
+    noise = counts.mean(axis=-1, keepdims=True)
     df = np.clip(counts - noise - 4 * np.sqrt(noise), 1, max(1, docs))
     return (1 + DAMPING * np.log((1 + docs) / (1 + df)) / np.log(2 + docs)).astype(np.float32)
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(counts)) * idf[sketch_bucket(hashes)]
+    """Weights of shingles; of the sketch's rows the one that has counted less holds."""
+    rows = np.atleast_2d(idf)
+    of = rows[0][sketch_bucket(hashes)]
+    for i in range(1, len(rows)):
+        of = np.maximum(of, rows[i][sketch_bucket(hashes, i)])
+    return (1 + np.log(counts)) * of
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -207,7 +219,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, idf) -> DataFrame:
-    """v, digest, bands array<long>, samples binary (32 bits each) of rows (v, digest, text)."""
+    """k, digest, bands array<long>, samples binary (32 bits each) of rows (k, digest, text)."""
 
     def make():
         of, sampler, table_ = Shingles(), Sampler(), idf.value
@@ -223,11 +235,11 @@ def signatures(df: DataFrame, idf) -> DataFrame:
                 else:
                     bands.append(np.zeros(0, np.int64))
                     samples.append(b"")
-            return {"v": x["v"], "digest": x["digest"], "bands": bands, "samples": samples}
+            return {"k": x["k"], "digest": x["digest"], "bands": bands, "samples": samples}
 
         return f
 
-    return map_slices(df, "text", make, "v long, digest binary, bands array<long>, samples binary")
+    return map_slices(df, "text", make, f"k {df.schema['k'].dataType.simpleString()}, digest binary, bands array<long>, samples binary")
 
 
 def _agreeing(a, b):
@@ -240,15 +252,15 @@ def _agreeing(a, b):
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted similarity is at least ``threshold``, with it.
 
-    texts: v, text.  Members travel to their pivot ``a`` once; a pivot with many
+    pairs: a, b, n (about how many a has); texts: v, text.  Members travel to their pivot ``a`` once; a pivot with many
     members is dealt to several tasks (``SALT_MEMBERS`` each).
     """
-    sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts")), "a")
-    members = sized.select(F.col("b").alias("v"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
-    pivots = sized.select("a", "salts").distinct().select(F.col("a").alias("v"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    rows = texts.join(members.unionByName(pivots), "v").select("v", "a", "salt", "kind", "text")
+    sized = pairs.select("a", "b", F.least(F.ceil(F.col("n") / SALT_MEMBERS), F.lit(SALTS)).cast("int").alias("salts")).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    members = sized.select(F.col("b").alias("v"), "a", "salts", "salt", F.lit(1).alias("kind"))
+    pivots = sized.select("a", "salts", "salt").distinct().select(F.col("a").alias("v"), "a", "salts", "salt", F.lit(0).alias("kind"))
+    rows = texts.join(members.unionByName(pivots), "v").select("v", "a", "salts", "salt", "kind", "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind")
+    dealt = rows.repartition(n, "a", "salts", "salt").sortWithinPartitions("a", "salts", "salt", "kind")
 
     def make():
         of, table_ = Shingles(), idf.value
@@ -278,21 +290,21 @@ def components(links: DataFrame) -> DataFrame:
     return written(stars.components(links, lambda df: written(df, "stars")), "labels")
 
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """a (the bucket's least vertex), b: distinct pairs."""
-    pivots = buckets.groupBy("bucket").agg(F.min("v").alias("a"))
-    return buckets.join(pivots, "bucket").filter("v != a").select("a", F.col("v").alias("b")).distinct()
-
-
 def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, v, label, lo, hi, side: members of buckets with several components (without their
-    pivots, which all were compared with), dealt to pairs of blocks."""
-    pivots = buckets.groupBy("bucket").agg(F.min("v").alias("pivot"))
-    rows = buckets.join(pivots, "bucket").filter("v != pivot").select("bucket", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    dealt = rows.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("bucket", "v", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    """bucket, v, label, lo, hi, side: members of buckets (bucket, v, pivot) with several components (without their
+    pivots, which all were compared with), dealt to pairs of blocks.
+
+    The greatest component's blocks come first and meet the blocks of the rest; those also meet each other.
+    So copies of rows grow with the members times the *rest's* blocks."""
+    rows = written(buckets.filter("v != pivot").select("bucket", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")), "members")
+    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = written(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).filter("parts > 1"), "sizes")
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    dealt = spread_join(rows, sizes.select("bucket", F.col("top.label").alias("top"), blocks(F.col("top.n")).alias("first"), blocks(F.col("n") - F.col("top.n")).alias("rest")), "bucket", sizes)
+    is_top, h = F.col("label") == F.col("top"), F.xxhash64("v")
+    own = F.when(is_top, F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int")
+    other = F.explode(F.sequence(F.when(is_top, F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1))
+    return dealt.withColumn("own", own).withColumn("other", other).select("bucket", "v", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def _block_links(rows: list[dict], of: Shingles, idf: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -378,58 +390,71 @@ def block_links(members: DataFrame, texts: DataFrame, idf, threshold: float) ->
     return dealt.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _vertex(key: str, body):
-    """A row's place in the order: its id, or a number below all ids made from its text."""
-    return F.coalesce(F.col(key).cast("long"), F.lit(ID_FLOOR) + F.pmod(F.xxhash64(body), F.lit(1 << 40)))
-
-
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``df``: key, v (the key, or a stand-in where it is null), digest, class_id (least id of its class), text_id (least id of its text)."""
-    spark = df.sparkSession
+    """One row for each row of ``df``: key, digest (of the text), class_id, class_key (long; tells classes apart) and class_rows."""
+    spark, begun = df.sparkSession, marker()
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(_vertex(key, body).alias("v"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
+    rows = df.select(F.col(key).alias("k"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
     counts, n = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(idf_table(counts, n))
     seen = written(signatures(rows, idf), "samples")
-    order = F.struct((F.col("v") < 0).alias("none"), "v")
-    texts = written(seen.groupBy("digest").agg(F.min(order)["v"].alias("text_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "texts")
-    keyed = texts.select(F.col("text_id").alias("v"), F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = written(keyed.join(shared, "bucket", "left_semi"), "buckets")
-    met = buckets.select("v").distinct()
-    known = texts.select(F.col("text_id").alias("v"), "digest", "bands", "samples").join(met, "v", "left_semi")
-    near = maybe_among(met, "v")
-    bodies = written(rows.filter(near(F.col("v"))).join(known, ["v", "digest"]).dropDuplicates(["v", "digest"]).drop("digest"), "bodies")
+    # ids that stand with several texts name a class only if no other id can
+    h = F.xxhash64("digest")
+    shared = written(seen.filter("k is not null").groupBy("k").agg(F.min(h).alias("a"), F.max(h).alias("b")).filter("a != b").select("k"), "shared-ids")
+    known = seen.withColumn("clear", F.col("k"))
+    if not shared.isEmpty():
+        known = seen.join(shared.withColumn("clear", F.lit(True)), "k", "left").withColumn("clear", F.when(F.col("clear").isNull(), F.col("k")))
+    texts = written(known.groupBy("digest").agg(F.min("clear").alias("clear"), F.min("k").alias("k"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("samples").alias("samples")).withColumn("v", F.monotonically_increasing_id()), "texts")
+    keyed = texts.select("v", F.explode("bands").alias("bucket"))
+    met = written(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("v").alias("pivot")).filter("n > 1"), "met")
+    buckets = written(spread_join(keyed, met, "bucket", met), "buckets")
+    found = texts.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "digest", "bands", "samples")
+    near = maybe_among(found, "digest")
+    # one row of each text, chosen before anything moves
+    one = rows.filter(near(F.col("digest"))).groupBy("digest").agg(F.first("text").alias("text"))
+    bodies = written(found.join(one, "digest").drop("digest"), "bodies")
     samples = bodies.select("v", "samples")
-    pairs = _star_pairs(buckets)
-    likely = written(pairs.join(samples.select(F.col("v").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("v").alias("b"), F.col("samples").alias("sb")), "b").filter(_agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b"), "likely")
+    pairs = written(buckets.filter("v != pivot").groupBy(F.col("pivot").alias("a"), F.col("v").alias("b")).agg(F.max("n").alias("n")), "pairs")
+    both = spread_join(pairs, samples.select(F.col("v").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("v").alias("b"), F.col("samples").alias("sb")), "b")
+    likely = written(both.filter(_agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b", "n"), "likely")
     links = written(verified(likely, bodies.select("v", "text"), idf, threshold), "links")
     labels = components(links)
     more = written(block_links(_open_members(buckets, labels), bodies, idf, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    by_text = texts.select("digest", "text_id")
-    by_text = by_text.join(labels.withColumnRenamed("v", "text_id"), "text_id", "left").select("digest", "text_id", F.coalesce("label", "text_id").alias("class_id"))
-    return seen.select("v", "digest").join(by_text, "digest").select(F.when(F.col("v") > ID_FLOOR + (1 << 40), F.col("v")).alias(key), "v", "digest", "class_id", "text_id")
+    by_text = written(texts.select("digest", "v", "clear", "k", "rows").join(labels, "v", "left").withColumn("class_key", F.coalesce("label", "v")).drop("label", "v"), "labelled")
+    names = by_text.groupBy("class_key").agg(F.coalesce(F.min("clear"), F.min("k")).alias("class_id"), F.sum("rows").alias("class_rows"))
+    classes = written(spread_join(by_text.select("digest", "rows", "class_key"), names, "class_key"), "classes")
+    out = spread_join(seen.select("k", "digest"), classes.drop("rows"), "digest", classes.select("digest", F.col("rows").alias("n")))
+    forget(spark, begun, seen, classes)
+    return out.select(F.col("k").alias(key), "digest", "class_id", "class_key", "class_rows")
+
+
+def _tagged(key: str):
+    """An id as text; null is none of them."""
+    return F.when(F.col(key).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, with all columns of ``df``: the one whose id and text name the class."""
-    out = near_duplicates(df, key, text, threshold)
-    v_, digest_, flag_ = fresh(df, "vertex"), fresh(df, "digest"), fresh(df, "doubtful")
-    out = written(out, "classes")
-    keep = out.filter(F.col("text_id") == F.col("class_id")).groupBy(F.col("class_id").alias(v_), F.col("digest").alias(digest_)).agg(F.count(F.when(F.col("v") == F.col("class_id"), 1)).alias("n"))
-    keep = written(keep, "keep")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumn(v_, _vertex(key, body)).withColumn(digest_, F.unhex(F.md5(body)))
+    """One row of each class, with all columns of ``df``: the one whose id names the class (of several such texts that of the
+    least digest, of repeated rows any)."""
+    spark, begun = df.sparkSession, marker()
+    names = [fresh(df, n) for n in ("tag", "digest", "doubtful")]
+    tag_, digest_, flag_ = names
+    out = written(near_duplicates(df, key, text, threshold).filter("class_rows > 1").withColumn("tag", _tagged(key)), "classes")
+    named = out.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_key", "tag", "digest").agg(F.count("*").alias("n"))
+    keep = written(named.groupBy("class_key").agg(F.min(F.struct("digest", "tag", "n")).alias("x")).select(F.col("x.tag").alias(tag_), F.col("x.digest").alias(digest_), F.col("x.n").alias("n")), "keep")
     # most rows are alone in their class; only the others move
-    doubtful = written(out.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select("class_id").join(out.select("class_id", "v"), "class_id").select("v").distinct(), "doubtful")
-    among = maybe_among(doubtful, "v")
-    marked = rows.withColumn(flag_, among(F.col(v_)))
-    passed = marked.filter(~F.col(flag_))
-    once = marked.filter(flag_).join(keep.filter("n = 1").drop("n"), [v_, digest_], "left_semi")
-    often = marked.filter(flag_).join(keep.filter("n > 1").drop("n"), [v_, digest_], "left_semi").dropDuplicates([v_, digest_])
-    return passed.unionByName(once).unionByName(often).select(*[f"`{c}`" for c in df.columns])
+    doubtful = written(out.select("tag", "digest").distinct(), "doubtful")
+    among = maybe_among(doubtful, "tag", "digest")
+    rows = df.withColumn(tag_, _tagged(key)).withColumn(digest_, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn(flag_, among(F.col(tag_), F.col(digest_)))
+    passed, moved = rows.filter(~F.col(flag_)), rows.filter(flag_)
+    lost = doubtful.withColumnsRenamed({"tag": tag_, "digest": digest_})
+    alone = moved.join(lost, [tag_, digest_], "left_anti")  # the bitmap's false alarms
+    once = moved.join(keep.filter("n = 1").drop("n"), [tag_, digest_], "left_semi")
+    often = moved.join(keep.filter("n > 1").drop("n"), [tag_, digest_], "left_semi").dropDuplicates([tag_, digest_])
+    forget(spark, begun, keep, doubtful)
+    return passed.unionByName(alone).unionByName(once).unionByName(often).select(*[f"`{c}`" for c in df.columns])
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

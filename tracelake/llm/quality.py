@@ -4,8 +4,8 @@ Every token (word, or run of signs) falls into one of ``BUCKETS`` hash buckets
 by its lower-case form, with its case and shape beside it.  A bucket has a fixed sparse
 random index vector; its word vector is the sum of the index vectors of its
 neighbours within ``WINDOW`` places over the sample, centred and scaled to
-length one.  A document is the mean of its tokens' vectors, with the length of the mean (near one where a word repeats on and on) and three
-counts.  Two dense layers give a logit, a temperature from held-out rows calibrates it.
+length one.  A document is the mean of its tokens' vectors, with the length of the mean (near one where a word repeats on and on), three
+counts and (in the quality query) the deviation of each component.  Two dense layers give a logit, a temperature from held-out rows calibrates it.
 
 Vectors and network are fitted on a bounded, hash-chosen sample of training
 rows.  Partial sums of the vectors leave each task in blocks of fixed size.
@@ -13,7 +13,7 @@ rows.  Partial sums of the vectors leave each task in blocks of fixed size.
 Defined cases: null and empty texts are the zero document and get the network's
 score for it; without training labels of both kinds every score is the share of
 label 1 (one half without labels); repeated rows are scored each; extra columns
-are not read.
+are not read, and a kept column's name never clashes with the result's; texts of any length are read whole; equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ TRAIN_ROWS = 16_000
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 4, 2
 BLOCK = 256  # buckets in one block of partial sums
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-INPUT = DIM + 4
+INPUT = DIM + 4  # DIM more with deviations
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -45,29 +45,30 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return g.integers(0, DIM, (BUCKETS, NONZERO)), g.choice(np.array([-1.0, 1.0]), (BUCKETS, NONZERO))
 
 
+class Words(dict):
+    """token -> bucket, worked out when first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        if token[0].isalnum() or token[0] == "_":
+            shape = "^" if len(token) > 1 and token.isupper() else ""
+            form = shape + ("0" if token.isdigit() else token.lower())
+        else:
+            form = token[:2]  # !! and !!! are alike
+        self[token] = got = zlib.crc32(form.encode("utf-8", "surrogatepass")) % BUCKETS
+        return got
+
+
 class Buckets:
-    """Bucket of each token of a text; memory of seen tokens is bounded."""
+    """Bucket of each token of a text; memory of seen tokens is bounded (by their number and length)."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def of(self, token: str) -> int:
-        got = self.memo.get(token)
-        if got is None:
-            if len(self.memo) > 150_000:
-                self.memo.clear()
-            if token[0].isalnum() or token[0] == "_":
-                shape = "^" if len(token) > 1 and token.isupper() else ""
-                form = shape + ("0" if token.isdigit() else token.lower())
-            else:
-                form = token[:2]  # !! and !!! are alike
-            got = zlib.crc32(form.encode("utf-8", "surrogatepass")) % BUCKETS
-            self.memo[token] = got
-        return got
+        self.memo = Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        memo, of = self.memo, self.of
-        return np.array([memo[t] if t in memo else of(t) for t in TOKEN.findall(text or "")], np.int32)
+        if len(self.memo) > 150_000:
+            self.memo.clear()
+        tokens = TOKEN.findall(text or "")
+        return np.fromiter(map(self.memo.__getitem__, tokens), np.int32, len(tokens))
 
 
 def context_sums(ids: np.ndarray, ends: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -120,13 +121,13 @@ def word_vectors(sample: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Pool:
-    """Pooled vectors of texts."""
+    """Pooled vectors of texts: mean, its length, three counts and, where asked for, the deviation of each component."""
 
-    def __init__(self, vectors: np.ndarray):
-        self.vectors, self.buckets = vectors, Buckets()
+    def __init__(self, vectors: np.ndarray, deviations: bool = False):
+        self.vectors, self.buckets, self.deviations = vectors, Buckets(), deviations
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), INPUT))
+        out = np.zeros((len(texts), INPUT + DIM * self.deviations))
         ids = [self.buckets(t) for t in texts]
         full = [i for i, a in enumerate(ids) if a.size]
         if not full:
@@ -134,7 +135,8 @@ class Pool:
         sizes = np.array([ids[i].size for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         flat = np.concatenate([ids[i] for i in full])
-        mean = np.add.reduceat(self.vectors[flat], starts, axis=0) / sizes[:, None]
+        found = self.vectors[flat]
+        mean = np.add.reduceat(found, starts, axis=0) / sizes[:, None]
         again = np.concatenate([[0], flat[1:] == flat[:-1]])
         again[starts] = 0
         ordered = np.sort(flat + np.repeat(np.arange(len(full)), sizes) * BUCKETS)
@@ -144,6 +146,9 @@ class Pool:
         out[full, DIM + 1] = np.log1p(sizes)
         out[full, DIM + 2] = np.add.reduceat(new.astype(float), starts) / sizes
         out[full, DIM + 3] = np.add.reduceat(again.astype(float), starts) / np.maximum(sizes - 1, 1)
+        if self.deviations:
+            np.multiply(found, found, out=found)
+            out[full, INPUT:] = np.sqrt(np.maximum(np.add.reduceat(found, starts, axis=0) / sizes[:, None] - mean**2, 0))
         return out
 
 
@@ -202,37 +207,39 @@ class TwoLayers:
 class PooledModel:
     """Word vectors and network together; ``base`` answers where there is no network."""
 
-    def __init__(self, vectors: np.ndarray, net: TwoLayers | None, base: np.ndarray):
-        self.vectors, self.net, self.base = vectors, net, base
+    def __init__(self, vectors: np.ndarray, net: TwoLayers | None, base: np.ndarray, deviations: bool = False):
+        self.vectors, self.net, self.base, self.deviations = vectors, net, base, deviations
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return np.tile(self.base, (len(x), 1)) if self.net is None else self.net.probabilities(x)
 
 
-def train(docs: DataFrame, labels: DataFrame, classes: int = 2, rows: int = TRAIN_ROWS) -> PooledModel:
-    """docs: doc_id, text; labels: doc_id, label in 0 .. classes - 1 (training rows alone)."""
+def train(docs: DataFrame, labels: DataFrame, classes: int = 2, rows: int = TRAIN_ROWS, deviations: bool = False) -> PooledModel:
+    """docs: doc_id, text; labels: doc_id, label in 0 .. classes - 1 (training rows alone).
+
+    Of equal texts one stays, so that none is both in the part that fits and in the part that calibrates."""
     labels = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = hash_sampled(labels, "doc_id", sample_share(labels.count(), rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen) if rows <= 100_000 else chosen, "doc_id").persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen) if rows <= 100_000 else chosen, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).drop("h").persist()
     try:
         vectors = word_vectors(sample)
 
         def make():
-            pool = Pool(vectors)
+            pool = Pool(vectors, deviations)
             return lambda x: {"k": x["doc_id"], "y": x["label"], "x": pool(x["text"]).tolist()}
 
         got = map_slices(sample.select("doc_id", F.col("label").cast("int").alias("label"), "text"), "text", make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x array<double>").orderBy("doc_id").collect()
     finally:
         sample.unpersist()
-    x, y = np.array([r["x"] for r in got], float).reshape(len(got), INPUT), np.array([r["label"] for r in got], int)
+    x, y = np.array([r["x"] for r in got], float).reshape(len(got), INPUT + DIM * deviations), np.array([r["label"] for r in got], int)
     base = (np.bincount(y, minlength=classes) + 1e-9) / (len(y) + classes * 1e-9) if len(y) else np.full(classes, 1 / classes)
     if len(set(y.tolist())) < 2:
-        return PooledModel(vectors, None, base)
+        return PooledModel(vectors, None, base, deviations)
     held = np.arange(len(y)) % 5 == 4
     if held.sum() < 20:
         held[:] = False
     net = TwoLayers(classes).fit(x[~held], y[~held])
-    return PooledModel(vectors, net.calibrate(x[held], y[held]) if held.any() else net, base)
+    return PooledModel(vectors, net.calibrate(x[held], y[held]) if held.any() else net, base, deviations)
 
 
 def posteriors(df: DataFrame, model: PooledModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", n_tokens: str = "n_tokens", p: str = "p") -> DataFrame:
@@ -241,7 +248,7 @@ def posteriors(df: DataFrame, model: PooledModel, keep: tuple[str, ...] = ("doc_
     body = text if text in keep else fresh(df, "body")
 
     def make():
-        pool = Pool(shared.value.vectors)
+        pool = Pool(shared.value.vectors, shared.value.deviations)
 
         def f(x):
             pooled = pool(x[body])
@@ -256,6 +263,6 @@ def posteriors(df: DataFrame, model: PooledModel, keep: tuple[str, ...] = ("doc_
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, train_rows(table(spark, sf_dir, "labels"), "quality", 3, 1))
+    model = train(docs, train_rows(table(spark, sf_dir, "labels"), "quality", 3, 1), deviations=True)
     out = posteriors(docs, model).withColumn("score", F.col("p")[1])
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
