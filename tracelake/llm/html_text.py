@@ -49,7 +49,7 @@ CONTAINERS = frozenset("html body main article section div table tbody tr td ul
 # Possessive parts: no place of a page can be read in two ways, so an attempt never costs more than its own length.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>]*+(?<=/)>|.*?(?:</(?P=raw)\s*+>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"'=]++|=\s*+(?:\"(?:[^\"<]|<(?![a-zA-Z/!]))*+\"|'(?:[^'<]|<(?![a-zA-Z/!]))*+'|)|[\"'])*+)>|<[!?][^>]*+>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"'=]++|=\s*+(?:\"(?:[^\"<]|<(?![a-zA-Z/!]))*+\"|'(?:[^'<]|<(?![a-zA-Z/!]))*+'|)|[\"'])*+)>|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
