@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,25 +12,53 @@ from tracelake.functions.keys import seconds
 from tracelake.sources.tables import Ocel
 
 
+def relations(log: Ocel) -> DataFrame:
+    """eid, oid, type, act, ts: relations with what they refer to; a relation may come again."""
+    if log.relations is not None:
+        return log.relations
+    return log.e2o.select("eid", "oid").join(log.events.select("eid", "act", "ts"), "eid").join(log.objects.select("oid", "type"), "oid").select("eid", "oid", "type", "act", "ts")
+
+
 def related(log: Ocel) -> DataFrame:
     """eid, oid, type, act, ts: distinct relations with what they refer to."""
-    return log.e2o.select("eid", "oid").distinct().join(log.events, "eid").join(log.objects, "oid")
+    return relations(log).distinct()
+
+
+def by_object() -> Window:
+    """An object's events in order."""
+    return Window.partitionBy("type", "oid").orderBy("eid")
+
+
+def lifecycles(log: Ocel, object_type: str | None = None) -> DataFrame:
+    """Distinct relations, laid out by object: a relation that comes again stands beside itself there, so
+    the one shuffle that orders an object's events also tells repeats."""
+    x = relations(log) if object_type is None else relations(log).filter(F.col("type") == object_type)
+    return x.withColumn("_p", F.lag("eid").over(by_object())).filter("_p is null or _p != eid").drop("_p")
+
+
+def _rest(log: Ocel, events: DataFrame, objects: DataFrame, e2o: DataFrame, on: str, ids: DataFrame) -> Ocel:
+    """The other tables of a log cut to some events or objects (``ids`` of column ``on``)."""
+    changes = log.changes.join(objects.select("oid"), "oid", "left_semi") if log.changes is not None else None
+    rel = log.relations.join(ids, on, "left_semi").select("eid", "oid", "type", "act", "ts") if log.relations is not None else None
+    return Ocel(events, objects, e2o, _inside(log.o2o, objects), changes, rel)
 
 
 def of_events(log: Ocel, events: DataFrame) -> Ocel:
     """The log with some events, and what is related to them."""
-    e = log.events.join(events.select("eid").distinct(), "eid", "left_semi")
-    r = log.e2o.join(e.select("eid"), "eid", "left_semi")
+    ids = events.select("eid").distinct()
+    e = log.events.join(ids, "eid", "left_semi")
+    r = log.e2o.join(ids, "eid", "left_semi")
     o = log.objects.join(r.select("oid").distinct(), "oid", "left_semi")
-    return Ocel(e, o, r, _inside(log.o2o, o))
+    return _rest(log, e, o, r, "eid", ids)
 
 
 def of_objects(log: Ocel, objects: DataFrame) -> Ocel:
     """The log with some objects, and the events related to them."""
-    o = log.objects.join(objects.select("oid").distinct(), "oid", "left_semi")
-    r = log.e2o.join(o.select("oid"), "oid", "left_semi")
+    ids = objects.select("oid").distinct()
+    o = log.objects.join(ids, "oid", "left_semi")
+    r = log.e2o.join(ids, "oid", "left_semi").select("eid", "oid", "qualifier")
     e = log.events.join(r.select("eid").distinct(), "eid", "left_semi")
-    return Ocel(e, o, r, _inside(log.o2o, o))
+    return _rest(log, e, o, r, "oid", ids)
 
 
 def _inside(o2o: DataFrame, objects: DataFrame) -> DataFrame:
@@ -38,38 +68,47 @@ def _inside(o2o: DataFrame, objects: DataFrame) -> DataFrame:
 
 def flatten(log: Ocel, object_type: str) -> DataFrame:
     """A classic log: a case for each object of the type."""
-    x = related(log).filter(F.col("type") == object_type)
-    return x.select(F.col("oid").alias("case_id"), (F.row_number().over(Window.partitionBy("oid").orderBy("eid")).cast("long") - 1).alias("idx"), "act", "ts", "eid")
+    x = lifecycles(log, object_type)
+    return x.select(F.col("oid").alias("case_id"), (F.row_number().over(by_object()).cast("long") - 1).alias("idx"), "act", "ts", "eid")
+
+
+def couples(log: Ocel) -> DataFrame:
+    """type, oid, source, target, eid, eid2, seconds: events that follow each other in an object's life."""
+    return lifecycles(log).select("type", "oid", F.col("act").alias("source"), F.lead("act").over(by_object()).alias("target"), "eid", F.lead("eid").over(by_object()).alias("eid2"), (F.lead(seconds("ts")).over(by_object()) - seconds("ts")).alias("seconds")).filter("target is not null")
 
 
 def ocdfg(log: Ocel) -> DataFrame:
-    """type, source, target, event_couples, unique_objects, total_objects."""
-    w = Window.partitionBy("type", "oid").orderBy("eid")
-    x = related(log).select("type", "oid", F.col("act").alias("source"), "eid", F.lead("act").over(w).alias("target"), F.lead("eid").over(w).alias("eid2")).filter("target is not null")
-    return x.groupBy("type", "source", "target").agg(F.count_distinct("eid", "eid2").alias("event_couples"), F.count_distinct("oid").alias("unique_objects"), F.count("*").alias("total_objects"))
+    """type, source, target, event_couples, unique_objects, total_objects.
+
+    An object's first couple of a kind is told where its events stand, and equal couples of several objects
+    add up first, so no distinct count widens the rows.
+    """
+    first = F.row_number().over(Window.partitionBy("type", "oid", "source", "target").orderBy("eid")) == 1
+    x = couples(log).withColumn("_first", first.cast("long"))
+    one = x.groupBy("type", "source", "target", "eid", "eid2").agg(F.count("*").alias("_n"), F.sum("_first").alias("_f"))
+    return one.groupBy("type", "source", "target").agg(F.count("*").alias("event_couples"), F.sum("_f").alias("unique_objects"), F.sum("_n").alias("total_objects"))
 
 
 def ocdfg_performance(log: Ocel) -> DataFrame:
-    w = Window.partitionBy("type", "oid").orderBy("eid")
-    x = related(log).select("type", F.col("act").alias("source"), F.lead("act").over(w).alias("target"), (seconds(F.lead("ts").over(w)) - seconds("ts")).alias("_d")).filter("target is not null")
-    return x.groupBy("type", "source", "target").agg(F.avg("_d").alias("mean"), F.min("_d").alias("min"), F.max("_d").alias("max"))
+    return couples(log).groupBy("type", "source", "target").agg(F.avg("seconds").alias("mean"), F.min("seconds").alias("min"), F.max("seconds").alias("max"))
 
 
 def object_ends(log: Ocel) -> DataFrame:
     """type, act, n_start, n_end: what objects begin and end with."""
-    x = related(log).groupBy("type", "oid").agg(F.min_by("act", "eid").alias("s"), F.max_by("act", "eid").alias("e"))
+    x = relations(log).groupBy("type", "oid").agg(F.min_by("act", "eid").alias("s"), F.max_by("act", "eid").alias("e"))
     return x.select("type", F.explode(F.array(F.struct(F.col("s").alias("act"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("e").alias("act"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("x")).groupBy("type", "x.act").agg(F.sum("x.a").alias("n_start"), F.sum("x.b").alias("n_end"))
 
 
 def interactions(log: Ocel) -> DataFrame:
-    """oid < oid2: objects of a common event."""
-    r = log.e2o.select("eid", "oid").distinct()
-    return r.join(r.withColumnRenamed("oid", "oid2"), "eid").filter("oid < oid2").select("oid", "oid2").distinct()
+    """oid < oid2: objects of a common event.  An event's objects come together once; its pairs are made there."""
+    r = log.e2o.groupBy("eid").agg(F.array_sort(F.collect_set("oid")).alias("o")).filter("size(o) > 1")
+    one = r.select("o", F.posexplode("o").alias("i", "oid"))
+    return one.select("oid", F.explode(F.slice("o", F.col("i") + 2, F.size("o"))).alias("oid2")).distinct()
 
 
 def object_graph(log: Ocel, kind: str) -> DataFrame:
     """oid, oid2 of a graph: interaction, cobirth, codeath, descendants (first event at the other's last) or inheritance."""
-    life = related(log).groupBy("oid").agg(F.min("eid").alias("first"), F.max("eid").alias("last"))
+    life = relations(log).groupBy("oid").agg(F.min("eid").alias("first"), F.max("eid").alias("last"))
     if kind == "interaction":
         return interactions(log)
     if kind in ("cobirth", "codeath"):
@@ -97,11 +136,11 @@ def activity_type_graph(log: Ocel) -> DataFrame:
 
 
 def objects_summary(log: Ocel) -> DataFrame:
-    return related(log).groupBy("oid", "type").agg(F.count("*").alias("n_events"), F.count_distinct("act").alias("n_acts"), (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("duration"))
+    return lifecycles(log).groupBy("oid", "type").agg(F.count("*").alias("n_events"), F.size(F.collect_set("act")).cast("long").alias("n_acts"), (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("duration"))
 
 
 def temporal_summary(log: Ocel) -> DataFrame:
-    return related(log).groupBy("ts").agg(F.count_distinct("eid").alias("n_events"), F.count_distinct("oid").alias("n_objects"))
+    return relations(log).groupBy("ts").agg(F.count_distinct("eid").alias("n_events"), F.count_distinct("oid").alias("n_objects"))
 
 
 def counts_per_type(log: Ocel) -> DataFrame:
@@ -121,24 +160,24 @@ def drill_down(log: Ocel, object_type: str, values: DataFrame) -> Ocel:
     """Objects of the type become (type, value).  values: oid, value; missing and empty ones keep their type."""
     x = log.objects.join(values, "oid", "left")
     split = (F.col("type") == object_type) & F.col("value").isNotNull() & (F.col("value") != "")
-    o = x.select("oid", F.when(split, F.concat(F.lit("("), "type", F.lit(", "), "value", F.lit(")"))).otherwise(F.col("type")).alias("type"))
-    return Ocel(log.events, o, log.e2o, log.o2o)
+    o = x.withColumn("type", F.when(split, F.concat(F.lit("("), "type", F.lit(", "), "value", F.lit(")"))).otherwise(F.col("type"))).drop("value")
+    return Ocel(log.events, o, log.e2o, log.o2o, log.changes)
 
 
 def roll_up(log: Ocel, object_type: str) -> Ocel:
     is_part = F.col("type").startswith(f"({object_type}, ") & F.col("type").endswith(")")
-    return Ocel(log.events, log.objects.withColumn("type", F.when(is_part, F.lit(object_type)).otherwise(F.col("type"))), log.e2o, log.o2o)
+    return Ocel(log.events, log.objects.withColumn("type", F.when(is_part, F.lit(object_type)).otherwise(F.col("type"))), log.e2o, log.o2o, log.changes)
 
 
 def unfold(log: Ocel, act: str, object_type: str) -> Ocel:
     """An activity becomes (activity, type) where an object of the type is related."""
-    hit = related(log).filter((F.col("act") == act) & (F.col("type") == object_type)).select("eid").distinct().withColumn("_hit", F.lit(True))
+    hit = relations(log).filter((F.col("act") == act) & (F.col("type") == object_type)).select("eid").distinct().withColumn("_hit", F.lit(True))
     e = log.events.join(hit, "eid", "left").withColumn("act", F.when(F.col("_hit"), F.lit(f"({act}, {object_type})")).otherwise(F.col("act"))).drop("_hit")
-    return Ocel(e, log.objects, log.e2o, log.o2o)
+    return Ocel(e, log.objects, log.e2o, log.o2o, log.changes)
 
 
 def fold(log: Ocel, act: str, object_type: str) -> Ocel:
-    return Ocel(log.events.withColumn("act", F.when(F.col("act") == f"({act}, {object_type})", F.lit(act)).otherwise(F.col("act"))), log.objects, log.e2o, log.o2o)
+    return Ocel(log.events.withColumn("act", F.when(F.col("act") == f"({act}, {object_type})", F.lit(act)).otherwise(F.col("act"))), log.objects, log.e2o, log.o2o, log.changes)
 
 
 def lifecycle_qualifiers(log: Ocel) -> DataFrame:
@@ -166,11 +205,16 @@ def extended(log: Ocel, types: list[str]) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """oid, component (its least object) over oid, oid2 edges; the shared checkpoint folder cuts each round's lineage."""
-    sc = edges.sparkSession.sparkContext
+    spark = edges.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
 
-        where = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-")
+            where = tempfile.mkdtemp(prefix="tracelake-")
         sc.setCheckpointDir(where)
     links = edges.select(F.col("oid").alias("a"), F.col("oid2").alias("b"))
     return stars.components(links, lambda df: df.checkpoint()).select(F.col("v").alias("oid"), F.col("label").alias("component"))
@@ -192,7 +236,7 @@ def per_type_count(log: Ocel, least: dict[str, int]) -> Ocel:
 def end_events(log: Ocel, object_type: str, last: bool = False) -> Ocel:
     """The first (or last) related event of each object of a type."""
     at = (F.max if last else F.min)("eid")
-    return of_events(log, related(log).filter(F.col("type") == object_type).groupBy("oid").agg(at.alias("eid")))
+    return of_events(log, relations(log).filter(F.col("type") == object_type).groupBy("oid").agg(at.alias("eid")))
 
 
 def in_time(log: Ocel, begin: str, end: str) -> Ocel:
@@ -201,17 +245,16 @@ def in_time(log: Ocel, begin: str, end: str) -> Ocel:
 
 def activities_of_type(log: Ocel, object_type: str) -> Ocel:
     """All events of the activities seen on a type."""
-    acts = related(log).filter(F.col("type") == object_type).select("act").distinct()
+    acts = relations(log).filter(F.col("type") == object_type).select("act").distinct()
     return of_events(log, log.events.join(acts, "act", "left_semi"))
 
 
 def neighbourhood(log: Ocel, objects: DataFrame, levels: int = 1) -> Ocel:
-    """Objects and those up to ``levels`` interactions away."""
-    pairs = interactions(log)
-    both = pairs.union(pairs.select(F.col("oid2").alias("oid"), F.col("oid").alias("oid2")))
+    """Objects and those up to ``levels`` interactions away: only the events of those found so far are looked at."""
     now = objects.select("oid").distinct()
     for _ in range(levels):
-        now = now.union(both.join(now, "oid", "left_semi").select(F.col("oid2").alias("oid"))).distinct()
+        events = log.e2o.join(now, "oid", "left_semi").select("eid").distinct()
+        now = now.union(log.e2o.join(events, "eid", "left_semi").select("oid")).distinct()
     return of_objects(log, now)
 
 
@@ -264,3 +307,167 @@ def object_features(log: Ocel, object_type: str) -> DataFrame:
     pairs = interactions(log)
     near = pairs.select("oid").union(pairs.select("oid2")).groupBy("oid").agg(F.count("*").alias("n_neighbours"))
     return own.join(near, "oid", "left").fillna(0, ["n_neighbours"])
+
+
+# --- tables as a whole
+
+
+def event_attribute(log: Ocel, column: str, values: list, retain: bool = True) -> Ocel:
+    """Events whose attribute is among the values (or isn't: then a missing one counts as another), and what is related to them."""
+    hit = F.coalesce(F.col(column).isin(values), F.lit(False))
+    return of_events(log, log.events.filter(hit if retain else ~hit))
+
+
+def object_attribute(log: Ocel, column: str, values: list, retain: bool = True) -> Ocel:
+    """Objects whose attribute is among the values (or isn't: then a missing one counts as another), and the events related to them."""
+    hit = F.coalesce(F.col(column).isin(values), F.lit(False))
+    return of_objects(log, log.objects.filter(hit if retain else ~hit))
+
+
+def is_ocel20(log: Ocel) -> bool:
+    """Whether objects relate to objects or change, or a relation has a qualifier."""
+    some = lambda df: bool(df.limit(1).count())
+    return some(log.o2o) or (log.changes is not None and some(log.changes)) or some(log.e2o.filter("qualifier != ''"))
+
+
+def consistent(log: Ocel) -> Ocel:
+    """Rows with an empty id, activity or type go; a missing qualifier becomes the empty one."""
+    full = lambda df, *cs: df.filter(" and ".join(f"length({c}) > 0" for c in cs))
+    plain = lambda df: df.withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
+    return Ocel(full(log.events, "eid", "act"), full(log.objects, "oid", "type"), plain(full(log.e2o, "eid", "oid")), plain(full(log.o2o, "oid", "oid2")), None if log.changes is None else full(log.changes, "oid", "field"))
+
+
+def object_types(log: Ocel) -> DataFrame:
+    return log.objects.select("type").distinct()
+
+
+def attribute_names(log: Ocel) -> list[str]:
+    """Attributes of events and objects."""
+    return sorted({c for c in log.events.columns if c not in ("eid", "act", "ts")} | {c for c in log.objects.columns if c not in ("oid", "type")})
+
+
+def o2o_enrichment(log: Ocel, kinds: tuple[str, ...] = ("interaction", "descendants", "inheritance", "cobirth", "codeath")) -> Ocel:
+    """Object graphs as further object relations, with <kind>_graph as qualifier; interactions in both orientations.
+    Inheritance takes the pairs of descendants."""
+    out = log.o2o
+    for kind in kinds:
+        g = object_graph(log, "descendants" if kind == "inheritance" else kind)
+        g = g.union(g.select("oid2", "oid")) if kind == "interaction" else g
+        out = out.unionByName(g.select("oid", "oid2", F.lit(f"{kind}_graph").alias("qualifier")))
+    return Ocel(log.events, log.objects, log.e2o, out, log.changes, log.relations)
+
+
+def merge_duplicates(log: Ocel, common_object: bool = False) -> Ocel:
+    """Events of one activity and time (and one object, if asked for) become one event.
+
+    An event joins the group in which it has the most company: the group with the most relations, at ties the greatest
+    (object, activity, time).  The merged event's id is made from its group.
+    """
+    keys = ["oid", "act", "ts"] if common_object else ["act", "ts"]
+    r = log.e2o.join(log.events.select("eid", "act", "ts"), "eid").select("eid", *keys)
+    size = r.groupBy(*keys).agg(F.count("*").alias("n"))
+    best = r.join(size, keys).groupBy("eid").agg(F.max(F.struct("n", *keys)).alias("x"))
+    ids = best.select("eid", F.concat(F.lit("merged-"), F.sha2(F.concat_ws("|", *[F.col(f"x.{k}").cast("string") for k in keys]), 256)).alias("_new"))
+    events = log.events.join(ids, "eid")
+    rest = [c for c in events.columns if c not in ("eid", "_new")]
+    merged = events.groupBy("_new").agg(F.min(F.struct("eid", *rest)).alias("x")).select(F.col("_new").alias("eid"), *[F.col(f"x.{c}").alias(c) for c in rest])
+    e2o = log.e2o.join(ids, "eid").groupBy(F.col("_new").alias("eid"), "oid").agg(F.min("qualifier").alias("qualifier"))
+    return Ocel(merged, log.objects, e2o, log.o2o, log.changes)
+
+
+def sorted_by(log: Ocel, additional: str, primary: str = "ts") -> DataFrame:
+    """Events in the order of two columns, absent values last, then of their ids."""
+    return log.events.orderBy(F.col(primary).asc_nulls_last(), F.col(additional).asc_nulls_last(), "eid")
+
+
+def sample_components(log: Ocel, components: DataFrame, n: int, seed: int = 0) -> Ocel:
+    """The objects of n components (oid, component), drawn by hash, and their events; without object relations and changes."""
+    chosen = components.select("component").distinct().orderBy(F.xxhash64("component", F.lit(seed)), "component").limit(n)
+    x = of_objects(log, components.join(chosen, "component", "left_semi"))
+    return Ocel(x.events, x.objects, x.e2o, x.o2o.limit(0))
+
+
+def of_log(log: DataFrame, types: list[str], separator: str = " AND ", event_attributes: tuple[str, ...] = (), object_attributes: dict[str, list[str]] | None = None) -> Ocel:
+    """Each event of a classic log as an event; the values of ``types`` columns, split, as objects of that type.
+
+    An object that several columns hold has the type of the first one (by name), and the attributes of the event that relates it first.
+    """
+    eid = F.concat_ws("/", "case_id", F.lpad(F.col("idx").cast("string"), 9, "0"))
+    x = log.withColumn("eid", eid)
+    def objects_of(place: int, name: str):
+        return F.transform(F.split(F.coalesce(F.col(name).cast("string"), F.lit("")), re.escape(separator)), lambda v: F.struct(v.alias("oid"), F.lit(place).alias("place"), F.lit(name).alias("type")))
+
+    pieces = [objects_of(i, t) for i, t in enumerate(types)]
+    r = x.select("eid", "act", "ts", F.explode(F.flatten(F.array(*pieces))).alias("o"), *[c for c in log.columns if c not in ("act", "ts")]).filter("trim(o.oid) != ''")
+    wanted = object_attributes or {}
+    names = sorted({a for cs in wanted.values() for a in cs})
+    values = [F.when(F.col("o.type").isin([t for t, cs in wanted.items() if a in cs]), F.col(a)).alias(a) for a in names]
+    objects = r.groupBy(F.col("o.oid").alias("oid")).agg(F.min(F.struct("eid", "o.place", "o.type", *values)).alias("x")).select("oid", "x.type", *[F.col(f"x.{a}").alias(a) for a in names])
+    e2o = r.select("eid", "o.oid").distinct().withColumn("qualifier", F.lit(""))
+    empty = e2o.sparkSession.createDataFrame([], "oid string, oid2 string, qualifier string")
+    return Ocel(x.select("eid", "act", "ts", *event_attributes), objects, e2o, empty)
+
+
+def graph_tables(log: Ocel, follows: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label) and edges (source, target, kind, label) of events, objects and changes."""
+    node = lambda df, i, kind, label: df.select(F.col(i).alias("id"), F.lit(kind).alias("kind"), F.col(label).alias("label"))
+    edge = lambda df, a, b, kind, label: df.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("kind"), label.alias("label"))
+    nodes = node(log.events, "eid", "EVENT", "act").union(node(log.objects, "oid", "OBJECT", "type"))
+    qualifier = F.coalesce(F.col("qualifier"), F.lit(""))
+    edges = edge(log.e2o, "eid", "oid", "E2O", qualifier).union(edge(log.o2o, "oid", "oid2", "O2O", qualifier))
+    if follows:
+        edges = edges.union(edge(couples(log), "eid", "eid2", "DF", F.col("oid")))
+    if log.changes is not None:
+        c = log.changes.withColumn("id", F.concat_ws("#", F.lit("change"), "oid", "field", F.unix_micros("ts").cast("string")))
+        nodes = nodes.union(node(c, "id", "CHANGE", "field"))
+        edges = edges.union(edge(c, "id", "oid", "CHANGE", F.lit("")))
+    return nodes, edges
+
+
+def feature_graph(log: Ocel, kinds: tuple[str, ...] = ("interaction", "descendants", "inheritance", "cobirth", "codeath")) -> DataFrame:
+    """oid, oid2, kind: pairs of the object graphs; a pair of several graphs has the last one's kind."""
+    out = None
+    for i, kind in enumerate(kinds):
+        g = object_graph(log, kind).select("oid", "oid2", F.struct(F.lit(i).alias("place"), F.lit(kind.upper()).alias("kind")).alias("x"))
+        out = g if out is None else out.union(g)
+    return out.groupBy("oid", "oid2").agg(F.max("x").alias("x")).select("oid", "oid2", "x.kind")
+
+
+def ocdfg_measures(log: Ocel) -> tuple[DataFrame, DataFrame]:
+    """Activities (act, n: events with an object) and flows (source, target, n: event couples, once for each type)."""
+    acts = log.events.select("act").distinct().join(relations(log).select("eid", "act").distinct().groupBy("act").agg(F.count("*").alias("n")), "act", "left").fillna(0, ["n"])
+    return acts, ocdfg(log).groupBy("source", "target").agg(F.sum("event_couples").alias("n"))
+
+
+def ocdfg_conformance(found: tuple[DataFrame, DataFrame], wanted: tuple[DataFrame, DataFrame], theta: tuple[float, float] = (0.0, 0.0), weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
+    """One row: missing and deviating activities and flows of a graph's measures against wanted ones, and the fitness.
+
+    1 less the weighted deviations over the weighted size of both graphs, held within 0 and 1.
+    """
+    parts = []
+    for i, keys in enumerate((["act"], ["source", "target"])):
+        both = found[i].withColumnRenamed("n", "_f").join(wanted[i].withColumnRenamed("n", "_w"), keys, "full_outer")
+        far = F.abs(F.coalesce("_f", F.lit(0)) - F.coalesce("_w", F.lit(0))) > theta[i]
+        parts.append(both.agg(F.count("*").alias(f"size{i}"), F.count_if(F.col("_f").isNull()).alias(f"missing{i}"), F.count_if(F.col("_w").isNull()).alias(f"additional{i}"), F.count_if(far).alias(f"deviating{i}")))
+    a, b, c, d = weights
+    x = parts[0].crossJoin(F.broadcast(parts[1]))  # one row each
+    size = (a + c) * F.col("size0") + (b + d) * F.col("size1")
+    off = a * F.col("missing0") + b * F.col("missing1") + c * F.col("deviating0") + d * F.col("deviating1")
+    return x.select(F.col("missing0").alias("missing_activities"), F.col("missing1").alias("missing_flows"), F.col("additional0").alias("additional_activities"), F.col("additional1").alias("additional_flows"), F.col("deviating0").alias("deviating_activities"), F.col("deviating1").alias("deviating_flows"), F.when(size == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - off / size))).alias("fitness"))
+
+
+def equivalent_executions(log: Ocel, object_type: str) -> DataFrame:
+    """description, n: executions of the type's objects (an object, what it interacts with, their events) with equal descriptions.
+
+    An execution's other objects are renamed by type and order of their first event in it, so that executions which
+    differ in ids and times alone have one description.
+    """
+    r = related(log)
+    leads = r.filter(F.col("type") == object_type).select(F.col("oid").alias("lead"), "eid").distinct()
+    near = leads.join(r.select("eid", "oid"), "eid").select("lead", "oid").distinct()
+    x = near.join(r, "oid").join(leads.withColumn("_own", F.lit(True)), ["lead", "eid"], "left").filter("_own").drop("_own")
+    firsts = x.groupBy("lead", "oid", "type").agg(F.min("eid").alias("first"))
+    named = firsts.withColumn("name", F.concat_ws("_", "type", F.row_number().over(Window.partitionBy("lead", "type").orderBy("first", "oid")).cast("string")))
+    events = x.join(named.select("lead", "oid", "name"), ["lead", "oid"]).groupBy("lead", "eid", "act").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("objects"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("eid", "act", "objects"))), lambda e: F.concat(e["act"], F.lit("("), e["objects"], F.lit(")"))), ">")
+    return events.groupBy("lead").agg(text.alias("description")).groupBy("description").agg(F.count("*").alias("n"))

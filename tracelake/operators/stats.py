@@ -64,11 +64,11 @@ def case_description(log: DataFrame) -> DataFrame:
 
 def upper_median_duration(log: DataFrame) -> DataFrame:
     """The element at place floor(n / 2) of the sorted durations, and the one at floor(3 n / 4)."""
+    from tracelake.operators.attributes import running
+
     d = case_description(log)
     n = d.agg(F.count("*").alias("n"))
-    ranked = d.groupBy("duration").agg(F.count("*").alias("m"))
-    # places by distinct duration: few rows, so one ordered window is small
-    places = ranked.withColumn("hi", F.sum("m").over(Window.orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)))
+    places = running(d.groupBy("duration").agg(F.count("*").alias("m")), "duration", "m", "hi")
     at = lambda k: F.min(F.when(F.col("hi") > k, F.col("duration")))
     return places.join(F.broadcast(n)).agg(at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(3 * F.col("n") / 4)).alias("quartile"))
 
@@ -109,11 +109,16 @@ def service_time(log: DataFrame) -> DataFrame:
 
 
 def eventually_follows(log: DataFrame) -> DataFrame:
-    """source, target, n: pairs in the order of events, whatever their times."""
-    later = log.groupBy(CASE, ACT).agg(F.collect_list(IDX).alias("_at"))
-    x = log.select(CASE, F.col(ACT).alias("source"), IDX).join(later.withColumnRenamed(ACT, "target"), CASE)
-    n = F.size(F.filter("_at", lambda i: i > F.col(IDX)))
-    return x.withColumn("_n", n).filter("_n > 0").groupBy("source", "target").agg(F.sum("_n").alias("n"))
+    """source, target, n: pairs in the order of events, whatever their times.
+
+    Each event counts the earlier ones of every activity of its case by a running count, so work grows with
+    events times activities of a case, not with pairs of events.
+    """
+    acts = log.groupBy(CASE).agg(F.collect_set(ACT).alias("_acts"))
+    x = log.select(CASE, IDX, F.col(ACT).alias("target")).join(acts, CASE).select(CASE, IDX, "target", F.explode("_acts").alias("source"))
+    before = Window.partitionBy(CASE, "source").orderBy(IDX).rowsBetween(Window.unboundedPreceding, -1)
+    counted = x.withColumn("_n", F.sum((F.col("source") == F.col("target")).cast("long")).over(before)).filter("_n > 0")
+    return counted.groupBy("source", "target").agg(F.sum("_n").alias("n"))
 
 
 def partial_order_pairs(log: DataFrame) -> DataFrame:
@@ -136,22 +141,21 @@ def concurrent_pairs(log: DataFrame, strict: bool = True) -> DataFrame:
 def cycle_time(log: DataFrame) -> DataFrame:
     """Lengths of merged intervals of the whole log but the last one's, over the number of cases.
 
-    Intervals merge first inside each day they begin on, so the one ordered window over all
-    merged stretches is as long as the log has days, not events.
+    Intervals merge inside ranges of their starts.  A range then knows by the greatest end of the ranges before it (one row a
+    range) how far it is covered already; what is covered anew has the same length as the merged whole, and the last merged interval
+    begins where the last uncovered start is.
     """
-    day = log.select(F.to_date(START).alias("d"), seconds(START).alias("s"), seconds(TS).alias("e"))
-
-    def merge(df: DataFrame, part: list[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy("s", "e")
-        before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = df.withColumn("_new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
-        grouped = new.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return grouped.groupBy(*part, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
-
-    whole = merge(merge(day.distinct(), ["d"]).withColumn("_one", F.lit(1)), ["_one"])
-    last = whole.agg(F.sum(F.col("e") - F.col("s")).alias("all"), F.max_by(F.col("e") - F.col("s"), "s").alias("last"))
+    from tracelake.operators.attributes import ranged
+
+    parts = ranged(log.select(seconds(START).alias("s"), seconds(TS).alias("e")).distinct(), "s")
+    reach = parts.groupBy("_part").agg(F.max("e").alias("_top"))
+    upto = reach.withColumn("_upto", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    before = F.max("e").over(Window.partitionBy("_part").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    x = parts.withColumn("_in", before).join(F.broadcast(upto), "_part").withColumn("_b", F.greatest("_in", "_upto"))
+    x = x.withColumn("_new", F.greatest(F.col("e") - F.greatest(F.col("s"), F.coalesce("_b", F.col("s"))), F.lit(0.0))).withColumn("_opens", F.col("_b").isNull() | (F.col("s") > F.col("_b")))
+    whole = x.agg(F.sum("_new").alias("all"), F.max("e").alias("end"), F.max(F.when(F.col("_opens"), F.col("s"))).alias("begin"))
     n = log.agg(F.count_distinct(CASE).alias("n"))
-    return last.join(F.broadcast(n)).select(((F.col("all") - F.col("last")) / F.col("n")).alias("cycle_time"))
+    return whole.join(F.broadcast(n)).select(((F.col("all") - (F.col("end") - F.col("begin"))) / F.col("n")).alias("cycle_time"))
 
 
 def passed_time(log: DataFrame, act: str) -> DataFrame:
@@ -162,29 +166,11 @@ def passed_time(log: DataFrame, act: str) -> DataFrame:
 
 
 def case_overlap(log: DataFrame) -> DataFrame:
-    """case_id, overlap: how many cases' spans meet the case's own (itself too).
+    """case_id, overlap: how many cases' spans meet the case's own (itself too), without pairs of cases."""
+    from tracelake.operators.attributes import overlaps
 
-    Starts up to the end less ends before the start, both counted over sorted distinct
-    times, so no pair of cases is made.
-    """
-    c = log.groupBy(CASE).agg(F.min(TS).alias("s"), F.max(TS).alias("e"))
-    starts = c.groupBy(F.to_date("s").alias("d"), F.col("s").alias("t")).agg(F.count("*").alias("n"))
-    ends = c.groupBy(F.to_date("e").alias("d"), F.col("e").alias("t")).agg(F.count("*").alias("n"))
-
-    def running(x: DataFrame, name: str) -> DataFrame:
-        """Counts up to each time: inside a day by window, the days before it by a small total."""
-        within = x.withColumn("_in", F.sum("n").over(Window.partitionBy("d").orderBy("t")))
-        days = x.groupBy("d").agg(F.sum("n").alias("m"))
-        before = days.withColumn("_before", F.coalesce(F.sum("m").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-        return within.join(F.broadcast(before), "d").select("t", (F.col("_in") + F.col("_before")).alias(name))
-
-    marks = c.select(F.col("s").alias("t")).union(c.select("e")).distinct()
-    dated = marks.withColumn("d", F.to_date("t")).withColumn("n", F.lit(0))
-    upto = running(starts.unionByName(dated).groupBy("d", "t").agg(F.sum("n").alias("n")), "started")
-    done = running(ends.unionByName(dated).groupBy("d", "t").agg(F.sum("n").alias("n")), "ended")
-    at = ends.select("t", F.col("n").alias("ended_here"))
-    x = c.join(upto.withColumnRenamed("t", "e"), "e").join(done.withColumnRenamed("t", "s"), "s").join(at.withColumnRenamed("t", "s"), "s", "left")
-    return x.select(CASE, (F.col("started") - F.col("ended") + F.coalesce("ended_here", F.lit(0))).alias("overlap"))
+    c = log.groupBy(CASE).agg(F.min(F.unix_micros(TS)).alias("s"), F.max(F.unix_micros(TS)).alias("e"))
+    return overlaps(c).select(CASE, "overlap")
 
 
 def service_waiting_time(log: DataFrame) -> DataFrame:

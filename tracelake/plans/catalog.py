@@ -142,7 +142,7 @@ add("temporal_conformance", lambda s, d: discovery.temporal_deviations(L(s, d),
 DF_L = "g AS (SELECT source, target, count(*) AS n FROM (SELECT act AS source, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS target FROM ev) WHERE target IS NOT NULL GROUP BY 1, 2)"
 add("footprints", lambda s, d: discovery.footprints(discovery.dfg(C(s, d))), f"WITH {SQL_C}, {DF_L} SELECT g.source, g.target, CASE WHEN r.source IS NULL THEN 'sequence' ELSE 'parallel' END AS relation FROM g LEFT JOIN g r ON r.source = g.target AND r.target = g.source")
 add("footprint_deviations", lambda s, d: discovery.footprint_deviations(discovery.dfg(C(s, d)), s.createDataFrame([("user", "assistant")], "source string, target string")), f"WITH {SQL_C}, {DF_L} SELECT source, target, n FROM g WHERE NOT (source = 'user' AND target = 'assistant')")
-add("prefix_tree", lambda s, d: joined(discovery.prefix_tree(L(s, d)), "prefix"), f"WITH {SQL_L}, {SQL_T}, t AS (SELECT seq[1:20] AS seq FROM tr), x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS depth FROM t) SELECT array_to_string(seq[1:depth], '>') AS prefix, CAST(depth AS INT) AS depth, count(*) AS n, CAST(sum(CASE WHEN depth = len(seq) THEN 1 ELSE 0 END) AS BIGINT) AS n_final FROM x GROUP BY 1, 2")
+add("prefix_tree", lambda s, d: joined(discovery.prefix_tree(L(s, d)), "prefix"), f"WITH {SQL_L}, {SQL_T}, x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS depth FROM tr) SELECT array_to_string(seq[1:depth], '>') AS prefix, CAST(depth AS INT) AS depth, count(*) AS n, CAST(sum(CASE WHEN depth = len(seq) THEN 1 ELSE 0 END) AS BIGINT) AS n_final FROM x GROUP BY 1, 2")
 add("transition_system", lambda s, d: joined(joined(discovery.transition_system(L(s, d)), "source"), "target"), f"WITH {SQL_L}, {SQL_T}, x AS (SELECT seq, unnest(range(1, len(seq) + 1)) AS i FROM tr) SELECT array_to_string(seq[greatest(1, i - 2):i - 1], '>') AS source, seq[i] AS act, array_to_string(seq[greatest(1, i - 1):i], '>') AS target, count(*) AS n FROM x GROUP BY 1, 2, 3")
 add("log_skeleton", lambda s, d: discovery.skeleton(C(s, d)), f"WITH {SQL_C}, c AS (SELECT case_id, act, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM ev GROUP BY 1, 2), k AS (SELECT act, count(*) AS m FROM ev GROUP BY 1), b AS (SELECT x.act AS source, y.act AS target, count(*) AS tg, coalesce(sum(x.n) FILTER (WHERE x.n = y.n), 0) AS eq, count(*) FILTER (WHERE x.lo < y.hi) AS af, count(*) FILTER (WHERE y.lo < x.hi) AS be FROM c x JOIN c y ON x.case_id = y.case_id AND x.act <> y.act GROUP BY 1, 2), z AS (SELECT p.act AS source, q.act AS target, p.m, coalesce(tg, 0) AS tg, coalesce(eq, 0) AS eq, coalesce(af, 0) AS af, coalesce(be, 0) AS be FROM k p JOIN k q ON p.act <> q.act LEFT JOIN b ON b.source = p.act AND b.target = q.act), {DF_L} SELECT 'equivalence' AS relation, source, target FROM z WHERE eq >= m UNION ALL SELECT 'always_after', source, target FROM z WHERE af >= m UNION ALL SELECT 'always_before', source, target FROM z WHERE be >= m UNION ALL SELECT 'never_together', source, target FROM z WHERE tg = 0 UNION ALL SELECT 'directly_follows', source, target FROM g JOIN k ON k.act = g.source WHERE n >= m")
 add("dfg_clean_noise", lambda s, d: discovery.clean_noise(discovery.dfg(L(s, d)), 0.3), f"WITH {SQL_L}, {DF_L}, e AS (SELECT act, max(n) AS m FROM (SELECT source AS act, n FROM g UNION ALL SELECT target, n FROM g) GROUP BY 1) SELECT source, target, n FROM g JOIN e x ON x.act = source JOIN e y ON y.act = target WHERE n >= 0.3 * least(x.m, y.m)")
@@ -234,6 +234,9 @@ add("precision", lambda s, d: s.createDataFrame([(conformance.precision(C(s, d),
 add("play_out", lambda s, d: s.createDataFrame([(",".join(t),) for t in nets.play_out(_chat_net(s, d), 100)], "trace string"))
 
 
+from tracelake.plans import extended  # noqa: E402, F401  (registers its queries here)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -52,12 +52,19 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @dataclass(frozen=True)
 class Ocel:
     """An object-centric log: events (eid, act, ts), objects (oid, type), e2o (eid, oid, qualifier),
-    o2o (oid, oid2, qualifier).  Events are in order of eid."""
+    o2o (oid, oid2, qualifier).  Events are in order of eid.
+
+    Further columns of events and objects are their attributes.  ``changes`` has the objects' attribute values in time (oid, ts,
+    field, value); ``relations`` is e2o with what it refers to (eid, oid, type, act, ts), where a
+    source has it at hand, so that operators need not join for it.
+    """
 
     events: DataFrame
     objects: DataFrame
     e2o: DataFrame
     o2o: DataFrame
+    changes: DataFrame | None = None
+    relations: DataFrame | None = None
 
 
 def order_ocel(spark: SparkSession, sf_dir: str) -> Ocel:
@@ -65,12 +72,14 @@ def order_ocel(spark: SparkSession, sf_dir: str) -> Ocel:
     x = read(spark, sf_dir, "lineitem")
     # a global number needs one total order; it is taken from the columns themselves, so no task sees all rows
     eid = F.concat_ws("-", F.date_format("l_shipdate", "yyyyMMdd"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lpad(F.col("l_partkey").cast("string"), 9, "0"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0"))
-    x = x.withColumn("eid", eid)
-    events = x.select("eid", F.concat("l_returnflag", "l_linestatus").alias("act"), F.col("l_shipdate").cast("timestamp").alias("ts")).dropDuplicates(["eid"])
+    x = x.select(eid.alias("eid"), F.concat("l_returnflag", "l_linestatus").alias("act"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("quantity"), "l_orderkey", "l_partkey", "l_suppkey")
+    events = x.groupBy("eid").agg(F.min("act").alias("act"), F.min("ts").alias("ts"), F.min("quantity").alias("quantity"))
     pairs = F.explode(F.array(*[F.struct(F.concat(F.lit(p), F.col(c).cast("string")).alias("oid"), F.lit(t).alias("type")) for t, p, c in (("order", "o", "l_orderkey"), ("part", "p", "l_partkey"), ("supplier", "s", "l_suppkey"))]))
-    e2o = x.select("eid", pairs.alias("x")).select("eid", "x.oid", F.lit("").alias("qualifier"), F.col("x.type").alias("type"))
+    relations = x.select("eid", pairs.alias("x"), "act", "ts").select("eid", "x.oid", "x.type", "act", "ts")
     o = read(spark, sf_dir, "orders")
     customers = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("oid"), F.lit("customer").alias("type")).distinct()
-    objects = e2o.select("oid", "type").distinct().unionByName(customers)
+    orders = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("oid"), F.col("o_orderpriority").alias("priority"))
+    objects = relations.select("oid", "type").distinct().unionByName(customers).join(orders, "oid", "left")
     o2o = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("oid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("oid2"), F.lit("placed by").alias("qualifier"))
-    return Ocel(events, objects, e2o.drop("type"), o2o)
+    status = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("oid"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"))
+    return Ocel(events, objects, relations.select("eid", "oid", F.lit("").alias("qualifier")), o2o, status, relations)
