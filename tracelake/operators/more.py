@@ -157,7 +157,7 @@ def business_seconds(start: Column, end: Column, open_hour: int = 9, close_hour:
     def upto(t: Column) -> Column:
         days_on = F.datediff(F.to_date(t), F.lit("1970-01-05").cast("date"))  # a Monday
         weeks, day = F.floor(days_on / 7), F.pmod(days_on, F.lit(7))
-        clock = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+        clock = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t) + F.pmod(F.unix_micros(t), F.lit(1_000_000)) / 1e6
         today = F.when(day < days, F.least(F.greatest(clock - open_hour * 3600, F.lit(0)), F.lit(slot))).otherwise(0)
         return weeks * days * slot + F.least(day, F.lit(days)) * slot + today
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import attributes, declarative, nets, ocel, trees
-from tracelake.plans.catalog import DF_L, INTER, NEXT, SQL_C, SQL_E, SQL_I, SQL_L, SQL_O, SQL_T, C, E, I, L, O, add, joined, rounded
+from tracelake.operators import attributes, bpmn, core, declarative, discovery, graphs, miners, nets, ocel, petri, powl, stats, trees
+from tracelake.plans.catalog import DF_L, INTER, QUERIES, NEXT, SQL_C, SQL_E, SQL_I, SQL_L, SQL_O, SQL_T, C, E, I, L, O, add, joined, rounded
 
 
 def names(spark, found: dict[str, list[str]]):
@@ -82,3 +82,44 @@ TREE = "->( X( tau, 'system' ), *( ->( 'user', 'assistant' ), tau ) )"
 MODEL = "m AS (SELECT * FROM (VALUES ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) v(source, target))"
 add("footprints_fitness", lambda s, d: rounded(declarative.footprints_fitness(C(s, d), trees.footprints(nets.parse_tree(TREE))), "fitness", places=9), f"WITH {SQL_C}, {DF_L}, {MODEL}, o AS (SELECT sum(n) AS n, count(*) AS k, coalesce(sum(n) FILTER (WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = g.source AND m.target = g.target)), 0) AS off FROM g), b AS (SELECT DISTINCT 's' AS side, act FROM ev WHERE idx = 0 UNION ALL SELECT DISTINCT 'e', act FROM (SELECT arg_max(act, idx) AS act FROM ev GROUP BY case_id)), e AS (SELECT count(*) AS k, count(*) FILTER (WHERE (side = 's' AND act IN ('system', 'user')) OR (side = 'e' AND act = 'assistant')) AS ok FROM b) SELECT round(((1 - o.off / o.n) * o.k + e.ok) / (o.k + e.k), 9) AS fitness FROM o, e")
 add("tree_footprints", lambda s, d: s.createDataFrame(sorted([("sequence", a, b) for a, b in trees.footprints(nets.parse_tree(TREE)).sequence] + [("parallel", a, b) for a, b in trees.footprints(nets.parse_tree(TREE)).parallel]), "relation string, source string, target string"), "SELECT * FROM (VALUES ('sequence', 'system', 'user'), ('parallel', 'user', 'assistant'), ('parallel', 'assistant', 'user')) v(relation, source, target)")
+
+# Edge graphs
+VE = f"{DF_L}, st AS (SELECT act, count(*) AS n FROM ev WHERE idx = 0 GROUP BY 1), en AS (SELECT act, count(*) AS n FROM (SELECT arg_max(act, idx) AS act FROM ev GROUP BY case_id) GROUP BY 1), ve AS (SELECT source AS act FROM g UNION SELECT target FROM g UNION SELECT act FROM st UNION SELECT act FROM en)"
+cut = lambda s, d: discovery.dfg(L(s, d)).filter("source < target")
+add("dfg_vertices", lambda s, d: graphs.vertices(discovery.dfg(L(s, d)), stats.start_activities(L(s, d)), stats.end_activities(L(s, d))), f"WITH {SQL_L}, {VE} SELECT act FROM ve")
+add("dfg_inferred_starts", lambda s, d: graphs.inferred_starts(cut(s, d)), f"WITH {SQL_L}, {DF_L} SELECT DISTINCT source AS act FROM g WHERE source < target AND source NOT IN (SELECT target FROM g WHERE source < target)")
+add("dfg_inferred_ends", lambda s, d: graphs.inferred_ends(cut(s, d)), f"WITH {SQL_L}, {DF_L} SELECT DISTINCT target AS act FROM g WHERE source < target AND target NOT IN (SELECT source FROM g WHERE source < target)")
+add("dfg_vertex_frequencies", lambda s, d: graphs.vertex_frequencies(discovery.dfg(L(s, d)), stats.start_activities(L(s, d)), stats.end_activities(L(s, d))), f"WITH {SQL_L}, {VE} SELECT act, count(*) AS n FROM ev GROUP BY 1")
+add("dfg_activity_count", lambda s, d: graphs.activity_count(discovery.dfg(C(s, d))), f"WITH {SQL_C}, {DF_L}, b AS (SELECT source AS act, n, 1 AS side FROM g UNION ALL SELECT target, n, 0 FROM g) SELECT act, CAST(CASE WHEN count(DISTINCT side) = 2 THEN sum(n) // 2 ELSE sum(n) END AS BIGINT) AS n FROM b GROUP BY 1")
+REACH = f"WITH RECURSIVE {SQL_L}, {DF_L}, r(source, target) AS (SELECT source, target FROM g WHERE source < target UNION SELECT r.source, g.target FROM r JOIN g ON g.source = r.target AND g.source < g.target)"
+add("dfg_successors", lambda s, d: graphs.successors(cut(s, d)), f"{REACH} SELECT source, target FROM r")
+add("dfg_predecessors", lambda s, d: graphs.predecessors(cut(s, d)), f"{REACH} SELECT target AS source, source AS target FROM r")
+
+# Queries of the first list that had no SQL
+OVERDUE = "q AS (SELECT case_id, act, b, e, row_number() OVER (PARTITION BY case_id, act ORDER BY b, idx) AS k FROM ev)"
+SQL_NEW = {
+    "to_interval": f"WITH {SQL_I}, p AS (SELECT case_id, idx AS i, act, b AS t, 's' AS life, 0 AS k FROM ev UNION ALL SELECT case_id, idx, act, e, 'c', 1 FROM ev), o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY t, i, k) AS pos FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY case_id, act, life ORDER BY pos) AS nth FROM o) SELECT c.act, count(*) AS n, CAST(sum(CASE WHEN s.pos < c.pos THEN (c.t - s.t) * 1000000 ELSE 0 END) AS BIGINT) AS us FROM n c LEFT JOIN n s ON s.life = 's' AND s.case_id = c.case_id AND s.act = c.act AND s.nth = c.nth WHERE c.life = 'c' GROUP BY 1",
+    "heuristics_net": f"WITH {SQL_L}, {DF_L}, top AS (SELECT act, max(n) AS m FROM (SELECT source AS act, n FROM g UNION ALL SELECT target, n FROM g) GROUP BY 1), c AS (SELECT g.* FROM g JOIN top x ON x.act = source JOIN top y ON y.act = target WHERE n >= 0.05 * least(x.m, y.m)), d AS (SELECT c.source, c.target, c.n, CASE WHEN c.source = c.target THEN c.n / (c.n + 1) ELSE (c.n - coalesce(r.n, 0)) / (c.n + coalesce(r.n, 0) + 1) END AS dep FROM c LEFT JOIN c r ON r.source = c.target AND r.target = c.source), t AS (SELECT a AS source, b AS target, count(*) AS n FROM (SELECT act AS a, lead(act) OVER w AS b, lead(act, 2) OVER w AS z FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx)) WHERE a = z AND a <> b GROUP BY 1, 2) SELECT source, target, n, round(dep, 9) AS dependency, CASE WHEN source = target THEN 'loop1' ELSE 'edge' END AS kind FROM d WHERE dep >= 0.5 UNION ALL SELECT t.source, t.target, t.n, round((t.n + coalesce(r.n, 0)) / (t.n + coalesce(r.n, 0) + 1), 9), 'loop2' FROM t LEFT JOIN t r ON r.source = t.target AND r.target = t.source WHERE (t.n + coalesce(r.n, 0)) / (t.n + coalesce(r.n, 0) + 1) >= 0.5",
+    "filter_between": f"WITH {SQL_E}, pu AS (SELECT case_id, idx AS hi, lag(idx) OVER (PARTITION BY case_id ORDER BY idx) AS p FROM ev WHERE act = 'purchase'), st AS (SELECT pu.case_id, hi, min(x.idx) AS lo FROM pu JOIN ev x ON x.case_id = pu.case_id AND x.act = 'signup' AND x.idx < hi AND x.idx > coalesce(p, -1) GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY hi) - 1 AS k FROM st) SELECT n.case_id || '##@@' || k AS case_id, ev.idx - lo AS idx, act FROM n JOIN ev ON ev.case_id = n.case_id AND ev.idx BETWEEN lo AND hi",
+    "batches": f"WITH {SQL_I}, i AS (SELECT DISTINCT act, res, case_id, b AS s, e FROM ev), g1 AS (SELECT *, max(e) OVER (PARTITION BY act, res ORDER BY s, e, case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i), g2 AS (SELECT *, sum(CASE WHEN m IS NULL OR s - m > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY act, res ORDER BY s, e, case_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g1), g3 AS (SELECT *, lag(e) OVER (PARTITION BY act, res, k ORDER BY s, e, case_id) AS p FROM g2), b AS (SELECT act, res, k, count(*) AS n, count(DISTINCT s) AS ns, count(DISTINCT e) AS ne, count(*) FILTER (WHERE p > s) AS t FROM g3 GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT act, CASE WHEN ns = 1 AND ne = 1 THEN 'simultaneous' WHEN ns = 1 THEN 'start' WHEN ne = 1 THEN 'end' WHEN t = 0 THEN 'sequential' ELSE 'concurrent' END AS kind, count(*) AS n, CAST(sum(n) AS BIGINT) AS events FROM b GROUP BY 1, 2",
+    "business_hours": f"WITH {SQL_E}, c AS (SELECT case_id, min(ts) AS lo, max(ts) AS hi FROM ev GROUP BY 1), d AS (SELECT case_id, lo, hi, unnest(generate_series(date_trunc('day', lo), hi, INTERVAL 1 DAY)) AS day FROM c) SELECT case_id, sum(CASE WHEN isodow(day) <= 5 THEN greatest(0.0, epoch_us(least(hi, day + INTERVAL 17 HOUR)) / 1000000.0 - epoch_us(greatest(lo, day + INTERVAL 9 HOUR)) / 1000000.0) ELSE 0.0 END) AS seconds FROM d GROUP BY 1",
+    "edit_alignments": f"WITH {SQL_C}, v AS (SELECT list(act ORDER BY idx) AS seq, string_agg(act[1], '' ORDER BY idx) AS t FROM ev GROUP BY case_id) SELECT array_to_string(seq, '>') AS seq, count(*) AS n, least(levenshtein(any_value(t), 'ua'), levenshtein(any_value(t), 'sua')) AS distance FROM v GROUP BY 1",
+    "variant_distances": f"WITH {SQL_C}, v AS (SELECT DISTINCT list(act ORDER BY idx) AS seq, string_agg(act[1], '' ORDER BY idx) AS t FROM ev GROUP BY case_id) SELECT array_to_string(seq, '>') AS seq, levenshtein(t, 'ua') / greatest(len(t), 2) AS distance FROM v",
+    "ocel_components": f"WITH RECURSIVE {SQL_O}, {INTER}, r(oid, label) AS (SELECT oid, oid FROM bo UNION SELECT bo.oid2, r.label FROM r JOIN bo ON bo.oid = r.oid WHERE r.label < bo.oid2), m AS (SELECT oid, min(label) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM m GROUP BY 1",
+}
+for _name, _sql in SQL_NEW.items():
+    add(_name, QUERIES[_name], _sql)
+add("sample_cases_size", lambda s, d: core.sample_cases(L(s, d), 100).agg(F.count_distinct("case_id").alias("n"), F.count_distinct("case_id", "idx").alias("events") > 0).toDF("n", "whole"), f"WITH {SQL_L} SELECT least(100, count(DISTINCT case_id)) AS n, TRUE AS whole FROM ev")
+
+# Models: answers that SQL works out from the same few facts
+add("tree_language", lambda s, d: s.createDataFrame(sorted({("".join(t),) for t in trees.play_out(nets.parse_tree("->( X( 'a', 'b' ), +( 'c', 'd' ) )"), 400)}), "run string"), "SELECT a || x AS run FROM (SELECT unnest(['a', 'b']) AS a), (SELECT unnest(['cd', 'dc']) AS x)")
+add("tree_to_powl_order", lambda s, d: s.createDataFrame(sorted((i, j) for i, j in powl.of_tree(nets.parse_tree("->( 'a', 'b', 'c', 'd' )")).order), "a int, b int"), "SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b FROM range(4) x(a), range(4) y(b) WHERE a < b")
+add("powl_transitive_reduction", lambda s, d: s.createDataFrame(sorted(powl.transitive_reduction(frozenset((i, j) for i in range(6) for j in range(i + 1, 6)))), "a int, b int"), "SELECT CAST(a AS INT) AS a, CAST(a + 1 AS INT) AS b FROM range(5) x(a)")
+add("net_reachability", lambda s, d: s.createDataFrame([(len(petri.reachability(nets.net_of(nets.parse_tree("+( 'a', 'b', 'c' )"))).markings),)], "markings long"), "SELECT 2 + 2 * 2 * 2 AS markings")
+add("net_soundness", lambda s, d: s.createDataFrame([(petri.soundness(nets.net_of(miners.inductive(miners.variants_of(C(s, d))))).sound,)], "sound boolean"), "SELECT TRUE AS sound")
+add("bpmn_tasks", lambda s, d: s.createDataFrame(sorted((n,) for k, n in graphs.bpmn_inductive_dfg(*miners.graph_of(C(s, d))).nodes.values() if k == "task"), "act string"), f"WITH {SQL_C} SELECT DISTINCT act FROM ev")
+add("bpmn_split_miner", lambda s, d: s.createDataFrame(sorted((n,) for k, n in graphs.split_miner(*miners.graph_of(L(s, d))).nodes.values() if k == "task"), "act string"), f"WITH {SQL_L} SELECT DISTINCT act FROM ev")
+add("bpmn_round_trip", lambda s, d: s.createDataFrame([(k, sum(x == k for x, _ in bpmn.read_bpmn(bpmn.write_bpmn(bpmn.of_tree(nets.parse_tree("->( 'a', X( 'b', 'c' ) )")))).nodes.values())) for k in ("start", "end", "task", "exclusive")], "kind string, n long"), "SELECT * FROM (VALUES ('start', 1), ('end', 1), ('task', 3), ('exclusive', 2)) v(kind, n)")
+add("petri_net_heuristics", lambda s, d: s.createDataFrame(sorted((t[1],) for t in graphs.net_of_heuristics(graphs.heuristics_of(*miners.graph_of(L(s, d)))).transitions if t[1]), "act string"), f"WITH {SQL_L} SELECT DISTINCT act FROM ev")
+add("petri_net_alpha_plus", lambda s, d: s.createDataFrame(sorted((t[1],) for t in graphs.alpha_plus(*miners.graph_of(L(s, d))).transitions), "act string"), f"WITH {SQL_L} SELECT DISTINCT act FROM ev")
+add("petri_net_per_edge", lambda s, d: s.createDataFrame([(sum(t[1] is None for t in graphs.net_per_edge(*miners.graph_of(L(s, d))).transitions),)], "silent long"), f"WITH {SQL_L}, {VE} SELECT (SELECT count(*) FROM g) + (SELECT count(*) FROM st) + (SELECT count(*) FROM en) AS silent")
