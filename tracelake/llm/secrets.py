@@ -40,6 +40,7 @@ ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so 24 or more is the same as a run that is then tested
 KINDS = ("assign", "access", "hex")
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")  # lower case of what the first rule begins with
 SHORTEST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@:-]{%d,}" % SHORTEST)
 
@@ -117,8 +118,10 @@ def pieces_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of the rules' findings."""
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    low = text.lower()
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if any(w in low for w in WORDS) else []
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(out)
 
@@ -177,25 +180,39 @@ class CharNet:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
-    def score_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 512) -> np.ndarray:
-        """``score`` of ``windows``: the convolution as a sum of tables by code, the zeros behind short windows once for all."""
+    def score_places(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1024) -> np.ndarray:
+        """``score`` of ``windows``: the convolution as a sum of tables by pairs of codes, place by place for many windows at once,
+        the zeros behind short windows once for all."""
         p, k = self.p, self.span
         tables = [(p["e"] @ w).astype(np.float32) for w in np.split(p["k"], k)]
-        blank = np.maximum(sum(t[0] for t in tables) + p["kb"].astype(np.float32), 0)
+        tables[-1] += p["kb"].astype(np.float32)
+        blank = np.maximum(sum(t[0] for t in tables), 0)
+        filters = blank.size
+        pairs = [(o, (tables[o][:, None] + tables[o + 1]).reshape(-1, filters)) for o in range(0, k - 1, 2)]
+        ones = [(o, tables[o]) for o in range(k - k % 2, k)]
         whole, out = WIDTH - k + 1, np.zeros(start.size)
         size = end - start
         order = np.argsort(size, kind="stable")
         for i in range(0, order.size, step):
             at = order[i : i + step]
             width = min(WIDTH, BEFORE + 2 + int(size[at].max()) + TAIL + k - 1)
-            x = windows(codes, start[at], end[at], width)
+            x = np.ascontiguousarray(windows(codes, start[at], end[at], width).T, np.intp)
+            two = x[:-1] * CLASSES + x[1:]
             n = width - k + 1
-            z = tables[0][x[:, :n]]
-            for o in range(1, k):
-                z += tables[o][x[:, o : o + n]]
-            z += p["kb"].astype(np.float32)
-            np.maximum(z, 0, out=z)
-            top, mean = z.max(1), (z.sum(1) + (whole - n) * blank) / whole
+            z, more = np.empty((2, at.size, filters), np.float32)
+            top, total = np.zeros((2, at.size, filters), np.float32)
+            for j in range(n):
+                np.take(pairs[0][1], two[j], 0, z, "clip")
+                for o, t in pairs[1:]:
+                    np.take(t, two[j + o], 0, more, "clip")
+                    z += more
+                for o, t in ones:
+                    np.take(t, x[j + o], 0, more, "clip")
+                    z += more
+                np.maximum(z, 0, out=z)
+                np.maximum(top, z, out=top)
+                total += z
+            mean = (total + (whole - n) * blank) / whole
             if n < whole:
                 top = np.maximum(top, blank)
             h = np.maximum(np.concatenate([top, mean], 1) @ p["h"] + p["hb"], 0)
@@ -329,17 +346,22 @@ def model_spans(net: CharNet, texts: list[str], taken: list[list[tuple[int, int,
     codes, begins = coded(texts)
     found = [candidates(t, spans) for t, spans in zip(texts, taken, strict=True)]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    flat = [(i, c) for i, cs in enumerate(found) for c in cs]
-    if not flat:
+    counts = np.array([len(c) for c in found], np.int64)
+    if not counts.sum():
         return out
-    pieces = [pieces_of(texts[i], *c) for i, c in flat]
-    sizes = np.array([len(p) for p in pieces])
-    begin = np.repeat(begins[[i for i, _ in flat]], sizes)
-    start, end = np.array([w for p in pieces for w in p], np.int64).T + begin
-    score = np.maximum.reduceat(net.score_places(codes, start, end), np.cumsum(sizes) - sizes)
-    for at in np.flatnonzero(score >= net.threshold).tolist():
-        i, c = flat[at]
-        out[i].append(c)
+    place = np.array([c for cs in found for c in cs], np.int64)
+    of = np.repeat(np.arange(len(texts)), counts)
+    score = np.zeros(len(place))
+    short = np.flatnonzero(place[:, 1] - place[:, 0] <= VALUE)  # one window each
+    score[short] = net.score_places(codes, *(place[short] + begins[of[short], None]).T)
+    long = np.flatnonzero(place[:, 1] - place[:, 0] > VALUE)
+    if long.size:
+        pieces = [pieces_of(texts[of[i]], *place[i].tolist()) for i in long.tolist()]
+        sizes = np.array([len(p) for p in pieces])
+        start, end = np.array([w for p in pieces for w in p], np.int64).T + np.repeat(begins[of[long]], sizes)
+        score[long] = np.maximum.reduceat(net.score_places(codes, start, end), np.cumsum(sizes) - sizes)
+    for i in np.flatnonzero(score >= net.threshold).tolist():
+        out[of[i]].append((int(place[i, 0]), int(place[i, 1])))
     return out
 
 
