@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import attributes, bpmn, core, declarative, discovery, graphs, miners, nets, ocel, petri, powl, stats, trees
+from tracelake.operators import aligning, attributes, bpmn, core, declarative, discovery, graphs, logs, miners, nets, ocel, petri, powl, stats, trees
 from tracelake.plans.catalog import DF_L, INTER, QUERIES, NEXT, SQL_C, SQL_E, SQL_I, SQL_L, SQL_O, SQL_T, C, E, I, L, O, add, joined, rounded
 
 
@@ -123,3 +123,31 @@ add("bpmn_round_trip", lambda s, d: s.createDataFrame([(k, sum(x == k for x, _ i
 add("petri_net_heuristics", lambda s, d: s.createDataFrame(sorted((t[1],) for t in graphs.net_of_heuristics(graphs.heuristics_of(*miners.graph_of(L(s, d)))).transitions if t[1]), "act string"), f"WITH {SQL_L} SELECT DISTINCT act FROM ev")
 add("petri_net_alpha_plus", lambda s, d: s.createDataFrame(sorted((t[1],) for t in graphs.alpha_plus(*miners.graph_of(L(s, d))).transitions), "act string"), f"WITH {SQL_L} SELECT DISTINCT act FROM ev")
 add("petri_net_per_edge", lambda s, d: s.createDataFrame([(sum(t[1] is None for t in graphs.net_per_edge(*miners.graph_of(L(s, d))).transitions),)], "silent long"), f"WITH {SQL_L}, {VE} SELECT (SELECT count(*) FROM g) + (SELECT count(*) FROM st) + (SELECT count(*) FROM en) AS silent")
+
+# Logs as a whole
+add("rebase", lambda s, d: logs.rebase(L(s, d), case="res").select("case_id", "idx", "act"), f"WITH {SQL_L} SELECT res AS case_id, row_number() OVER (PARTITION BY res ORDER BY ts, case_id, idx) - 1 AS idx, act FROM ev")
+add("event_stream", lambda s, d: logs.of_stream(logs.to_stream(C(s, d)).withColumn("at", F.struct("ts", "case_id", "idx")).drop("idx"), "at").select("case_id", "idx", "act"), f"WITH {SQL_C} SELECT case_id, idx, act FROM ev")
+add("arrow_round_trip", lambda s, d: logs.of_arrow(s, logs.to_arrow(C(s, d).select("case_id", "idx", "act"))), f"WITH {SQL_C} SELECT case_id, idx, act FROM ev")
+add("filter_traces_by_condition", lambda s, d: logs.filter_traces(L(s, d), F.sum("quantity") > 100).select("case_id", "idx", "act"), f"WITH {SQL_L} SELECT case_id, idx, act FROM ev WHERE case_id IN (SELECT case_id FROM ev GROUP BY case_id HAVING sum(quantity) > 100)")
+add("filter_traces_by_function", lambda s, d: logs.filter_traces(C(s, d).select("case_id", "idx", "act"), lambda e: e["act"].iloc[0] == "user"), f"WITH {SQL_C} SELECT case_id, idx, act FROM ev WHERE case_id IN (SELECT case_id FROM ev WHERE idx = 0 AND act = 'user')")
+add("sort_traces_by_key", lambda s, d: logs.sort_traces(L(s, d), F.sum("quantity"), True).limit(20), f"WITH {SQL_L} SELECT case_id, sum(quantity) AS \"key\" FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+add("filter_events_by_condition", lambda s, d: logs.filter_events(L(s, d), F.col("quantity") > 25, True).select("case_id", "idx", "act"), f"WITH {SQL_L} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY idx) - 1 AS idx, act FROM ev WHERE quantity > 25")
+add("sort_events_by_key", lambda s, d: logs.sort_events(L(s, d), F.col("quantity"), True).select("case_id", "idx", "act", "quantity"), f"WITH {SQL_L} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY quantity DESC, idx) - 1 AS idx, act, quantity FROM ev")
+add("events_of_case", lambda s, d: logs.events_of(L(s, d), "1").select("idx", "act"), f"WITH {SQL_L} SELECT idx, act FROM ev WHERE case_id = '1'")
+
+# Alignments with a model that SQL can follow: user and assistant in turns, perhaps after a system row
+TURNS = "->( X( tau, 'system' ), *( ->( 'user', 'assistant' ), tau ) )"
+
+
+def _turns():
+    return nets.net_of(nets.parse_tree(TURNS))
+
+
+GOOD = "regexp_full_match(array_to_string(seq, ''), '(system)?(userassistant)+')"
+add("fits_tree", lambda s, d: joined(aligning.align_log_tree(C(s, d), nets.parse_tree(TURNS)).select("seq", (F.col("fitness") == 1.0).alias("fits"))), f"WITH {SQL_C}, {SQL_T} SELECT DISTINCT array_to_string(seq, '>') AS seq, {GOOD} AS fits FROM tr")
+add("alignments_beam", lambda s, d: joined(aligning.align_log_beam(C(s, d), _turns(), 100).select("seq", (F.col("cost") < 10000).alias("fits"))), f"WITH {SQL_C}, {SQL_T} SELECT DISTINCT array_to_string(seq, '>') AS seq, {GOOD} AS fits FROM tr")
+add("alignments_discounted", lambda s, d: joined(aligning.align_log_discounted(C(s, d), _turns()).select("seq", (F.col("cost") == 0).alias("fits"))), f"WITH {SQL_C}, {SQL_T} SELECT DISTINCT array_to_string(seq, '>') AS seq, {GOOD} AS fits FROM tr")
+add("alignments_decomposed", lambda s, d: joined(aligning.align_log_decomposed(C(s, d), _turns()).select("seq", (F.col("cost") < 10000).alias("fits"))), f"WITH {SQL_C}, {SQL_T} SELECT DISTINCT array_to_string(seq, '>') AS seq, {GOOD} AS fits FROM tr")
+add("alignments_subset", lambda s, d: aligning.align_log_subset(C(s, d), _turns(), 1 << 20).agg(F.sum(F.when(F.col("upper") < 10000, F.col("n")).otherwise(0)).alias("fitting")), f"WITH {SQL_C}, {SQL_T} SELECT CAST(count(*) FILTER (WHERE {GOOD}) AS BIGINT) AS fitting FROM tr")
+add("trace_footprints_fitness", lambda s, d: declarative.trace_footprints_fitness(C(s, d), trees.footprints(nets.parse_tree("X( 'user', 'assistant', 'system' )"))).select("share_fitting"), f"WITH {SQL_C} SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS share_fitting FROM (SELECT count(*) AS n FROM ev GROUP BY case_id)")
+add("precision_alignments", lambda s, d: s.createDataFrame([(aligning.precision(C(s, d), graphs.net_per_edge(*miners.graph_of(C(s, d)))) > 0.5,)], "high boolean"), "SELECT TRUE AS high")

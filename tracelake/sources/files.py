@@ -15,14 +15,37 @@ from tracelake.sources.tables import Ocel
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+def _positioned(df: DataFrame) -> DataFrame:
+    """A reader's rows with ``_at``: their file, and their place in what one task reads of it, which goes along the file."""
+    return df.withColumn("_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
+def _logged(x: DataFrame, case: str, act: str, ts: str) -> DataFrame:
+    """Canonical columns; events of equal times stay in the order of the file."""
+    return format_log(x, case, act, ts, ("_at",)).drop("_at")
+
+
 def read_csv(spark: SparkSession, path: str, case: str = "case:concept:name", act: str = "concept:name", ts: str = "time:timestamp", separator: str = ",") -> DataFrame:
-    """A CSV table as a log; missing-value texts are nulls."""
-    raw = spark.read.csv(path, header=True, sep=separator)
-    quoted = [F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    x = raw.select(*quoted)
-    plain = x.select(*[F.col(f"`{c}`").alias(c.replace(":", "_").replace(".", "_")) for c in x.columns])
-    names = [n.replace(":", "_").replace(".", "_") for n in (case, act, ts)]
-    return format_log(plain, *names)
+    """A CSV table as a log; missing-value texts are nulls; events of equal times keep the file's order."""
+    return _csv_log(_positioned(spark.read.csv(path, header=True, sep=separator)), case, act, ts)
+
+
+def read_csv_text(spark: SparkSession, text, case: str = "case:concept:name", act: str = "concept:name", ts: str = "time:timestamp", separator: str = ",") -> DataFrame:
+    """The same from an open text file or a text."""
+    import csv
+    import io
+
+    rows = list(csv.reader(io.StringIO(text) if isinstance(text, str) else text, delimiter=separator))
+    names = rows[0] if rows else [case, act, ts]
+    df = spark.createDataFrame([(*[v or None for v in r], i) for i, r in enumerate(rows[1:])], ", ".join([*(f"`{n}` string" for n in names), "_at long"]))
+    return _csv_log(df, case, act, ts)
+
+
+def _csv_log(raw: DataFrame, case: str, act: str, ts: str) -> DataFrame:
+    own = [c for c in raw.columns if c != "_at"]
+    plain = lambda n: n.replace(":", "_").replace(".", "_")
+    x = raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(plain(c)) for c in own], "_at")
+    return _logged(x, plain(case), plain(act), plain(ts))
 
 
 def write_csv(log: DataFrame, path: str) -> None:
@@ -31,8 +54,56 @@ def write_csv(log: DataFrame, path: str) -> None:
     log.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c in times}).write.mode("overwrite").csv(path, header=True)
 
 
+def csv_text(log: DataFrame, out) -> None:
+    """The same into an open text file on the driver, partition after partition."""
+    import csv
+
+    times = [f.name for f in log.schema if isinstance(f.dataType, T.TimestampType)]
+    rows = log.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c in times})
+    w = csv.writer(out)
+    w.writerow(rows.columns)
+    w.writerows(rows.toLocalIterator())
+
+
 def read_parquet(spark: SparkSession, path: str, case: str, act: str, ts: str) -> DataFrame:
-    return format_log(spark.read.parquet(path), case, act, ts)
+    """A Parquet table as a log; events of equal times keep the file's order."""
+    return _logged(_positioned(spark.read.parquet(path)), case, act, ts)
+
+
+def read_parquet_file(spark: SparkSession, source, case: str, act: str, ts: str) -> DataFrame:
+    """The same from an open binary file (or bytes) on the driver."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(pa.BufferReader(source) if isinstance(source, bytes) else source)
+    return _logged(spark.createDataFrame(table.append_column("_at", pa.array(range(table.num_rows), pa.int64()))), case, act, ts)
+
+
+def write_parquet(log: DataFrame, path: str) -> None:
+    log.write.mode("overwrite").parquet(path)
+
+
+def parquet_file(log: DataFrame, out) -> None:
+    """The log as one Parquet file into an open binary file on the driver, partition after partition."""
+    import pyarrow.parquet as pq
+
+    from tracelake.operators.logs import to_arrow_batches
+
+    writer = None
+    for batch in to_arrow_batches(log):
+        writer = writer or pq.ParquetWriter(out, batch.schema)
+        writer.write_batch(batch)
+    if writer is None:
+        writer = pq.ParquetWriter(out, log.limit(0).toArrow().schema)
+    writer.close()
+
+
+def read_xes_file(spark: SparkSession, path: str) -> DataFrame:
+    """A XES document as a log by one pass on the driver, trace by trace: for documents on the driver's disk; all attributes are texts."""
+    from tracelake.streaming.live import xes_traces
+
+    rows = [(a.get("concept:name") or f"trace-{i}", j, e.get("concept:name"), e.get("time:timestamp")) for i, (a, events) in enumerate(xes_traces(path)) for j, e in enumerate(events)]
+    return spark.createDataFrame(rows, "case_id string, idx long, act string, ts string").withColumn("ts", F.to_timestamp("ts"))
 
 
 _ATTRIBUTE = T.ArrayType(T.StructType([T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())]))
@@ -67,7 +138,7 @@ def xes_text(log: DataFrame) -> DataFrame:
 
 
 def write_xes(log: DataFrame, path: str) -> None:
-    """One XES document a part file: traces are written where they are, between a header and a footer."""
+    """One XES document a part file: traces are written where they are, between a header and a footer.  ``xes_file`` makes a single document."""
     parts = xes_text(log)
 
     def document(batches):
@@ -81,27 +152,39 @@ def write_xes(log: DataFrame, path: str) -> None:
     parts.mapInPandas(document, "value string").write.mode("overwrite").text(path)
 
 
-_RELATED = "relationships array<struct<objectId string, qualifier string>>"
-_OCEL = f"events array<struct<id string, type string, time string, {_RELATED}>>, objects array<struct<id string, type string, {_RELATED}>>"
+def xes_file(log: DataFrame, out) -> None:
+    """One XES document into an open text file on the driver: traces in order of their case, partition after partition."""
+    out.write(f"<log xes.version={quoteattr('1.0')}>\n")
+    for r in xes_text(log).orderBy("case_id").toLocalIterator():
+        out.write(r["xml"] + "\n")
+    out.write("</log>\n")
 
 
 def read_ocel2_json(spark: SparkSession, path: str) -> Ocel:
-    """OCEL 2.0 JSON as tables (ids, types, times, relations)."""
-    doc = spark.read.schema(_OCEL).json(path, multiLine=True)
-    e = doc.select(F.explode("events").alias("e")).select("e.*")
-    o = doc.select(F.explode("objects").alias("o")).select("o.*")
-    relate = lambda df, a, b: df.select(F.col("id").alias(a), F.explode("relationships").alias("r")).select(a, F.col("r.objectId").alias(b), F.coalesce("r.qualifier", F.lit("")).alias("qualifier"))
-    return Ocel(e.select(F.col("id").alias("eid"), F.col("type").alias("act"), F.to_timestamp("time").alias("ts")), o.select(F.col("id").alias("oid"), "type"), relate(e, "eid", "oid"), relate(o, "oid", "oid2"))
+    """OCEL 2.0 JSON as tables, with attributes and changes."""
+    from tracelake.sources import ocel_files
+
+    return ocel_files.read_json2(spark, path)
 
 
 def write_ocel_tables(log: Ocel, folder: str) -> None:
-    """A bundle: one Parquet table each for events, objects and relations."""
-    for name in ("events", "objects", "e2o", "o2o"):
-        getattr(log, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    """A bundle: one Parquet table each for events, objects, relations and (if there are any) changes."""
+    for name in ("events", "objects", "e2o", "o2o", "changes"):
+        if getattr(log, name) is not None:
+            getattr(log, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def read_ocel_tables(spark: SparkSession, folder: str) -> Ocel:
-    return Ocel(*[spark.read.parquet(f"{folder}/{name}") for name in ("events", "objects", "e2o", "o2o")])
+    """A bundle; one without changes has none."""
+    from pyspark.errors import AnalysisException
+
+    tables = [spark.read.parquet(f"{folder}/{name}") for name in ("events", "objects", "e2o", "o2o")]
+    try:
+        return Ocel(*tables, spark.read.parquet(f"{folder}/changes"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return Ocel(*tables)
 
 
 def dfg_text(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> str:
