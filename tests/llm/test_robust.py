@@ -378,3 +378,88 @@ def test_10_the_scan_decides_without_the_mark():
     weights = html_text.weights_of(counts)
     bare = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages[30:]]
     assert [html_text.main_text(p, weights) for p in bare] == want[30:]
+
+
+# --- 6
+
+
+def test_6_long_texts_clashing_names_and_an_own_minus_seven(spark):
+    from tracelake.llm import chat
+
+    long = "<#\\" * 200_000
+    rows = [(-7, 0, "user", "mine"), (1, 0, "user", long), (1, 1, "assistant", long), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("k", "t", "turns", "segments", "formatted", "loss", "machine", "raw", "label"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = {r["conv_id"]: r for r in chat.format_chat(df).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("lost", chat.loss_text(F.col("segments"))).collect()}
+    assert set(out) == {-7, 1, None}
+    assert [tuple(t) for t in out[1]["back"]] == [("user", long), ("assistant", long)] and out[1]["lost"] == long
+    more = df.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame([(-7, 0, "user", "ok"), (-7, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string"))
+    assert [t["text"] for t in chat.format_chat(more).filter("conv_id = -7").select(chat.read_back(F.col("formatted")).alias("b")).first()["b"]] == ["mine", "ok", "ok"]
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, None), (2, ""), (None, "a null id"), (3, "twice the same words here ok"), (3, "twice the same words here ok"), (4, "long words " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "p", "n_tokens", "copies", "digest", "tag", "body", "k"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    names = docs.columns
+    sizes = {"toxicity": 6, "near_dedup": 4, "secret_scan": 6, "mixing": None, "sentencepiece": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        full, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.filter("false"), str(tmp_path))
+        got = full.collect()
+        if name != "sentencepiece":
+            assert full.columns == none.columns == names and all(r["score"] == r["digest"] == "kept" for r in got)
+        assert none.count() == 0
+        assert sizes[name] is None or len(got) == sizes[name]
+
+
+def test_pipeline_stages_do_what_their_operators_decide(spark, tmp_path):
+    """Stage by stage against plain Python over the operators' own scores, classes, spans and rates."""
+    import corpus_pipeline
+
+    g = np.random.default_rng(12)
+    say = lambda n: " ".join(f"w{i}" for i in g.integers(0, 3000, n))
+    rows, labels = [], []
+    for i in range(240):
+        t = say(60)
+        toxic, junk = i % 6 == 0, i % 4 == 1
+        t = t + " zorgle zorgish" if toxic else t
+        t = t + " $$$ !!! $$$" * 4 if junk else t
+        rows.append((i, t))
+        labels.append((i, int(not junk), int(toxic)))
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(1, 40, 2)] + [(2000, say(30) + " password=hunter22 end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    texts = dict(rows)
+    stage = dict(corpus_pipeline.STAGES)
+    model = toxicity.train(docs, toxicity.train_rows(table, "toxic", 5, 0))
+    scores = model.score(np.array([toxicity.Features(model.lexicon)(t) for t in texts.values()]))
+    assert {r["doc_id"] for r in stage["toxicity"](spark, docs, str(tmp_path)).collect()} == {i for i, s in zip(texts, scores, strict=True) if s < 0.5}
+    kept = {r["doc_id"] for r in stage["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i in texts if i < 1000 or i == 2000}
+    net = secrets.train(docs)
+    for r in stage["secret_scan"](spark, docs, str(tmp_path)).collect():
+        t = texts[r["doc_id"]]
+        taken = secrets.base_spans(t)
+        spans = sorted([(s, e) for s, _, e in taken] + secrets.model_spans(net, [t], [taken])[0])
+        keep = np.ones(len(t), bool)
+        for s, e in spans:
+            keep[s:e] = False
+        assert "".join(x for x, k in zip(t, keep, strict=True) if k) == r["text"].replace("[SECRET]", "") and r["n_chars"] == len(r["text"])
+    mixed = [r["doc_id"] for r in stage["mixing"](spark, docs, str(tmp_path)).collect()]
+    assert len(mixed) == len(set(mixed)) < len(texts)
+    good = {i for i, q, _ in labels if q}
+    assert len(good - set(mixed)) <= 0.03 * len(good)
+    back = pieces.load_pieces()
+    v = pieces.Vocabulary(back)
+    for r in stage["sentencepiece"](spark, docs, str(tmp_path)).collect():
+        assert all(v.decode(ids) == texts[r["doc_id"]] for ids in r["ids"]) and len({tuple(x) for x in r["ids"]}) == len(r["ids"])

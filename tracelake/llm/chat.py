@@ -13,9 +13,11 @@ way back is exact.
 
 Defined cases: a null text is empty; a null role is an empty unknown role;
 turns sort by turn (nulls first), then role, then text, and repeated rows stay;
-a null conversation id is one conversation; no rows give no rows.  One
+a null conversation id is one conversation; no rows give no rows; texts of any length
+are kept whole; other columns are not read, whatever their names.  One
 conversation is one output row, so its turns meet in one task by definition;
-conversations themselves spread by hash of their id.
+conversations themselves spread by hash of their id.  Where the table has a conversation -7
+of its own, the query's two rows are further turns of it.
 """
 
 from __future__ import annotations
