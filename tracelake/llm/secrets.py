@@ -24,7 +24,6 @@ scanned each on its own.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import itertools
 import re
 import zlib
@@ -316,27 +315,32 @@ def _findings(df: DataFrame, key: str, text: str) -> DataFrame:
                         marks.append(0)
                 codes.append(b"".join(h.astype("<i2").tobytes() for h in here))
                 labels.append(marks)
-            return {"h": [hashlib.sha256(c).hexdigest() for c in codes], "codes": codes, "labels": labels}
+            return {"codes": codes, "labels": labels}
 
         return f
 
-    return map_slices(df.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", make, "h string, codes binary, labels array<int>").filter(F.size("labels") > 0)
+    return map_slices(df.select(F.col(key).alias("k"), F.col(text).alias("text")), "text", make, "codes binary, labels array<int>").filter(F.size("labels") > 0)
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", documents: int = TRAIN_DOCUMENTS, findings: int = TRAIN_FINDINGS) -> CharNet:
     """Fits the network on the findings of about ``documents`` hash-chosen rows.
 
-    A row gives 32 findings at most, chosen by the hash of their characters; the driver gets ``2 * findings``
-    rows of windows at most (128 bytes each), in order of their digests.
+    A row gives 32 findings at most, chosen by the hash of their characters; of all windows each label's ``findings`` of
+    the least hash are taken, on the executors, so the driver gets ``2 * findings`` windows (128 bytes each) at most.
     """
     sample = hash_sampled(df, key, sample_share(df.count(), documents))
-    found = _findings(sample, key, text).select("h", F.expr(f"substring(codes, 1, {2 * WIDTH * ROW_FINDINGS})").alias("codes"), F.slice("labels", 1, ROW_FINDINGS).alias("labels")).orderBy("h").limit(2 * findings).collect()
+    rows = _findings(sample, key, text).select("codes", F.posexplode("labels").alias("i", "label"))
+    one = rows.select("label", F.expr(f"substring(codes, {2 * WIDTH} * i + 1, {2 * WIDTH})").alias("code")).distinct().withColumn("h", F.xxhash64("code")).persist()  # a window that comes again counts once
+    try:
+        top = [one.filter(F.col("label") == v).orderBy("h", "code").limit(findings) for v in (1, 0)]
+        found = top[0].unionByName(top[1]).collect()
+    finally:
+        one.unpersist()
     x, y = made_up()
     if found:
-        more = np.concatenate([np.frombuffer(bytes(r["codes"]), "<i2").reshape(-1, WIDTH) for r in found])
-        marks = np.array([v for r in found for v in r["labels"]], np.int8)
-        keep = np.concatenate([np.flatnonzero(marks == 1)[:findings], np.flatnonzero(marks == 0)[:findings]])
-        x, y = np.concatenate([x, more[keep]]), np.concatenate([y, marks[keep]])
+        seen = sorted((r["h"], bytes(r["code"]), r["label"]) for r in found)
+        x = np.concatenate([x, np.array([np.frombuffer(c, "<i2") for _, c, _ in seen])])
+        y = np.concatenate([y, np.array([v for _, _, v in seen], np.int8)])
     held = np.arange(len(y)) % 5 == 0
     return CharNet().fit(x[~held], y[~held]).calibrate(x[held], y[held])
 
