@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import components as stars
+from tracelake.functions.folders import shared_folder
 from tracelake.functions.keys import seconds
 from tracelake.sources.tables import Ocel
 
@@ -205,17 +206,9 @@ def extended(log: Ocel, types: list[str]) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """oid, component (its least object) over oid, oid2 edges; the shared checkpoint folder cuts each round's lineage."""
-    spark = edges.sparkSession
-    sc = spark.sparkContext
+    sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="tracelake-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(edges.sparkSession, "components"))
     links = edges.select(F.col("oid").alias("a"), F.col("oid2").alias("b"))
     return stars.components(links, lambda df: df.checkpoint()).select(F.col("v").alias("oid"), F.col("label").alias("component"))
 

@@ -151,3 +151,21 @@ add("alignments_decomposed", lambda s, d: joined(aligning.align_log_decomposed(C
 add("alignments_subset", lambda s, d: aligning.align_log_subset(C(s, d), _turns(), 1 << 20).agg(F.sum(F.when(F.col("upper") < 10000, F.col("n")).otherwise(0)).alias("fitting")), f"WITH {SQL_C}, {SQL_T} SELECT CAST(count(*) FILTER (WHERE {GOOD}) AS BIGINT) AS fitting FROM tr")
 add("trace_footprints_fitness", lambda s, d: declarative.trace_footprints_fitness(C(s, d), trees.footprints(nets.parse_tree("X( 'user', 'assistant', 'system' )"))).select("share_fitting"), f"WITH {SQL_C} SELECT avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS share_fitting FROM (SELECT count(*) AS n FROM ev GROUP BY case_id)")
 add("precision_alignments", lambda s, d: s.createDataFrame([(aligning.precision(C(s, d), graphs.net_per_edge(*miners.graph_of(C(s, d)))) > 0.5,)], "high boolean"), "SELECT TRUE AS high")
+
+
+# Streams: the conversations as they come in, through Structured Streaming
+from tracelake.streaming import live, online  # noqa: E402
+
+
+def chat_stream(s, d):
+    rows = s.readStream.schema("conv_id long, turn long, role string, text string").option("pathGlobFilter", "conversations.parquet").parquet(d)
+    return rows.select(F.col("conv_id").cast("string").alias("case_id"), F.col("role").alias("act"), F.timestamp_seconds("turn").alias("ts"), F.col("turn").alias("order"))
+
+
+ALLOWED = {("user", "assistant"), ("assistant", "user"), ("system", "user")}
+add("streaming_dfg", lambda s, d: online.snapshot(online.drained(online.edge_changes(chat_stream(s, d)))), f"WITH {SQL_C}, {DF_L} SELECT source, target, n FROM g")
+add("streaming_end_activities", lambda s, d: online.snapshot(online.drained(online.edge_changes(chat_stream(s, d))), "end").select(F.col("source").alias("act"), "n"), f"WITH {SQL_C} SELECT act, count(*) AS n FROM (SELECT arg_max(act, idx) AS act FROM ev GROUP BY case_id) GROUP BY 1")
+add("streaming_footprints", lambda s, d: online.latest(online.drained(online.footprint_deviations(chat_stream(s, d), ALLOWED, {"user", "system"}, {"user", "assistant", "system"}), "update")), f"WITH {SQL_C}, p AS (SELECT case_id, idx, act, lead(act) OVER (PARTITION BY case_id ORDER BY idx) AS nx FROM ev) SELECT case_id, count(*) FILTER (WHERE nx IS NOT NULL AND (act, nx) NOT IN (('user', 'assistant'), ('assistant', 'user'), ('system', 'user'))) + count(*) FILTER (WHERE idx = 0 AND act NOT IN ('user', 'system')) AS deviations FROM p GROUP BY 1")
+add("streaming_temporal", lambda s, d: online.drained(online.temporal_deviations(chat_stream(s, d), {("user", "assistant"): (1.0, 0.0)}, 6.0)).groupBy("case_id").agg(F.count("*").alias("n")), f"WITH {SQL_C} SELECT a.case_id, count(*) AS n FROM ev a JOIN ev b ON a.case_id = b.case_id AND a.idx < b.idx WHERE a.act = 'user' AND b.act = 'assistant' AND b.s - a.s <> 1 GROUP BY 1")
+add("streaming_declare", lambda s, d: live.summary(online.drained(live.rule_breaches(chat_stream(s, d), [("precedence", "system", "user"), ("exactly_one", "system", ""), ("chain_response", "user", "assistant")]))), f"WITH {SQL_C}, p AS (SELECT *, lag(act) OVER w AS before, min(CASE WHEN act = 'system' THEN idx END) OVER w AS first FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY idx)) SELECT rule, count(*) AS n FROM (SELECT 'precedence(system, user)' AS rule FROM p WHERE act = 'user' AND (first IS NULL OR first > idx) UNION ALL SELECT 'exactly_one(system)' FROM p WHERE act = 'system' AND first < idx UNION ALL SELECT 'chain_response(user, assistant)' FROM p WHERE before = 'user' AND act <> 'assistant') GROUP BY 1")
+add("streaming_alignments", lambda s, d: online.drained(live.run_costs(chat_stream(s, d), [("user", "assistant") * k for k in range(1, 6)])).groupBy("case_id").agg(F.max("cost").alias("cost")).select("case_id", (F.col("cost") == 0).alias("follows")), f"WITH {SQL_C} SELECT case_id, bool_and(act = CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'assistant' END) AS follows FROM ev GROUP BY 1")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.folders import shared_folder
 from tracelake.functions.shipping import ship_package
 
 TERMINATE = "<terminate>"
@@ -153,3 +154,25 @@ def replay_state(stream: DataFrame, net) -> DataFrame:
         yield pd.DataFrame({"case_id": [key[0]], "missing": [missing], "remaining": [rest], "unknown": [unknown]})
 
     return stream.groupBy("case_id").applyInPandasWithState(step, "case_id string, missing long, remaining long, unknown long", "places array<int>, counts array<int>, missing long, unknown long", "update", "NoTimeout")
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows that a stream gives for what its source holds now, through a table in the shared folder; of updates every
+    batch's rows, with its number (``batch``)."""
+    spark = stream.sparkSession
+    path = shared_folder(spark, "stream")
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "append":
+        query = out.format("parquet").option("path", path).start()
+        schema = stream.schema
+    else:
+        query = out.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path)).start()
+        schema = stream.withColumn("batch", F.lit(0).cast("long")).schema
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """The last row of each case."""
+    rest = [c for c in updates.columns if c not in ("case_id", "batch")]
+    return updates.groupBy("case_id").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select("case_id", "x.*")
