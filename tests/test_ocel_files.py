@@ -99,3 +99,30 @@ def test_merging_and_executions(spark):
     classic = spark.createDataFrame([("c", 0, "a", at(1), "p AND q", 3), ("c", 1, "b", at(2), "q", 4)], "case_id string, idx long, act string, ts timestamp, res string, size int")
     made = ocel.of_log(classic, ["res"], object_attributes={"res": ["size"]})
     assert rows(made.objects, "oid", "type", "size") == [("p", "res", 3), ("q", "res", 3)] and made.e2o.count() == 3
+
+
+def test_components_match_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rel = [(f"e{i:03}", f"o{r.randrange(60)}", "") for i in range(45) for _ in range(r.randrange(1, 4))]
+    objects = sorted({o for _, o, _ in rel})
+    parent = {o: o for o in objects}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    events = {}
+    for e, o, _ in rel:
+        events.setdefault(e, []).append(o)
+    for os in events.values():
+        for o in os[1:]:
+            a, b = sorted((root(os[0]), root(o)))
+            parent[b] = a
+    log = Ocel(spark.createDataFrame([(e, "a", at(1)) for e in events], "eid string, act string, ts timestamp"), spark.createDataFrame([(o, "t") for o in objects], "oid string, type string"), spark.createDataFrame(rel, "eid string, oid string, qualifier string"), spark.createDataFrame([], "oid string, oid2 string, qualifier string"))
+    pairs = ocel.interactions(log)
+    assert rows(pairs, "oid", "oid2") == sorted({tuple(sorted((a, b))) for os in events.values() for a in os for b in os if a < b}, key=str)
+    lonely = {o for o in objects if all(set(os) == {o} for os in events.values() if o in os)}
+    assert rows(ocel.connected_components(pairs), "oid", "component") == sorted([(o, root(o)) for o in objects if o not in lonely], key=str)

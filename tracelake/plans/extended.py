@@ -105,7 +105,6 @@ SQL_NEW = {
     "business_hours": f"WITH {SQL_E}, c AS (SELECT case_id, min(ts) AS lo, max(ts) AS hi FROM ev GROUP BY 1), d AS (SELECT case_id, lo, hi, unnest(generate_series(date_trunc('day', lo), hi, INTERVAL 1 DAY)) AS day FROM c) SELECT case_id, sum(CASE WHEN isodow(day) <= 5 THEN greatest(0.0, epoch_us(least(hi, day + INTERVAL 17 HOUR)) / 1000000.0 - epoch_us(greatest(lo, day + INTERVAL 9 HOUR)) / 1000000.0) ELSE 0.0 END) AS seconds FROM d GROUP BY 1",
     "edit_alignments": f"WITH {SQL_C}, v AS (SELECT list(act ORDER BY idx) AS seq, string_agg(act[1], '' ORDER BY idx) AS t FROM ev GROUP BY case_id) SELECT array_to_string(seq, '>') AS seq, count(*) AS n, least(levenshtein(any_value(t), 'ua'), levenshtein(any_value(t), 'sua')) AS distance FROM v GROUP BY 1",
     "variant_distances": f"WITH {SQL_C}, v AS (SELECT DISTINCT list(act ORDER BY idx) AS seq, string_agg(act[1], '' ORDER BY idx) AS t FROM ev GROUP BY case_id) SELECT array_to_string(seq, '>') AS seq, levenshtein(t, 'ua') / greatest(len(t), 2) AS distance FROM v",
-    "ocel_components": f"WITH RECURSIVE {SQL_O}, {INTER}, r(oid, label) AS (SELECT oid, oid FROM bo UNION SELECT bo.oid2, r.label FROM r JOIN bo ON bo.oid = r.oid WHERE r.label < bo.oid2), m AS (SELECT oid, min(label) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM m GROUP BY 1",
 }
 for _name, _sql in SQL_NEW.items():
     add(_name, QUERIES[_name], _sql)
