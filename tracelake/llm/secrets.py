@@ -332,7 +332,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", documents: int
     rows = _findings(sample, key, text).select("codes", F.posexplode("labels").alias("i", "label"))
     one = rows.select("label", F.expr(f"substring(codes, {2 * WIDTH} * i + 1, {2 * WIDTH})").alias("code")).distinct().withColumn("h", F.xxhash64("code")).persist()  # a window that comes again counts once
     try:
-        top = [one.filter(F.col("label") == v).orderBy("h", "code").limit(findings) for v in (1, 0)]
+        n = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+        # hashes under a bound leave a little more than ``findings``, so that what is put in order is bounded too
+        low = lambda v: F.col("h") <= F.lit((min(1 << 20, int(1.2 * findings * (1 << 20) / max(1, n.get(v, 0)))) << 44) - (1 << 63) - 1)
+        top = [one.filter((F.col("label") == v) & low(v)).orderBy("h", "code").limit(findings) for v in (1, 0)]
         found = top[0].unionByName(top[1]).collect()
     finally:
         one.unpersist()
