@@ -114,8 +114,9 @@ def eventually_follows(log: DataFrame) -> DataFrame:
     Each event counts the earlier ones of every activity of its case by a running count, so work grows with
     events times activities of a case, not with pairs of events.
     """
-    acts = log.groupBy(CASE).agg(F.collect_set(ACT).alias("_acts"))
-    x = log.select(CASE, IDX, F.col(ACT).alias("target")).join(acts, CASE).select(CASE, IDX, "target", F.explode("_acts").alias("source"))
+    # a case's rows stay where its order was made: neither its activities nor the running counts need another shuffle
+    acts = F.collect_set(ACT).over(Window.partitionBy(CASE))
+    x = log.select(CASE, IDX, F.col(ACT).alias("target"), acts.alias("_acts")).select(CASE, IDX, "target", F.explode("_acts").alias("source"))
     before = Window.partitionBy(CASE, "source").orderBy(IDX).rowsBetween(Window.unboundedPreceding, -1)
     counted = x.withColumn("_n", F.sum((F.col("source") == F.col("target")).cast("long")).over(before)).filter("_n > 0")
     return counted.groupBy("source", "target").agg(F.sum("_n").alias("n"))
