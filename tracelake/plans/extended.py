@@ -157,7 +157,8 @@ from tracelake.streaming import live, online  # noqa: E402
 
 
 def chat_stream(s, d):
-    rows = s.readStream.schema("conv_id long, turn long, role string, text string").option("pathGlobFilter", "conversations.parquet").parquet(d)
+    # the table is one file or a folder of files; a pattern takes either
+    rows = s.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversations.parque[t]")
     return rows.select(F.col("conv_id").cast("string").alias("case_id"), F.col("role").alias("act"), F.timestamp_seconds("turn").alias("ts"), F.col("turn").alias("order"))
 
 

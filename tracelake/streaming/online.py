@@ -166,8 +166,9 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = out.format("parquet").option("path", path).start()
         schema = stream.schema
     else:
-        query = out.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path)).start()
         schema = stream.withColumn("batch", F.lit(0).cast("long")).schema
+        spark.createDataFrame([], schema).write.parquet(path)  # a source without rows gives no batch
+        query = out.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path)).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(path)
 
