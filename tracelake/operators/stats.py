@@ -148,15 +148,16 @@ def cycle_time(log: DataFrame) -> DataFrame:
     """
     from tracelake.operators.attributes import ranged
 
-    parts = ranged(log.select(seconds(START).alias("s"), seconds(TS).alias("e")).distinct(), "s")
+    # microseconds, so that sums are exact and a log of one merged interval has 0
+    parts = ranged(log.select(F.unix_micros(START).alias("s"), F.unix_micros(TS).alias("e")).distinct(), "s")
     reach = parts.groupBy("_part").agg(F.max("e").alias("_top"))
     upto = reach.withColumn("_upto", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
     before = F.max("e").over(Window.partitionBy("_part").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     x = parts.withColumn("_in", before).join(F.broadcast(upto), "_part").withColumn("_b", F.greatest("_in", "_upto"))
-    x = x.withColumn("_new", F.greatest(F.col("e") - F.greatest(F.col("s"), F.coalesce("_b", F.col("s"))), F.lit(0.0))).withColumn("_opens", F.col("_b").isNull() | (F.col("s") > F.col("_b")))
+    x = x.withColumn("_new", F.greatest(F.col("e") - F.greatest(F.col("s"), F.coalesce("_b", F.col("s"))), F.lit(0))).withColumn("_opens", F.col("_b").isNull() | (F.col("s") > F.col("_b")))
     whole = x.agg(F.sum("_new").alias("all"), F.max("e").alias("end"), F.max(F.when(F.col("_opens"), F.col("s"))).alias("begin"))
     n = log.agg(F.count_distinct(CASE).alias("n"))
-    return whole.join(F.broadcast(n)).select(((F.col("all") - (F.col("end") - F.col("begin"))) / F.col("n")).alias("cycle_time"))
+    return whole.join(F.broadcast(n)).select(((F.col("all") - (F.col("end") - F.col("begin"))) / F.lit(1_000_000.0) / F.col("n")).alias("cycle_time"))
 
 
 def passed_time(log: DataFrame, act: str) -> DataFrame:
