@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import ocel, org, stats
+from tracelake.operators import org
 from tracelake.plans import catalog
-from tracelake.sources import tables
-from tracelake.sources.tables import Ocel
 from tracelake.streaming import online
 
 CHAT = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "system", "c"), (2, 1, "user", "d"), (2, 2, "user", None), (3, 0, "assistant", "e"), (3, 1, "user", "f"), (3, 2, "assistant", "g"), (3, 3, "assistant", "h")]
@@ -62,3 +61,10 @@ def test_intervals_whose_sum_is_over_a_long(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("o_orderkey"), F.timestamp_seconds(F.lit(0)).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     r = catalog.queries()["to_interval"](spark, str(tmp_path)).first()
     assert r["n"] == n and int(r["us"]) == n * 10_000 * day > 2**63
+
+
+def test_similarity_of_resources_with_many_events(spark):
+    """Deviations whose product is over a long; pairs as from whole vectors."""
+    x = spark.range(180_000).select(F.col("id").cast("string").alias("case_id"), F.lit(0).cast("long").alias("idx"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("act"), (F.col("id") % 3).cast("string").alias("res"))
+    got = {(r["source"], r["target"]): round(r["weight"], 6) for r in org.activity_similarity(x).collect()}
+    assert got == {(str(i), str(j)): 1.0 for i in range(3) for j in range(3) if i != j}
