@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import ocel, org, stats
-from tracelake.operators import org
+from tracelake.operators import ocel, org
 from tracelake.plans import catalog
+from tracelake.sources.tables import Ocel
 from tracelake.streaming import online
 
 CHAT = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "system", "c"), (2, 1, "user", "d"), (2, 2, "user", None), (3, 0, "assistant", "e"), (3, 1, "user", "f"), (3, 2, "assistant", "g"), (3, 3, "assistant", "h")]
@@ -65,6 +66,33 @@ def test_intervals_whose_sum_is_over_a_long(spark, tmp_path):
 
 def test_similarity_of_resources_with_many_events(spark):
     """Deviations whose product is over a long; pairs as from whole vectors."""
-    x = spark.range(180_000).select(F.col("id").cast("string").alias("case_id"), F.lit(0).cast("long").alias("idx"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("act"), (F.col("id") % 3).cast("string").alias("res"))
+    x = spark.range(300_000).select(F.col("id").cast("string").alias("case_id"), F.lit(0).cast("long").alias("idx"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("act"), (F.col("id") % 3).cast("string").alias("res"))
     got = {(r["source"], r["target"]): round(r["weight"], 6) for r in org.activity_similarity(x).collect()}
     assert got == {(str(i), str(j)): 1.0 for i in range(3) for j in range(3) if i != j}
+
+
+def log_of(spark, whole):
+    rows = [("1", "A", 1, "o1", "o"), ("1", "A", 1, "p1", "p"), ("2", "B", 2, "o1", "o"), ("2", "B", 2, "p2", "p"), ("2", "B", 2, "p2", "p"), ("3", "B", 3, "o2", "o"), ("3", "B", 3, "p2", "p"), ("3", "B", 3, "p1", "p")]
+    r = spark.createDataFrame(rows, "eid string, act string, s long, oid string, type string").select("eid", "oid", "type", "act", F.timestamp_seconds("s").alias("ts"))
+    groups = r.groupBy("eid", "act", "ts").agg(F.collect_list(F.struct("oid", "type")).alias("objects"))
+    o2o = spark.createDataFrame([], "oid string, oid2 string, qualifier string")
+    return Ocel(r.select("eid", "act", "ts").distinct(), r.select("oid", "type").distinct(), r.select("eid", "oid", F.lit("").alias("qualifier")), o2o, None, r, (lambda: groups) if whole else None)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_object_graphs_of_whole_events(spark, whole):
+    log = log_of(spark, whole)
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pairs(ocel.interactions(log)) == [("o1", "p1"), ("o1", "p2"), ("o2", "p1"), ("o2", "p2"), ("p1", "p2")]
+    assert pairs(ocel.object_graph(log, "descendants")) == [("o1", "p2"), ("p1", "o2"), ("p1", "p2"), ("p2", "o2")]
+    assert pairs(ocel.object_graph(log, "inheritance")) == [("o1", "p2"), ("p1", "o2"), ("p2", "o2")]
+    assert pairs(ocel.object_graph(log, "cobirth")) == [("o1", "p1")]
+    assert pairs(ocel.object_graph(log, "codeath")) == [("o2", "p1"), ("o2", "p2"), ("p1", "p2")]
+    assert pairs(ocel.type_graph(log)) == [("o", "p", 4), ("p", "o", 4), ("p", "p", 2)]
+    assert pairs(ocel.activity_type_graph(log).select("act", "type", "n", "n_objects", "n_events")) == [("A", "o", 1, 1, 1), ("A", "p", 1, 1, 1), ("B", "o", 2, 2, 2), ("B", "p", 3, 2, 2)]
+
+
+def test_pairs_look_up_their_objects_once(spark):
+    """Both orientations of a pair come from one look at it; events of known objects aren't gathered again."""
+    text = ocel.object_graph(log_of(spark, True), "inheritance")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join ") == 2 and "LeftAnti" not in text and "Union" not in text
