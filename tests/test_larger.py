@@ -37,6 +37,20 @@ def test_streams_of_a_folder_of_files(spark, tmp_path, name):
     assert got and got == by_sql(tmp_path, name, "conversations")
 
 
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_of_cases_that_arrow_splits(spark, tmp_path, name):
+    """A case's rows come in several parts, the later turns first."""
+    chat = spark.createDataFrame(sorted(CHAT, key=lambda r: (r[0], -r[1])), "conv_id long, turn long, role string, text string")
+    chat.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 2)
+    try:
+        assert ours(catalog.queries()[name](spark, str(tmp_path))) == by_sql(tmp_path, name, "conversations")
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_updates_of_a_stream_without_rows(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     stream = spark.readStream.schema("case_id string, act string, order long, ts timestamp").parquet(f"{tmp_path}/in")

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.functions.shipping import ship_package
 from tracelake.operators.nets import Net, enabled, fired, marking
-from tracelake.streaming.online import TERMINATE
+from tracelake.streaming.online import TERMINATE, ordered
 
 
 class Collector:
@@ -287,8 +287,8 @@ def watched(stream: DataFrame, make: Callable, emit: Callable, schema: str, fini
         if state.exists and state.get[0]:
             monitor.restore(state.get[0])
         rows = []
-        for part in parts:
-            for act in part.sort_values("order", kind="stable")["act"]:
+        for part in ordered(parts):
+            for act in part["act"]:
                 if act == TERMINATE:
                     rows += [(key[0], *r) for r in (finish(monitor) if finish else [])]
                     monitor = make()

@@ -19,6 +19,13 @@ from tracelake.functions.shipping import ship_package
 TERMINATE = "<terminate>"
 
 
+def ordered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A case's new rows in order, as one table: they come in parts where Arrow's batches end, in the order of no column."""
+    rows = list(parts)
+    if rows:
+        yield pd.concat(rows).sort_values("order", kind="stable")
+
+
 def edge_changes(stream: DataFrame) -> DataFrame:
     """kind (edge, start, end, act), source, target, change: what each event adds or takes back.
 
@@ -29,8 +36,8 @@ def edge_changes(stream: DataFrame) -> DataFrame:
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
-        for part in parts:
-            for act in part.sort_values("order", kind="stable")["act"]:
+        for part in ordered(parts):
+            for act in part["act"]:
                 if act == TERMINATE:
                     last = None
                     continue
@@ -57,8 +64,8 @@ def footprint_deviations(stream: DataFrame, allowed: set[tuple[str, str]], start
 
     def step(key, parts, state):
         last, n = state.get if state.exists else ("", 0)
-        for part in parts:
-            for act in part.sort_values("order", kind="stable")["act"]:
+        for part in ordered(parts):
+            for act in part["act"]:
                 if act == TERMINATE:
                     last, n = "", 0
                 elif act not in acts:
@@ -95,8 +102,7 @@ def temporal_deviations(stream: DataFrame, profile: dict[tuple[str, str], tuple[
     def step(key, parts, state):
         acts, times = (list(x) for x in state.get) if state.exists else ([], [])
         out = []
-        for part in parts:
-            part = part.sort_values("order", kind="stable")
+        for part in ordered(parts):
             for act, ts in zip(part["act"], part["ts"], strict=True):
                 if act == TERMINATE:
                     acts, times = [], []
@@ -130,8 +136,8 @@ def replay_state(stream: DataFrame, net) -> DataFrame:
             m = Counter(dict(zip(places, counts, strict=True)))
         else:
             m, missing, unknown = Counter(net.initial), 0, 0
-        for part in parts:
-            for act in part.sort_values("order", kind="stable")["act"]:
+        for part in ordered(parts):
+            for act in part["act"]:
                 if act == TERMINATE:
                     m, missing, unknown = Counter(net.initial), 0, 0
                     continue
