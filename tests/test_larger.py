@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import components, layout
 from tracelake.operators import ocel, org, stats
 from tracelake.operators import ocel, org
 from tracelake.plans import catalog
@@ -110,3 +111,23 @@ def test_pairs_look_up_their_objects_once(spark):
     """Both orientations of a pair come from one look at it; events of known objects aren't gathered again."""
     text = ocel.object_graph(log_of(spark, True), "inheritance")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join ") == 2 and "LeftAnti" not in text and "Union" not in text
+
+
+def test_components_are_contracted_where_links_lie(spark, monkeypatch):
+    """Chains over many tasks and a long ring; one event's objects are linked by its first one alone."""
+    links = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), ((F.col("id") + 1) * 7919 % 3001).alias("b")).repartition(7)
+    apart = spark.createDataFrame([(9001, 9000), (9002, 9001), (9005, 9005), (None, 9007)], "a long, b long")
+    rounds = []
+    got = {r["v"]: r["label"] for r in components.components(links.union(apart), lambda df: rounds.append(df) or df.localCheckpoint()).collect()}
+    assert got == {v: 0 for v in range(3001)} | {9000: 9000, 9001: 9000, 9002: 9000, 9005: 9005, 9007: 9007}
+    assert {"others"} < set(rounds[0].columns)
+    for whole in (True, False):
+        assert {tuple(r) for r in ocel.components(log_of(spark, whole)).collect()} == {(o, "o1") for o in ("o1", "o2", "p1", "p2")}
+
+
+def test_large_tables_have_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(f"{tmp_path}/t.parquet")
+    x = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert layout.spread(x, "id") is x
+    monkeypatch.setattr(layout, "TASK_BYTES", layout.table_bytes(x) // 9)
+    assert layout.spread(x, "id").rdd.getNumPartitions() >= 9
