@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import components, layout
-from tracelake.operators import ocel, org, stats
+from tracelake.operators import more, ocel, org, stats
 from tracelake.operators import ocel, org
 from tracelake.plans import catalog
 from tracelake.sources.tables import Ocel
@@ -131,3 +131,36 @@ def test_large_tables_have_more_tasks(spark, tmp_path, monkeypatch):
     assert layout.spread(x, "id") is x
     monkeypatch.setattr(layout, "TASK_BYTES", layout.table_bytes(x) // 9)
     assert layout.spread(x, "id").rdd.getNumPartitions() >= 9
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_graphs_of_shared_and_own_couples(spark, whole):
+    """Couples that several objects of a type share count once; events count once whatever their objects."""
+    log = log_of(spark, whole)
+    couples = lambda df: sorted(tuple(r) for r in df.collect())
+    assert couples(ocel.ocdfg(log)) == [("o", "A", "B", 1, 1, 1), ("p", "A", "B", 1, 1, 1), ("p", "B", "B", 1, 1, 1)]
+    acts, flows = ocel.ocdfg_measures(log)
+    assert couples(acts) == [("A", 1), ("B", 2)] and couples(flows.select("source", "target", "n")) == [("A", "B", 2), ("B", "B", 1)]
+    late = ocel.in_time(log, "1970-01-01 00:00:02", "1970-01-01 00:00:03")
+    assert couples(ocel.ocdfg(late)) == [("p", "B", "B", 1, 1, 1)] and couples(ocel.ocdfg_measures(late)[0]) == [("B", 2)]
+    twice = log.e2o.union(log.e2o)
+    assert couples(ocel.lifecycle_qualifiers(Ocel(log.events, log.objects, twice, log.o2o)).groupBy("qualifier").count()) == [("creation", 4), ("termination", 3)]
+    merged = ocel.merge_duplicates(log)
+    assert merged.events.count() == 3 and merged.e2o.count() == 7
+
+
+def test_wide_steps_move_relations_once(spark):
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    log = catalog.O(spark, "/root/testdata/sf0.001")
+    assert text(ocel.lifecycle_qualifiers(log)).count("Exchange hash") == 1
+    assert text(org.working_together(catalog.L(spark, "/root/testdata/sf0.001"))).count("Join") == 1
+    assert text(more.batches(catalog.I(spark, "/root/testdata/sf0.001"))).count("Exchange hashpartitioning(res") == 1
+    rows, alone = ocel.marked(log)
+    assert alone and rows.filter("marks is null").count() == 0
+
+
+def test_batches_and_pairs_with_repeats(spark):
+    rows = [("1", 0, "A", "x", 0, 5), ("1", 1, "A", "x", 0, 5), ("2", 0, "A", "x", 0, 5), ("3", 0, "A", "y", 0, 9), ("4", 0, "A", "y", 3, 9), ("5", 0, "A", "y", 4000, 4001), ("1", 2, "B", None, 1, 2), ("1", 3, "B", "y", 1, 2), (None, 0, "B", "z", 1, 2), (None, 1, "B", "y", 9000, 9002)]
+    log = spark.createDataFrame(rows, "case_id string, idx long, act string, res string, a long, b long").select("case_id", "idx", "act", "res", F.timestamp_seconds("a").alias("start_ts"), F.timestamp_seconds("b").alias("ts"))
+    assert sorted(tuple(r) for r in more.batches(log).collect()) == [("A", "x", 2, "simultaneous"), ("A", "y", 2, "end")]
+    assert sorted(tuple(r) for r in org.working_together(log).collect()) == [("x", "y", 0.2), ("y", "x", 0.2)]

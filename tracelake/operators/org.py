@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.keys import ACT, CASE, IDX, RES, by_case
+from tracelake.functions.layout import spread
 from tracelake.functions.shipping import ship_package
 
 
@@ -24,10 +25,13 @@ def handover(log: DataFrame, beta: float = 0.0) -> DataFrame:
 
 def working_together(log: DataFrame) -> DataFrame:
     """source, target, weight: cases of both, over the number of cases."""
-    x = log.select(CASE, RES).distinct()
     n = log.agg(F.count_distinct(CASE).alias("cases"))
-    pairs = x.withColumnRenamed(RES, "source").join(x.withColumnRenamed(RES, "target"), CASE).filter("source != target")
-    return pairs.groupBy("source", "target").agg(F.count("*").alias("n")).join(F.broadcast(n)).select("source", "target", (F.col("n") / F.col("cases")).alias("weight"))
+    # a case's resources make each pair once, in one order; both come from its count
+    x = spread(log.filter(F.col(CASE).isNotNull()).select(CASE, RES), CASE).groupBy(CASE).agg(F.sort_array(F.collect_set(RES)).alias("r")).filter("size(r) > 1")
+    one = x.select("r", F.posexplode("r").alias("_i", "a")).select("a", F.explode(F.slice("r", F.col("_i") + 2, F.size("r"))).alias("b"))
+    pairs = spread(one, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = pairs.select("n", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target")))).alias("p"))
+    return both.join(F.broadcast(n)).select("p.source", "p.target", (F.col("n") / F.col("cases")).alias("weight"))
 
 
 def resource_activities(log: DataFrame) -> DataFrame:
