@@ -108,6 +108,31 @@ def test_1_a_long_certain_text_ends():
     assert [len(s) for s in samples] == [1, 3]
 
 
+def test_1_the_piece_table_takes_a_step_for_each_place_not_for_each_piece(monkeypatch):
+    back, steps, plain = pieces.load_pieces(), [], pieces.Vocabulary._step
+    monkeypatch.setattr(pieces.Vocabulary, "_step", staticmethod(lambda h, c: steps.append(1) or plain(h, c)))
+    v = pieces.Vocabulary(back)
+    assert len(steps) <= v.longest
+    keys = [p for p, kind in back if not kind]
+    with np.errstate(over="ignore"):
+        for key in (*keys[:40], *keys[-40:], max(keys, key=len)):
+            h = np.zeros(1, np.uint64)
+            for c in key:
+                h = plain(h, np.array([ord(c) + 1], np.uint64))
+            assert back[v.ids[v.find(h)[0]]] == (key, 0)
+
+
+def test_1_plain_and_odd_texts_share_a_lattice():
+    encoder = pieces.Encoder(pieces.load_pieces(), 3)
+    odd = ["two  spaces here", "a ▁ b", "half \ud800 a pair", None, "", " "]
+    plain = ["two spaces here", " lead", "trail ", "naïve ☃ 𝄞\n"]
+    for texts in (plain, [*plain, *odd], [*odd[:2], *plain], odd[3:]):
+        lattice, samples, _ = encoder(list(range(len(texts))), texts)
+        for t, found in zip(texts, samples, strict=True):
+            raw = [encoder.v.decoded_bytes(encoder.ids(lattice, s.edges)[0]) for s in found]
+            assert raw and all(x == (f" {t}".encode("utf-8", "surrogatepass") if t else b"") for x in raw)
+
+
 # --- 2: the network
 
 

@@ -34,6 +34,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,19 @@ def uniforms(x: np.ndarray) -> np.ndarray:
     return ((mixed(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def code_points(text: str) -> np.ndarray:
+    """The code points of a text, each more by one, and a last place for none."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def joined_text(strings: pa.StringArray) -> str:
+    """All strings of an array without nulls in a row, from its one buffer."""
+    if not len(strings):
+        return ""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return str(strings.buffers()[2][int(ends[0]) : int(ends[-1])], "utf-8")
+
+
 def load_pieces(path: str = MODEL) -> list[tuple[str, int]]:
     """(piece, kind) by id; kind 0 is text, 1 a byte, 2 control or unknown."""
     import sentencepiece
@@ -106,16 +121,16 @@ class Vocabulary:
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.flat, self.begin = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.byte_weight = -SHARPNESS * (math.log(rank + RANK_SHIFT) + BYTE_COST)
-        self.keys = np.array([self._hash_of(k) for k in keys] + [0], np.uint64)
+        self.keys = np.append(self._hashes(keys), np.uint64(0))
         self.bits = 20
         self.tables = [np.full(1 << self.bits, -1, np.int32) for _ in range(3)]
-        for j, h in enumerate(self.keys[:-1]):
-            for t, slot in zip(self.tables, self._slots(h), strict=True):
-                if t[slot] < 0:
-                    t[slot] = j
-                    break
-            else:
-                raise ValueError("piece table is full")
+        left = np.arange(len(keys))
+        for t, slots in zip(self.tables, self._slots(self.keys[:-1]), strict=True):
+            slot = slots[left]
+            t[slot[::-1]] = left[::-1]  # of several keys the first stands, the others go on to the next table
+            left = left[t[slot] != left]
+        if left.size:
+            raise ValueError("piece table is full")
 
     def _slots(self, h):
         m = np.uint64((1 << self.bits) - 1)
@@ -126,12 +141,16 @@ class Vocabulary:
         h = (h ^ c) * _A
         return h ^ (h >> np.uint64(32))
 
-    def _hash_of(self, piece: str) -> int:
-        h = np.zeros(1, np.uint64)
-        with np.errstate(over="ignore"):
-            for c in piece:
-                h = self._step(h, np.array([ord(c) + 1], np.uint64))
-        return int(h[0])
+    @classmethod
+    def _hashes(cls, pieces: list[str]) -> np.ndarray:
+        """The hash of every piece, one step for each character of the longest."""
+        sizes, points = np.array([len(p) for p in pieces], np.int64), code_points("".join(pieces))
+        begin, h = np.cumsum(sizes) - sizes, np.zeros(sizes.size, np.uint64)
+        for n in range(int(sizes.max(initial=0))):
+            left = np.flatnonzero(sizes > n)
+            with np.errstate(over="ignore"):
+                h[left] = cls._step(h[left], points[begin[left] + n])
+        return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index into ids and weights for each hash, -1 where no piece has it."""
@@ -167,21 +186,21 @@ class Lattice:
     by unit, longest first; so the backward pass is one contiguous step for each number of remaining characters.
     """
 
-    def __init__(self, units: list[str], vocabulary: Vocabulary):
-        v = vocabulary
-        sizes = np.array([len(u) for u in units], np.int64)
+    def __init__(self, text: str, sizes: np.ndarray, vocabulary: Vocabulary):
+        """text: all units in a row, ``sizes`` of each (in characters)."""
+        v, units = vocabulary, sizes.size
         order = np.argsort(-sizes, kind="stable")
-        place = np.empty(len(units), np.int64)
-        place[order] = np.arange(len(units))
+        place = np.empty(units, np.int64)
+        place[order] = np.arange(units)
         length = sizes[order]
-        longest = int(length[0]) if len(units) else 0
-        at_level = len(units) - np.searchsorted(length[::-1], np.arange(longest + 1))  # units with so many characters
+        longest = int(length[0]) if units else 0
+        at_level = units - np.searchsorted(length[::-1], np.arange(longest + 1))  # units with so many characters
         base = np.concatenate([[0], np.cumsum(at_level)])
         nodes = int(base[-1])
         level = np.repeat(np.arange(longest + 1, dtype=np.int32), at_level)
         unit = (np.arange(nodes) - base[level]).astype(np.int32)
-        self.first = base[sizes] + place if len(units) else np.zeros(0, np.int64)
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.uint64) + np.uint64(1)
+        self.first = base[sizes] + place if units else np.zeros(0, np.int64)
+        points = code_points(text)
         begin = (np.cumsum(sizes) - sizes)[order]
         char = (begin[unit] + length[unit] - level).astype(np.int32)
         char[: base[1] if nodes else 0] = points.size - 1
@@ -189,54 +208,56 @@ class Lattice:
         h = np.zeros(alive.size, np.uint64)
         found: list[tuple] = []
         for n in range(1, v.longest + 1):
-            ok = level[alive] >= n
-            alive, h = alive[ok], h[ok]
+            short = int(np.searchsorted(alive, base[min(n, longest + 1)]))  # levels stand in order
+            alive, h = alive[short:], h[short:]
             if not alive.size:
                 break
             with np.errstate(over="ignore"):
                 h = v._step(h, points[char[alive] + n - 1])
             got = v.find(h)
             hit = np.flatnonzero((got >= 0) & (v.ids[got] >= 0))
-            found.append((alive[hit], n, v.weights[got[hit]], v.ids[got[hit]]))
+            found.append((alive[hit], n, got[hit]))
             if n == 1:
                 bare = alive[(got < 0) | (v.ids[got] < 0)]
-                code = points[char[bare]] - np.uint64(1)
-                size = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
-                found.append((bare, 1, v.byte_weight * size, np.full(bare.size, -1, np.int32)))
+                found.append((bare, 1, np.full(bare.size, -1, np.int32)))
             more = np.flatnonzero(got >= 0)  # the rest begins no piece
             alive, h = alive[more], h[more]
         found.reverse()
-        self.degree = np.zeros(nodes, np.int64)
+        degree = np.zeros(nodes, np.int16)
         for starts, *_ in found:
-            self.degree[starts] += 1  # a list has a node once at most
-        self.ptr = np.concatenate([[0], np.cumsum(self.degree)])
+            degree[starts] += 1  # a list has a node once at most
+        self.ptr = np.concatenate([[0], np.cumsum(degree, dtype=np.int64)])
         edges = int(self.ptr[-1])
-        self.start, self.end, weight, self.piece = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges), np.empty(edges, np.int32)
+        entry, size = np.empty(edges, np.int32), np.empty(edges, np.int16)
         free = self.ptr[:-1].copy()
-        for starts, size, weights, ids in found:  # longest pieces first at each node
+        for starts, n, entries in found:  # longest pieces first at each node
             at = free[starts]
             free[starts] += 1
-            self.start[at], self.end[at], weight[at], self.piece[at] = starts, base[level[starts] - size] + unit[starts], weights, ids
+            entry[at], size[at] = entries, n
+        self.start, self.piece, weight = np.repeat(np.arange(nodes, dtype=np.int32), degree), v.ids[entry], v.weights[entry]
+        self.end = base.astype(np.int32)[np.repeat(level, degree) - size] + np.repeat(unit, degree)
+        other = np.flatnonzero(entry < 0)
+        code = points[char[self.start[other]]] - np.uint64(1)
+        weight[other] = v.byte_weight * (1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF))
         beta = np.zeros(nodes)
         for m in range(1, longest + 1):
             lo, hi = self.ptr[base[m]], self.ptr[base[m + 1]]
             heads = self.ptr[base[m] : base[m + 1]] - lo
             s = weight[lo:hi] + beta[self.end[lo:hi]]
             top = np.maximum.reduceat(s, heads)
-            degree = np.diff(np.append(heads, hi - lo))
-            beta[base[m] : base[m + 1]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree)), heads))
+            beta[base[m] : base[m + 1]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, degree[base[m] : base[m + 1]])), heads))
         self.log_p = np.minimum(weight + beta[self.end] - beta[self.start], 0.0)
         self.cum = np.exp(self.log_p)
-        more, nth = np.flatnonzero(self.degree > 1), 1
+        more, nth = np.flatnonzero(degree > 1), 1
         while more.size:  # node by node, so that no sum depends on the units beside
             at = self.ptr[more] + nth
             self.cum[at] += self.cum[at - 1]
             nth += 1
-            more = more[self.degree[more] > nth]
-        self.cum[self.ptr[1:][self.degree > 0] - 1] = 2.0
+            more = more[degree[more] > nth]
+        self.cum[self.ptr[1:][degree > 0] - 1] = 2.0
         self.terminal = level == 0
-        self.choice = (self.degree > 1)[self.start]
-        self.code = points[char] - np.uint64(1)
+        self.choice = np.repeat(degree > 1, degree)
+        self.code = (points[char] - np.uint64(1)).astype(np.uint32)
 
     def draw(self, cur: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Free continuation of every walk from its node to its unit's end: edges of all walks in order, and their numbers."""
@@ -282,18 +303,27 @@ class Encoder:
 
     def lattice(self, texts: list[str | None]) -> tuple[Lattice, np.ndarray, np.ndarray]:
         """The slice's lattice, the unit of every occurrence, and where each text's occurrences begin."""
-        known: defaultdict[str, int] = defaultdict(itertools.count().__next__)  # a unit without its first space -> number
-        of, occurrences, sizes = known.__getitem__, [], []
-        for t in texts:
-            if not t:
-                words = []
-            elif "  " in t:
-                words = [u[1:] for u in UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))]
-            else:
-                words = (t.replace(SPACE, LITERAL) if SPACE in t else t).split(" ")
-            sizes.append(len(words))
-            occurrences.append(np.fromiter(map(of, words), np.int64, len(words)))
-        return Lattice([SPACE + w for w in known], self.v), np.concatenate(occurrences) if occurrences else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and "  " not in t and SPACE not in t]
+        try:
+            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        except UnicodeEncodeError:  # half a surrogate pair
+            plain, split = [], pa.array([], pa.list_(pa.string()))
+        words = split.flatten().dictionary_encode()
+        units = pc.binary_join_element_wise(SPACE, words.dictionary, "")  # they never become one object each
+        cuts = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))[:-1]
+        for i, part in zip(plain, np.split(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), cuts), strict=False):
+            parts[i] = part
+        known: defaultdict[str, int] = defaultdict(itertools.count(len(units)).__next__)  # other texts' units, without their first space -> number
+        for i in sorted(set(range(len(texts))).difference(plain)):
+            if t := texts[i]:
+                t = t.replace(SPACE, LITERAL)
+                found = [u[1:] for u in UNIT.findall(SPACE + t.replace(" ", SPACE))] if "  " in t else t.split(" ")
+                parts[i] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        others = [SPACE + u for u in known]
+        sizes = np.concatenate([pc.utf8_length(units).to_numpy(zero_copy_only=False), [len(u) for u in others]]).astype(np.int64)
+        lattice = Lattice("".join([joined_text(units), *others]), sizes, self.v)
+        return lattice, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([p.size for p in parts])]).astype(np.int64)
 
     def seeds(self, keys: list) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -321,7 +351,8 @@ class Encoder:
             for i in np.flatnonzero(at[todo] == begin[todo]).tolist():
                 if used := taken[todo[i]]:
                     rest[i, 0] -= np.exp(lattice.log_p[list(used)]).sum()
-                    free[i, 0] = lattice.degree[lattice.start[part[i, 0]]] > 1 + len(used)
+                    node = lattice.start[part[i, 0]]
+                    free[i, 0] = lattice.ptr[node + 1] - lattice.ptr[node] > 1 + len(used)
             r, c = np.nonzero(inside & free & (rest > 1e-13))
             with np.errstate(over="ignore"):
                 u = uniforms(seeds[todo[r]] + np.uint64(rank) * _C + (place[r, c] + 1).astype(np.uint64) * _A)
